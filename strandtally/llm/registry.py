@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from strandtally.llm import decontam
+from strandtally.llm import decontam, line_dedup
 
 QUERIES = {
     "op9_winnowing": decontam.op9_winnowing,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 SQL = {
     "op9_winnowing": decontam.SQL,
+    "op10_line_dedup": line_dedup.SQL,
 }
