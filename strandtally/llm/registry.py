@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strandtally.llm import decontam, line_dedup
+from strandtally.llm import decontam, line_dedup, simhash
 
 QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
     "op9_winnowing": decontam.op9_winnowing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
