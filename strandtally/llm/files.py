@@ -1,0 +1,25 @@
+"""Binary files that tasks write to, and read from, the shared folder."""
+
+from __future__ import annotations
+
+import posixpath
+
+from pyarrow import fs
+
+
+def _at(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path or URI (local, HDFS, S3, GCS), and the path in it."""
+    if uri.startswith("file:/"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
+def create(uri: str):
+    store, path = _at(uri)
+    store.create_dir(posixpath.dirname(path), recursive=True)
+    return store.open_output_stream(path)
+
+
+def open_file(uri: str):
+    store, path = _at(uri)
+    return store.open_input_file(path)

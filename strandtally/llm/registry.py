@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from strandtally.llm import decontam, line_dedup, simhash
+from strandtally.llm import decontam, line_dedup, packing, simhash, token_files
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
+    "op3_packing": packing.op3_packing,
+    "op6_token_files": token_files.op6_token_files,
     "op9_winnowing": decontam.op9_winnowing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
