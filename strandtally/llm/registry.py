@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from strandtally.llm import decontam, line_dedup, packing, simhash, token_files
+from strandtally.llm import decontam, language_id, line_dedup, packing, simhash, token_files, url_filter
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
     "op3_packing": packing.op3_packing,
+    "op5_url_globs": url_filter.op5_url_globs,
     "op6_token_files": token_files.op6_token_files,
+    "op8_language_id": language_id.op8_language_id,
     "op9_winnowing": decontam.op9_winnowing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 SQL = {
+    "op5_url_globs": url_filter.SQL,
     "op9_winnowing": decontam.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }
