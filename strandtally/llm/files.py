@@ -17,7 +17,7 @@ def _at(uri: str) -> tuple[fs.FileSystem, str]:
 def create(uri: str):
     store, path = _at(uri)
     store.create_dir(posixpath.dirname(path), recursive=True)
-    return store.open_output_stream(path)
+    return store.open_output_stream(path, compression=None)
 
 
 def open_file(uri: str):

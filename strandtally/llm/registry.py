@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strandtally.llm import decontam, language_id, line_dedup, packing, simhash, token_files, url_filter
+from strandtally.llm import decontam, language_id, line_dedup, packing, simhash, token_files, url_filter, warc
 
 QUERIES = {
+    "op1_warc_chunks": warc.op1_warc_chunks,
     "op2_simhash": simhash.op2_simhash,
     "op3_packing": packing.op3_packing,
     "op5_url_globs": url_filter.op5_url_globs,
@@ -14,6 +15,7 @@ QUERIES = {
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 SQL = {
+    "op1_warc_chunks": warc.SQL,
     "op5_url_globs": url_filter.SQL,
     "op9_winnowing": decontam.SQL,
     "op10_line_dedup": line_dedup.SQL,
