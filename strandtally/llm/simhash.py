@@ -134,3 +134,8 @@ def simhash_components(docs: DataFrame, doc_col: str = "doc_id", text_col: str =
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     out = simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_duplicate_groups(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) for shingles of five words."""
+    return simhash_components(docs, doc_col, text_col, shingle=5).select("doc_id", "component_id")
