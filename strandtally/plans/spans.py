@@ -92,15 +92,19 @@ def batch_plan(placed: DataFrame, cap: int) -> DataFrame:
 def block_map(batches: DataFrame, positioned: DataFrame, last: DataFrame) -> DataFrame:
     """(file_id, batch_start, compressed_offset, src_start, src_end, batch_from, batch_to): which part of each member lies where in a batch.
 
-    ``last`` has (file_id, data_end): where the last batch ends. Members meet batches through the
-    batch that is current at the member's begin and those that begin within the member.
+    ``last`` has (file_id, data_end): where the last batch ends. Begins of members and of batches cut
+    each file into pieces; a piece belongs to the last member and the last batch that began by then,
+    so one sort of the cuts does what a join on overlapping intervals would.
     """
-    by_file = Window.partitionBy("file_id").orderBy("batch_start")
-    ends = batches.join(last, "file_id").select("file_id", "batch_start", F.coalesce(F.lead("batch_start").over(by_file), F.col("data_end")).alias("batch_end"))
-    mem = positioned.select("file_id", "compressed_offset", "uncompressed_len", "position", (F.col("position") + F.col("uncompressed_len")).alias("end"))
-    both = mem.join(ends, (mem.file_id == ends.file_id) & (mem.position < ends.batch_end) & (mem.end > ends.batch_start)).drop(ends.file_id)
-    src_start, src_end = F.greatest(F.lit(0), F.col("batch_start") - F.col("position")), F.least(F.col("uncompressed_len"), F.col("batch_end") - F.col("position"))
-    return both.select("file_id", "batch_start", "compressed_offset", src_start.cast("long").alias("src_start"), src_end.cast("long").alias("src_end"), (F.col("position") + src_start - F.col("batch_start")).cast("long").alias("batch_from"), (F.col("position") + src_end - F.col("batch_start")).cast("long").alias("batch_to"))
+    null = F.lit(None).cast("long")
+    cuts = positioned.where("uncompressed_len > 0").select("file_id", F.col("position").alias("at"), F.col("position").alias("member"), F.col("compressed_offset").alias("offset"), (F.col("position") + F.col("uncompressed_len")).alias("member_end"), null.alias("batch"))
+    starts = batches.select("file_id", F.col("batch_start").alias("at"), null.alias("member"), null.alias("offset"), null.alias("member_end"), F.col("batch_start").alias("batch"))
+    merged = cuts.unionByName(starts).groupBy("file_id", "at").agg(*[F.max(c).alias(c) for c in ("member", "offset", "member_end", "batch")])
+    by_file = Window.partitionBy("file_id").orderBy("at")
+    so_far = by_file.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pieces = merged.select("file_id", "at", F.lead("at").over(by_file).alias("next"), *[F.last(c, ignorenulls=True).over(so_far).alias(c) for c in ("member", "offset", "member_end", "batch")])
+    pieces = pieces.join(last, "file_id").withColumn("to", F.least("member_end", "data_end", F.coalesce("next", "data_end"))).where("batch IS NOT NULL AND member IS NOT NULL AND to > at")
+    return pieces.select("file_id", F.col("batch").alias("batch_start"), F.col("offset").alias("compressed_offset"), (F.col("at") - F.col("member")).alias("src_start"), (F.col("to") - F.col("member")).alias("src_end"), (F.col("at") - F.col("batch")).alias("batch_from"), (F.col("to") - F.col("batch")).alias("batch_to"))
 
 
 def translate(offsets: DataFrame, mapped: DataFrame) -> DataFrame:
