@@ -1,0 +1,14 @@
+"""Registered queries against their SQL."""
+
+import pytest
+
+from strandtally.llm.registry import QUERIES, SQL
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_matches_sql(name, same):
+    same(QUERIES[name], SQL[name])
+
+
+def test_one_query_for_each_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
