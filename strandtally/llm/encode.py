@@ -9,93 +9,109 @@ from __future__ import annotations
 
 import functools
 import os
-from dataclasses import dataclass, field
 
 import numpy as np
 
 MEMORY = 800_000
 #: Letters that all Unicode versions agree on.
 _LAST_LETTER = "ɏ"
+_STOPS = (",", ".")
 
 
-@dataclass
 class Encoder:
-    path: str
-    spaced: bool  #: a segment begins with the space before it, as in byte-level BPE
-    known: dict[str, bytes] = field(default_factory=dict)
+    """``spaced``: the tokenizer keeps the space before a word in the word's ids, as byte-level BPE does."""
 
-    def __post_init__(self):
+    def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(self.path)
+        self.spaced = spaced
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        # stands between segments that are encoded together, and is a token by itself there
-        self.mark = "\n" if self.spaced else "|"
+        self.after: dict[str, bytes] = {}  #: ids of words that a space stands before
+        self.start: dict[str, bytes] = {} if spaced else self.after  #: ids of all other segments
+        # stands between words that are encoded together, and is a token by itself there
+        self.mark = "\n" if spaced else "|"
         self.mark_id = self.tokenizer.encode(self.mark, add_special_tokens=False).ids[0]
+        self.feed = self._ids("\n")
 
-    def segments(self, text: str) -> list[str]:
-        """Parts of the text that can be encoded one by one."""
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def lines(self, text: str) -> list[list[str]] | None:
+        """The words of each line; None if there is white space other than single ones between words."""
         if not self.spaced:
             # white space separates and leaves no ids; case is folded by the tokenizer
-            return (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
-        parts = text.split(" ")
-        out, first = [], True
-        for part in parts:
-            piece = part if first else " " + part
+            return [(text.lower() if text.isascii() else text).replace("\n", " ").split(" ")]
+        lines = text.split("\n")
+        if "  " in text or not all(x and x[0] != " " and x[-1] != " " and x.isprintable() for x in lines):
+            return None
+        return [x.split(" ") for x in lines]
+
+    def segments(self, text: str) -> list[str]:
+        """Parts of any text that can be encoded one by one; each has the space before it."""
+        out: list[str] = []
+        for i, part in enumerate(text.split(" ")):
+            piece = " " + part if i else part
             if out and (not part or part[0].isspace() or out[-1][-1:].isspace()):
                 out[-1] += piece
             else:
                 out.append(piece)
-            first = False
-        if "\n" in text:
-            out = [x for s in out for x in self._lines(s)]
         return out
 
-    @staticmethod
-    def _lines(segment: str) -> list[str]:
-        """A line feed between two characters other than white space is a token by itself."""
-        parts = segment.split("\n")
-        if len(parts) == 1 or not all(parts) or any(p[-1].isspace() for p in parts[:-1]) or any(p[0].isspace() for p in parts[1:]):
-            return [segment]
-        out = [parts[0]]
-        for p in parts[1:]:
-            out += ["\n", p]
-        return out
-
-    def _encode_new(self, segments: list[str]) -> None:
-        """Several segments in one call, split at the mark between them; odd ones one by one."""
+    def _learn(self, words: set[str], known: dict[str, bytes], before: str) -> None:
+        """Add the ids of words that are not known yet, each with ``before`` in front."""
+        new = words.difference(known)
+        if not new:
+            return
+        # letters (in lower case too) followed by one comma or stop: the boundary between them is certain
+        ends = [s for s in new if s[-1:] in _STOPS and s[:-1].lower().isalpha() and max(s) <= _LAST_LETTER]
+        new.difference_update(ends)
+        new.update([s[:-1] for s in ends if s[:-1] not in known])
         mark, glue = self.mark, self.mark if self.spaced else f" {self.mark} "
-        plain = [s for s in segments if s and mark not in s and not s[-1].isspace() and not s.startswith(("  ", "\t")) and (s.isascii() or s.lstrip(" ").isalpha())]
+        # no white space but a space in front, so that the mark stays a token by itself
+        plain = [s for s in new if s and s.isprintable() and mark not in s and s.rfind(" ") < 1 and s != " "]
         for at in range(0, len(plain), 256):
             part = plain[at : at + 256]
-            ids = np.array(self.tokenizer.encode(glue.join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark_id)
-            if len(cuts) != len(part) - 1:
-                continue
-            raw, a = ids.tobytes(), 0
-            for s, b in zip(part, [*(4 * cuts).tolist(), len(raw)], strict=True):
-                self.known[s] = raw[a:b]
-                a = b + 4
-        for s in segments:
-            if s not in self.known:
-                self.known[s] = np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = np.array(self.tokenizer.encode(before + (glue + before).join(part), add_special_tokens=False).ids, "<u4")
+            cuts = (4 * np.flatnonzero(ids == self.mark_id)).tolist()
+            if len(cuts) == len(part) - 1:
+                raw = ids.tobytes()
+                known.update(zip(part, [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)], strict=True)], strict=True))
+        for s in new:
+            if s not in known:
+                known[s] = self._ids(before + s)
+        for s in ends:
+            known[s] = known[s[:-1]] + self.start[s[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text, its ids as little-endian unsigned 32-bit integers."""
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        cut = [self.segments(t) for t in texts]
-        known = self.known
-        new = {s for parts in cut for s in parts if s not in known}
-        if new:
-            # letters followed by one comma or stop: the boundary between them is certain
-            ends = {s: s[:-1] for s in new if len(s) > 2 and s[-1] in ",." and s[:-1].lstrip(" ").isalpha() and max(s) <= _LAST_LETTER and s.count(" ") <= 1}
-            alone = list((new - ends.keys()) | {s for s in ends.values() if s not in known} | {x for x in ",." if x not in known})
-            self._encode_new(alone)
-            for s, stem in ends.items():
-                known[s] = known[stem] + known[s[-1]]
-        return [b"".join([known[s] for s in parts]) for parts in cut]
+        if len(self.after) + len(self.start) > MEMORY:
+            self.after.clear()
+            self.start.clear()
+        start, after = self.start, self.after
+        cut = [self.lines(t) for t in texts]
+        odd = {i: self.segments(t) for i, (t, c) in enumerate(zip(texts, cut, strict=True)) if c is None}
+        first, rest = set(_STOPS), set()
+        for lines in cut:
+            for words in lines or ():
+                first.add(words[0])
+                rest.update(words[1:])
+        self._learn(first.union(*odd.values()), start, "")
+        self._learn(rest, after, " " if self.spaced else "")
+        out = []
+        for i, lines in enumerate(cut):
+            if lines is None:
+                out.append(b"".join([start[s] for s in odd[i]]))
+                continue
+            parts = []
+            for words in lines:
+                if parts:
+                    parts.append(self.feed)
+                parts.append(start[words[0]])
+                parts.extend(map(after.__getitem__, words[1:]))
+            out.append(b"".join(parts))
+        return out
 
 
 @functools.lru_cache(maxsize=2)
