@@ -211,10 +211,11 @@ def _bgzf_members(s, d):
 
 
 def _scan_coverage(s, d):
-    """Written and read totals side by side."""
+    """What was written and what is read back, a row each."""
     paths, manifest = _bam(s, d)
-    back = s.read.format("bam").load(paths).agg(F.count("*").alias("records_read"), F.sum(F.col("block_size") + 4).alias("bytes_read"))
-    return manifest.agg(F.sum("records").alias("records_written"), F.sum("bytes").alias("bytes_written")).crossJoin(back)
+    written = manifest.agg(F.lit("written").alias("side"), F.sum("records").alias("records"), F.sum("bytes").alias("bytes"))
+    back = s.read.format("bam").load(paths)
+    return written.unionByName(back.agg(F.lit("read").alias("side"), F.count("*").alias("records"), F.sum(F.col("block_size") + 4).alias("bytes")))
 
 
 def _flagstat_stream(s, d):
@@ -316,5 +317,5 @@ SQL = {
     "bai_linear_index": f"WITH {_A} SELECT DISTINCT ref_id, CAST((pos // 16384) * 16384 AS BIGINT) AS window_start FROM a",
     "physical_endpoints": "SELECT 0::BIGINT AS empty, 0::BIGINT AS in_first_member",
     "bgzf_members": "SELECT count(*) * 37 AS record_bytes FROM lineitem",
-    "scan_coverage": "SELECT count(*) AS records_written, count(*) * 37 AS bytes_written, count(*) AS records_read, count(*) * 37 AS bytes_read FROM lineitem",
+    "scan_coverage": "SELECT side, count(*) AS records, count(*) * 37 AS bytes FROM lineitem, (VALUES ('written'), ('read')) AS v(side) GROUP BY side",
 }

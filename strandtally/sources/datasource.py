@@ -21,7 +21,7 @@ from strandtally.sources.bam import decode, read_header, read_index, record_offs
 from strandtally.sources.bgzf import FormatError, data_end, read_member
 
 ALIGNMENTS = "path string, span_id long, record_offset long, block_size long, ref_id int, mapq int, flag int, next_ref_id int"
-CHUNK_SPANS = 256
+CHUNK_BYTES = 16 << 20  #: a batch is passed on when its spans reach this size
 
 
 @dataclass
@@ -60,7 +60,7 @@ def plan(path: str, max_compressed: int, index: str | None = None) -> list[Range
 
 
 def inflate_spans(file, part: Range, max_uncompressed: int):
-    """(number of first span, data, span starts, span ends) of up to CHUNK_SPANS spans at a time."""
+    """(number of first span, data, span starts, span ends) of spans that hold CHUNK_BYTES together, or one larger span."""
     todo, data, starts, first = list(part.anchors), bytearray(), [], part.first
     file.seek(todo[0] >> 16)
     while True:
@@ -69,7 +69,7 @@ def inflate_spans(file, part: Range, max_uncompressed: int):
         while todo and todo[0] >> 16 == at and todo[0] & 65535 == 0:
             starts.append(len(data))
             todo.pop(0)
-        if starts and (not todo or len(starts) > CHUNK_SPANS):
+        if starts and (not todo or starts[-1] > CHUNK_BYTES):
             whole = starts[:-1] if len(starts) > 1 else []
             if whole:
                 yield first, np.frombuffer(bytes(data[: starts[-1]]), np.uint8), np.array(whole), np.array(starts[1:])
