@@ -139,12 +139,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_id"
         raise ValueError("gram must be between 1 and window")
     spark = docs.sparkSession
     occurrences = materialize(benchmark_windows(benchmark, item_col, item_text_col, gram, window).withColumn("win", F.sha2(F.concat_ws(" ", "words"), 256)), "bench-windows")
-    # at most 2 ** filter_bits positions and `window` lengths reach the driver
-    cells = np.array([r[0] for r in occurrences.select(F.expr(f"fp & {(1 << filter_bits) - 1}").alias("c")).distinct().collect()], dtype=np.int64)
-    bits = np.zeros(1 << filter_bits, np.uint8)
-    bits[cells] = 1
+    # 2 ** filter_bits bits, gathered in words of 64, and at most `window` lengths reach the driver
+    cells = occurrences.select(F.expr(f"fp & {(1 << filter_bits) - 1}").alias("cell"))
+    found = cells.groupBy(F.expr("shiftright(cell, 6)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(cell & 63 AS INT))")).alias("bits")).collect()
+    bitmap = np.zeros(max(1, (1 << filter_bits) // 64), np.int64)
+    for r in found:
+        bitmap[r.word] = r.bits
     short = sorted(r[0] for r in occurrences.select(F.size("words").alias("n")).where(F.col("n") < window).distinct().collect())
-    scanned = materialize(scan_documents(docs, doc_col, text_col, gram, window, np.packbits(bits, bitorder="little").tobytes(), filter_bits, short), "bench-hits")
+    scanned = materialize(scan_documents(docs, doc_col, text_col, gram, window, bitmap.tobytes(), filter_bits, short), "bench-hits")
 
     windows = occurrences.select("fp", "off", "words", "win").dropDuplicates(["win"])
     hits = scanned.where("doc_id is not null and size(hits) > 0").select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
