@@ -212,3 +212,20 @@ def test_round_trip_and_command_line(spark, tmp_path, capsys):
 def test_bad_command_lines(argv, capsys):
     with pytest.raises(SystemExit):
         main(argv)
+
+
+def test_bounded_stream_reaches_the_end(spark, put, tmp_path):
+    """One range a micro-batch, with the default trigger."""
+    from strandtally.operators.flagstat import counters
+
+    datasource.register(spark)
+    path = file_with(put, [record(*r[:4]) for r in RECORDS], 40, [1, 2, 3])
+    stream = spark.readStream.format("bam").option("streaming", "bounded").option("maxCompressedBytes", 1).load(path)
+    query = counters(stream).writeStream.outputMode("complete").format("memory").queryName("bounded").option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        query.processAllAvailable()
+        batches = [p for p in query.recentProgress if p.numInputRows]
+    finally:
+        query.stop()
+    assert spark.table("bounded").first() == flagstat(spark.read.format("bam").load(path)).first()
+    assert len(batches) == len(datasource.plan(path, 1)) > 1
