@@ -12,7 +12,7 @@ import os
 
 import numpy as np
 
-MEMORY = 800_000
+MEMORY = 400_000
 #: Letters that all Unicode versions agree on.
 _LAST_LETTER = "ɏ"
 _STOPS = (",", ".")

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandtally.llm.textscan import pieces
+
 SYMBOLS = 40
 DIM = 512
 UNKNOWN = "und"
@@ -63,9 +65,17 @@ def trigram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return which, counts[which]
 
 
+def bundle(which: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sum of trigram vectors, each taken so many times; a few MB of vectors at a time."""
+    total = np.zeros(DIM)
+    for at in range(0, len(which), 2048):
+        total += counts[at : at + 2048].astype(np.float32) @ trigram_vectors()[which[at : at + 2048]].astype(np.float32)
+    return total
+
+
 def profile(text: str | None) -> np.ndarray | None:
     which, counts = trigram_counts(text)
-    return counts.astype(np.float32) @ trigram_vectors()[which].astype(np.float32) if len(which) else None
+    return bundle(which, counts) if len(which) else None
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_languages: int = 1000) -> dict[str, np.ndarray]:
@@ -75,13 +85,14 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_l
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             counts: dict[str, np.ndarray] = {}
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                which, n = trigram_counts(text)
-                if len(which):
-                    counts.setdefault(lang, np.zeros(SYMBOLS**3, np.int64))[which] += n
+            for part in pieces(batch):
+                for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    which, n = trigram_counts(text)
+                    if len(which):
+                        counts.setdefault(lang, np.zeros(SYMBOLS**3, np.int64))[which] += n
             for lang, n in counts.items():
                 which = np.flatnonzero(n)
-                sums[lang] = sums.get(lang, 0) + n[which].astype(np.float64) @ trigram_vectors()[which].astype(np.float64)
+                sums[lang] = sums.get(lang, 0) + bundle(which, n[which])
         lang = list(sums)
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array([sums[k] for k in lang], pa.list_(pa.float64()))], ["lang", "v"])
 
@@ -102,7 +113,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def predict(texts: pa.Array) -> pa.Array:
         lang, score = [], []
-        for text in texts.to_pylist():
+        for text in (t.as_py() for t in texts):
             v = profile(text) if names else None
             if v is None:
                 lang.append(UNKNOWN)

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandtally.llm.textscan import pieces
 from strandtally.shared import materialize
 
 STRIP = " \t\n\x0b\x0c\r"
@@ -46,7 +47,7 @@ def line_references(docs: DataFrame, doc_col: str, text_col: str, min_chars: int
     """(key, doc_id) of every long line, once for each document."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, 1024)):
             keys, at = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 own = {line_key(x, min_chars) for x in (text or "").split("\n")} - {None}
@@ -218,7 +219,7 @@ class LineIndex:
         @F.arrow_udf("struct<text: string, n_lines: long, n_dropped: long>")
         def cut(texts: pa.Array, drops: pa.Array) -> pa.Array:
             kept, lines, dropped = [], [], []
-            for text, keys in zip(texts.to_pylist(), drops.to_pylist(), strict=True):
+            for text, keys in ((t.as_py(), k.as_py()) for t, k in zip(texts, drops, strict=True)):
                 own = (text or "").split("\n")
                 lines.append(len(own))
                 if keys:
@@ -231,6 +232,8 @@ class LineIndex:
                     kept.append(text)
             return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], ["text", "n_lines", "n_dropped"])
 
+        # so marked, it is not run again for a filter on its result
+        cut = cut.asNondeterministic()
         drops = self.drops().select(F.col("doc_id").alias("__line_dedup_doc"), F.col("keys").alias(_DROPS))
         out = docs.join(drops, docs[self.doc_col] == F.col("__line_dedup_doc"), "left").withColumn("__line_dedup", cut(F.col(self.text_col).cast("string"), F.col(_DROPS)))
         keep = [F.col("__line_dedup.text").alias(c) if c == self.text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]

@@ -1,7 +1,6 @@
 """Vectorised word scanning of Arrow string columns.
 
-Words are found and hashed on the UTF-8 bytes of a whole Arrow column at once, a few MB at a
-time, so that memory stays bounded by the largest single text.
+Words are found and hashed on the UTF-8 bytes of many texts at once, half a MB at a time, so that memory stays bounded by the largest single text.
 """
 
 from __future__ import annotations
@@ -13,13 +12,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SCAN_BYTES = 2 << 20
+SCAN_BYTES = 1 << 19
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _powers: dict[str, np.ndarray] = {}
 
 
+def pieces(batch, rows: int = 256):
+    """A record batch or array in slices of so many rows: Python objects of one slice at a time exist."""
+    for at in range(0, len(batch), rows):
+        yield batch.slice(at, rows)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = (h ^ (h >> np.uint64(30))) * _M1
