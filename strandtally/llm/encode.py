@@ -8,11 +8,12 @@ Segments repeat, so each worker remembers the ids of up to ``MEMORY`` of them.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 
 import numpy as np
 
-MEMORY = 400_000
+MEMORY = 800_000
 #: Letters that all Unicode versions agree on.
 _LAST_LETTER = "ɏ"
 _STOPS = (",", ".")
@@ -86,10 +87,13 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text, its ids as little-endian unsigned 32-bit integers."""
-        if len(self.after) + len(self.start) > MEMORY:
-            self.after.clear()
-            self.start.clear()
         start, after = self.start, self.after
+        if len(after) + len(start) > MEMORY:
+            # the words that came first are the frequent ones
+            for known in (after, start) if self.spaced else (after,):
+                early = list(itertools.islice(known.items(), len(known) // 2))
+                known.clear()
+                known.update(early)
         cut = [self.lines(t) for t in texts]
         odd = {i: self.segments(t) for i, (t, c) in enumerate(zip(texts, cut, strict=True)) if c is None}
         first, rest = set(_STOPS), set()
