@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandtally.llm.textscan import ALNUM_WORDS, Words, mix, scan
+from strandtally.llm.textscan import ALNUM_WORDS, Words, mix, scan, take_turn
 from strandtally.shared import materialize
 
 _HITS = "array<struct<fp: long, at: int, from_word: int, context: array<string>>>"
@@ -102,6 +102,7 @@ def scan_documents(docs: DataFrame, doc_col: str, text_col: str, gram: int, wind
     doc_type = docs.schema[doc_col].dataType.simpleString()
 
     def run(batches):
+        take_turn("scan")
         bits = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").astype(bool)
         cut = np.uint64((1 << filter_bits) - 1)
         for batch in batches:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandtally.llm.textscan import pieces
+from strandtally.llm.textscan import give_back, pieces, take_turn
 
 SYMBOLS = 40
 DIM = 512
@@ -82,6 +82,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_l
     """Unit prototype of each language."""
 
     def run(batches):
+        take_turn("language", trigram_vectors.cache_clear)
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             counts: dict[str, np.ndarray] = {}
@@ -95,6 +96,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_l
                 sums[lang] = sums.get(lang, 0) + bundle(which, n[which])
         lang = list(sums)
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array([sums[k] for k in lang], pa.list_(pa.float64()))], ["lang", "v"])
+        give_back()
 
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
     parts = rows.mapInArrow(run, "lang string, v array<double>").select("lang", F.posexplode("v").alias("i", "x"))
@@ -112,6 +114,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def predict(texts: pa.Array) -> pa.Array:
+        take_turn("language", trigram_vectors.cache_clear)
         lang, score = [], []
         for text in (t.as_py() for t in texts):
             v = profile(text) if names else None

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandtally.llm.textscan import pieces
+from strandtally.llm.textscan import give_back, pieces, take_turn
 from strandtally.shared import materialize
 
 STRIP = " \t\n\x0b\x0c\r"
@@ -47,6 +47,7 @@ def line_references(docs: DataFrame, doc_col: str, text_col: str, min_chars: int
     """(key, doc_id) of every long line, once for each document."""
 
     def run(batches):
+        take_turn("scan")
         for batch in (p for b in batches for p in pieces(b, 1024)):
             keys, at = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
@@ -54,6 +55,7 @@ def line_references(docs: DataFrame, doc_col: str, text_col: str, min_chars: int
                 keys += own
                 at += [i] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0).take(pa.array(at, pa.int64()))], ["key", "doc_id"])
+        give_back()
 
     rows = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     return rows.mapInArrow(run, f"key binary, doc_id {docs.schema[doc_col].dataType.simpleString()}").distinct()

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandtally.llm.encode import encoder
+from strandtally.llm.textscan import give_back, take_turn
 from strandtally.shared import materialize
 
 
@@ -45,6 +46,7 @@ def cut_documents(docs: DataFrame, doc_col: str, text_col: str, tokenizer: str,
     """One row per piece, with its number ``ord`` within its class and worker."""
 
     def run(batches):
+        take_turn("encoder", encoder.cache_clear)
         worker, seen, encode = TaskContext.get().partitionId(), Counter(), encoder(tokenizer, spaced).encode
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
@@ -64,6 +66,7 @@ def cut_documents(docs: DataFrame, doc_col: str, text_col: str, tokenizer: str,
                 values = np.array(rows, np.int64).reshape(-1, 5)
                 doc = part.column(0).take(pa.array(which, pa.int64()))
                 yield pa.RecordBatch.from_arrays([doc, *[pa.array(values[:, j]) for j in range(5)], pa.array([worker] * len(rows), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ord", "worker", "ids"])
+        give_back()
 
     rows = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema[doc_col].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, ord long, worker long, ids array<int>")

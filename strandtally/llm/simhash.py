@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from strandtally.llm.components import SALTS, connected_components, with_group_min
 from strandtally.llm.decontam import gram_hashes
 from strandtally.llm.line_dedup import LOWER
-from strandtally.llm.textscan import SPACE_WORDS, mix, scan
+from strandtally.llm.textscan import SPACE_WORDS, give_back, mix, scan, take_turn
 from strandtally.shared import materialize
 
 SEED = 42
@@ -160,6 +160,7 @@ def sketches(docs: DataFrame, doc_col: str, text_col: str, shingle: int) -> Data
     """
 
     def run(batches):
+        take_turn("scan")
         salts = mix(np.arange(1, SKETCH_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         for batch in batches:
             for words in scan(batch.column(1), SPACE_WORDS):
@@ -183,6 +184,7 @@ def sketches(docs: DataFrame, doc_col: str, text_col: str, shingle: int) -> Data
                     pairs = itertools.combinations(range(KEY_WORDS), 2)
                     keys.append([a << 40 | b << 36 | x << 14 | y for a, b in pairs for x in near[a] for y in near[b]] if len(own) else [])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.first, words.n_texts), pa.array(same), pa.array(size), pa.array(sketch, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "same", "n", "sketch", "keys"])
+        give_back()
 
     rows = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema[doc_col].dataType.simpleString()}, same long, n long, sketch array<long>, keys array<long>")

@@ -5,7 +5,9 @@ Words are found and hashed on the UTF-8 bytes of many texts at once, half a MB a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +27,25 @@ def pieces(batch, rows: int = 256):
         yield batch.slice(at, rows)
 
 
+def give_back() -> None:
+    """Return freed memory to the system; a worker that waits for its next task then holds little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def take_turn(name: str, forget: Callable[[], None] | None = None) -> None:
+    """Let go of what other operators have remembered in this worker; ``forget`` does that for the caller later."""
+    for other in [k for k in _remembered if k != name]:
+        _remembered.pop(other)()
+    if forget:
+        _remembered[name] = forget
+    give_back()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = (h ^ (h >> np.uint64(30))) * _M1

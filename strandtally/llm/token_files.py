@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandtally.files import create, open_file
 from strandtally.llm.elias_fano import EliasFano
 from strandtally.llm.encode import encoder
-from strandtally.llm.files import create, open_file
+from strandtally.llm.textscan import give_back, take_turn
 from strandtally.shared import materialize, new_path
 
 MAGIC = b"STTOKEN1"
@@ -99,6 +100,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, doc_col: str
     folder = folder or new_path(docs.sparkSession, "token-files")
 
     def run(batches):
+        take_turn("encoder", encoder.cache_clear)
         shard, made, writer = TaskContext.get().partitionId(), encoder(tokenizer, spaced), None
         width = 2 if max(made.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         path = f"{folder}/{shard:06d}-{uuid.uuid4().hex}.tokens"
@@ -111,6 +113,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, doc_col: str
         if writer:
             n_docs, n_ids = writer.close()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]})
+        give_back()
 
     rows = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
