@@ -2,44 +2,44 @@
 
 Tokens are the words of the text (A-Z lower-cased) and one end. The unigram model has all words of
 the training texts, discounted by D: ``P(w) = (c - D) / N``, and ``D * V / N`` for any word that is
-not among them. Its counts stay in a distributed table that grows with the corpus.
-
-On top of it stands a bigram automaton. A word that makes up at least one ``STATES``-th of the
-training tokens is a state; so is the begin of a text. A pair of states that makes up at least one
-``ARCS``-th of the tokens is an arc; its weight is ``(c(u, w) - D) / c(u) + fail(u) * P(w)``. For
-any other word the failure arc of u leads to the root, with weight ``fail(u)``, which is what the
-arcs' discounted counts leave. Probabilities after each state sum to one. Both thresholds are
-shares of the corpus, so there are never more than ``STATES`` states and ``ARCS`` arcs (a few MB,
-sent to all workers), however large the corpus is, and they mean the same at every size.
-
-A text is scored in one traversal from left to right, which carries the state. The unigram counts
-reach it by blocks of documents: every word of a block is looked up once for the whole block.
-
-Words are known by 64-bit hashes. Cases: null text is the end alone; without training texts every
-probability is one; rows of equal id are scored each; null ids are training texts; extra columns
+not among them.
+
+On top of it stands a bigram automaton. Every word of the training texts is a state, and so is the
+begin of a text; every pair of tokens that follow each other there is an arc, whose weight is
+``(c(u, w) - D) / c(u) + fail(u) * P(w)``. For any other word the failure arc of u leads to the root,
+with weight ``fail(u)``, which is what the arcs' discounted counts leave. Probabilities after each
+state sum to one. ``states`` and ``arcs`` keep only those that make up such a share of the corpus, for
+callers that want a smaller model; without them nothing is dropped.
+
+Counts of words and pairs grow with the corpus and are never collected. Texts are taken in blocks.
+Each block sends its distinct words and pairs, packed, to shards: a word's pairs go to the shard of
+the word, those of the few words that are a fixed share of the corpus to shards of their own. Shards
+add up, and give each block the counts of its own words and pairs back, in the order in which it
+sent them, so keys travel once; a block that no task saw as a whole gets them with the keys.
+
+Words and pairs are known by 64-bit hashes. Cases: null text is the end alone; without training texts
+every probability is one; rows of equal id are scored each; null ids are training texts; extra columns
 are ignored.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strandtally.llm.language_id import held_out
-from strandtally.llm.textscan import SPACE_WORDS, scan
+from strandtally.llm.textscan import SPACE_WORDS, mix, scan
 from strandtally.shared import materialize
 
 D = 0.75
-STATES = 20_000
-ARCS = 200_000
+#: Words that make up one HOT-th of the tokens have their pairs spread over all shards.
+HOT = 2000
 BLOCK_ROWS = 2048
-#: What stands for the end of a text among the word hashes.
-END = np.uint64(0x0E0D0E0D0E0D0E0D)
+SHARD_TOKENS = 2_000_000
+#: What stands for the end and the begin of a text among the word hashes.
+END, BEGIN = np.uint64(0x0E0D0E0D0E0D0E0D), np.uint64(0x0B0E0B0E0B0E0B0E)
 _FLUSH = 1 << 21
 
 
@@ -52,109 +52,211 @@ def _tokens(column: pa.Array):
         yield words.first, words.n_texts, out, bounds
 
 
-def block_words(rows: DataFrame) -> DataFrame:
-    """(block, h, c): each word hash of a block of texts, and its count in training texts."""
+def frequent(rows: DataFrame, share: int | None) -> tuple[int, np.ndarray]:
+    """The number of training tokens, and the sorted words that make up one ``share``-th of them.
+
+    Without a share, words of about one HOT-th: rare words of each part are left out of the sum then.
+    """
 
     def run(batches):
-        block, parts = None, []
+        parts, held = [], 0
 
         def flush():
-            h = np.concatenate([p[0] for p in parts])
-            trained = np.concatenate([p[1] for p in parts])
-            distinct, at = np.unique(h, return_inverse=True)
-            c = np.bincount(at, weights=trained, minlength=len(distinct)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), block)), pa.array(distinct.view(np.int64)), pa.array(c)], ["block", "h", "c"])
+            h, c = np.unique(np.concatenate(parts), return_counts=True)
+            often = c * (4 * HOT) >= held if share is None else c > 0
+            return pa.RecordBatch.from_arrays([pa.array([None, *h[often].view(np.int64).tolist()], pa.int64()), pa.array([held, *c[often].tolist()], pa.int64())], ["h", "c"])
 
         for batch in batches:
-            blocks, train = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            edges = np.concatenate([[0], np.flatnonzero(blocks[1:] != blocks[:-1]) + 1, [len(blocks)]])
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if b > a and parts and (blocks[a] != block or sum(len(p[0]) for p in parts) > _FLUSH):
+            for _, _, tokens, _ in _tokens(batch.column(0)):
+                parts.append(tokens)
+                held += len(tokens)
+                if held > _FLUSH:
                     yield flush()
-                    parts = []
-                for first, n, tokens, bounds in _tokens(batch.column(2).slice(a, b - a)):
-                    block = blocks[a]
-                    parts.append((tokens, np.repeat(train[a + first : a + first + n], np.diff(bounds))))
-        if parts:
+                    parts, held = [], 0
+        if held:
             yield flush()
 
-    return rows.mapInArrow(run, "block long, h long, c long")
+    sums = materialize(rows.where("train").select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "lm-frequent")
+    total = sums.where("h is null").first()
+    n = total.c if total else 0
+    top = sums.where(F.col("h").isNotNull() & (F.col("c") * (2 * HOT if share is None else share) >= n)).select("h").collect()
+    return n, np.sort(np.array([r.h for r in top], np.int64).view(np.uint64))
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values occur in ``known`` (sorted)."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs."""
+    return values.astype(np.min_scalar_type(int(values.max())) if len(values) else np.uint8).tobytes()
+
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}" if n else np.uint8).astype(np.int64)
+
+
+class Tally:
+    """The distinct words and pairs of a block in the order in which they are sent.
+
+    ``h``, ``c``, ``run``: an entry for each word in its shard, and for each spread word in the shards
+    of its pairs; its training count (in its own shard), and how many pairs follow. ``p``, ``k``: hash
+    and training count of each pair, by entry.
+    """
+
+    def __init__(self, tokens: np.ndarray, bounds: np.ndarray, train: np.ndarray, hot: np.ndarray, shards: int, limited: bool):
+        trained = np.repeat(train, np.diff(bounds))
+        word, at = np.unique(np.concatenate([tokens, np.full(len(train), BEGIN)]), return_inverse=True)
+        count = np.bincount(at, weights=np.concatenate([trained, train]), minlength=len(word)).astype(np.int64)
+        before = histories(tokens, bounds)
+        pair = pair_hash(before, tokens)
+        if limited:
+            both = ((before == BEGIN) | _among(before, hot)) & _among(tokens, hot)
+            before, pair, trained = before[both], pair[both], trained[both]
+        pair, first, at = np.unique(pair, return_index=True, return_inverse=True)
+        k, u = np.bincount(at, weights=trained, minlength=len(pair)).astype(np.int64), before[first]
+        home = np.where((u == BEGIN) | _among(u, hot), pair, u) % np.uint64(shards)
+        shard, h = np.concatenate([word % np.uint64(shards), home]), np.concatenate([word, u])
+        order = np.lexsort((h, shard))
+        new = np.ones(len(order), bool)
+        new[1:] = (shard[order][1:] != shard[order][:-1]) | (h[order][1:] != h[order][:-1])
+        entry = np.empty(len(order), np.int64)
+        entry[order] = np.cumsum(new) - 1
+        self.shard, self.h = shard[order][new].astype(np.int64), h[order][new]
+        self.c, self.run = np.zeros(len(self.h), np.int64), np.bincount(entry[len(word) :], minlength=len(self.h))
+        self.c[entry[: len(word)]] = count
+        order = np.lexsort((pair, entry[len(word) :]))
+        self.p, self.k = pair[order], k[order]
+
+
+def histories(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """What stands before each token."""
+    before = np.roll(tokens, 1)
+    before[bounds[:-1]] = BEGIN
+    return before
 
 
-def unigrams(rows: DataFrame) -> DataFrame:
-    """(block, h, c, first): each word hash of a block with its count over all training texts; first marks one row of each hash."""
-    by = Window.partitionBy("h")
-    return block_words(rows).select("block", "h", F.sum("c").over(by).alias("c"), (F.row_number().over(by.orderBy("block")) == 1).alias("first"))
+def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(mix(u) + w)
 
 
-def pair_counts(rows: DataFrame, states: np.ndarray, width: int) -> DataFrame:
-    """(pair, c): how often two states follow each other in training texts; pair is ``u * width + w``."""
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of consecutive columns, and the token range of each text."""
+    lengths = np.concatenate([np.diff(b) for _, b in parts])
+    return np.concatenate([t for t, _ in parts]), np.concatenate([[0], np.cumsum(lengths)])
+
+
+_SENT = "shard long, block long, whole boolean, h binary, c binary, run binary, p binary, k binary"
+
+
+def slices(rows: DataFrame, hot: np.ndarray, shards: int, limited: bool) -> DataFrame:
+    """What each block sends to each shard; ``whole`` if it is all of the block."""
 
     def run(batches):
-        seen, counts, held = [], [], 0
+        block, parts, trains, size = None, [], [], 0
 
         def flush():
-            keys, at = np.unique(np.concatenate(seen), return_inverse=True)
-            c = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c)], ["pair", "c"])
+            train = np.concatenate(trains)
+            t = Tally(*_joined(parts), train, hot, shards, limited)
+            ids, starts = np.unique(t.shard, return_index=True)
+            ends, pairs = [*starts[1:], len(t.h)], np.concatenate([[0], np.cumsum(t.run)])
+            out = []
+            for i, a, b in zip(ids.tolist(), starts.tolist(), ends, strict=True):
+                x, y = int(pairs[a]), int(pairs[b])
+                out.append((i, int(block), len(train) == size, t.h[a:b].tobytes(), _pack(t.c[a:b]), _pack(t.run[a:b]), t.p[x:y].tobytes(), _pack(t.k[x:y])))
+            types = [pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * 5]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["shard", "block", "whole", "h", "c", "run", "p", "k"])
 
         for batch in batches:
-            for _, _, tokens, bounds in _tokens(batch.column(0)):
-                ids = state_ids(tokens, states)
-                before = np.concatenate([[0], ids[:-1]])
-                before[bounds[:-1]] = width - 1
-                both = (ids > 0) & (before > 0)
-                keys, c = np.unique(before[both] * width + ids[both], return_counts=True)
-                seen.append(keys)
-                counts.append(c)
-                held += len(keys)
-                if held > _FLUSH:
+            blocks, train, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(blocks[1:] != blocks[:-1]) + 1, [len(blocks)]])
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if b > a and parts and (blocks[a] != block or sum(len(t) for t, _ in parts) > _FLUSH):
                     yield flush()
-                    seen, counts, held = [], [], 0
-        if held:
+                    parts, trains = [], []
+                for first, n, tokens, bounds in _tokens(batch.column(2).slice(a, b - a)):
+                    block, size = blocks[a], sizes[a]
+                    parts.append((tokens, bounds))
+                    trains.append(train[a + first : a + first + n].astype(bool))
+        if parts:
             yield flush()
 
-    return rows.where("train").select("text").mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+    sizes = rows.groupBy(F.col("block").alias("of")).agg(F.count("*").alias("size"))
+    sized = rows.join(F.broadcast(sizes), F.col("block") == F.col("of")).select("block", "train", "text", "size")
+    return sized.mapInArrow(run, _SENT)
 
 
-def state_ids(tokens: np.ndarray, states: np.ndarray) -> np.ndarray:
-    """1, 2, ... for tokens that are states (sorted hashes), 0 for others."""
-    if not len(states):
-        return np.zeros(len(tokens), np.int64)
-    at = np.minimum(np.searchsorted(states, tokens), len(states) - 1)
-    return np.where(states[at] == tokens, at + 1, 0)
+_GIVEN = "block long, shard long, whole boolean, h binary, c binary, n binary, s binary, p binary, k binary, word long, followers long, followed long, v long"
 
 
-class BackoffAutomaton:
-    """States 0 (root), 1.. (words), width - 1 (begin of text); arcs by ``u * width + w``; failure weights by state."""
+def totals(sent: DataFrame, n: int, hot: np.ndarray, arcs: int | None) -> DataFrame:
+    """The sums, in the order of what was sent.
 
-    def __init__(self, n: int, v: int, states: np.ndarray, counts: np.ndarray, begins: int, pairs: list[tuple[int, int]]):
-        self.n, self.v, self.states, self.width = n, v, states, len(states) + 2
-        history = np.concatenate([[0], counts, [begins]])
-        left = np.ones(self.width)
-        for pair, c in pairs:
-            left[pair // self.width] -= (c - D) / history[pair // self.width]
-        unigram = self.word_weight(counts)
-        self.fail = [0.0, *[math.log10(max(x, 1e-12)) for x in left[1:]]]
-        self.arcs = {pair: math.log10((c - D) / history[pair // self.width] + left[pair // self.width] * 10 ** unigram[pair % self.width - 1]) for pair, c in pairs}
-
-    def word_weight(self, counts: np.ndarray) -> np.ndarray:
-        """log10 P of words with these training counts."""
-        if not self.n:
-            return np.zeros(len(counts))
-        return np.log10(np.where(counts > 0, counts - D, D * self.v) / self.n)
-
-    def traverse(self, ids: list[int], weights: list[float]) -> float:
-        """The log10 probability of a text: its tokens' states and unigram weights, from left to right."""
-        state, total, arcs, fail, width = self.width - 1, 0.0, self.arcs, self.fail, self.width
-        for word, weight in zip(ids, weights, strict=True):
-            arc = arcs.get(state * width + word) if word and state else None
-            total += fail[state] + weight if arc is None else arc
-            state = word
-        return total
-
-
-def train_and_score(docs: DataFrame, train: Column, block: Column | None = None, doc_col: str = "doc_id", text_col: str = "text", states: int = STATES, arcs: int = ARCS) -> DataFrame:
+    By entry: the word's count, and number and summed counts of its arcs (``n``, ``s``); by pair: the
+    arc's count, 0 if it is none. Rows without a block have the share of a spread word's arcs that a
+    shard has (``word``, ``followers``, ``followed``), or the number of its training words (``v``).
+    """
+    spread = np.union1d(hot, [BEGIN])
+
+    def run(table: pa.Table) -> pa.Table:
+        got = {k: table[k].to_pylist() for k in table.column_names}
+        lengths = [len(x) // 8 for x in got["h"]]
+        h = np.frombuffer(b"".join(got["h"]), np.uint64)
+        c, follow = (np.concatenate([_unpack(x, m) for x, m in zip(got[k], lengths, strict=True)]) for k in ("c", "run"))
+        sizes = [len(x) // 8 for x in got["p"]]
+        p = np.frombuffer(b"".join(got["p"]), np.uint64)
+        k = np.concatenate([_unpack(x, m) for x, m in zip(got["k"], sizes, strict=True)])
+        word, at = np.unique(h, return_inverse=True)
+        count = np.bincount(at, weights=c, minlength=len(word)).astype(np.int64)
+        pair, first, to = np.unique(p, return_index=True, return_inverse=True)
+        arc = np.bincount(to, weights=k, minlength=len(pair)).astype(np.int64)
+        arc[arc * arcs < n if arcs else arc < 1] = 0
+        u = np.repeat(at, follow)[first]
+        followers = np.bincount(u[arc > 0], minlength=len(word))
+        followed = np.bincount(u, weights=arc, minlength=len(word)).astype(np.int64)
+        out, e, x = [], 0, 0
+        for i, (m, size) in enumerate(zip(lengths, sizes, strict=True)):
+            own, whole = at[e : e + m], got["whole"][i]
+            out.append((got["block"][i], got["shard"][i], whole, None if whole else got["h"][i], _pack(count[own]), _pack(followers[own]), _pack(followed[own]), None if whole else got["p"][i], _pack(arc[to[x : x + size]]), None, None, None, None))
+            e, x = e + m, x + size
+        for i in np.flatnonzero(_among(word, spread) & (followers > 0)):
+            out.append((*[None] * 9, int(word[i].astype(np.int64)), int(followers[i]), int(followed[i]), 0))
+        out.append((*[None] * 12, int(np.count_nonzero(count[word != BEGIN]))))
+        types = [pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * 6, *[pa.int64()] * 4]
+        names = [f.split()[0] for f in _GIVEN.split(", ")]
+        return pa.table({name: pa.array(col, t) for name, col, t in zip(names, zip(*out, strict=True), types, strict=True)})
+
+    return sent.groupBy("shard").applyInArrow(run, _GIVEN)
+
+
+class Counts:
+    """The counts of a block's words and pairs, from what the shards gave back."""
+
+    def __init__(self, given: pa.Table, tally: Tally, shards: int):
+        got = sorted(given.select(["shard", "whole", "h", "c", "n", "s", "p", "k"]).to_pylist(), key=lambda r: r["shard"])
+        if all(r["whole"] for r in got):
+            lengths = np.bincount(tally.shard, minlength=shards)
+            sizes = np.bincount(tally.shard, weights=tally.run, minlength=shards).astype(np.int64)
+            lengths, sizes = ([int(x[r["shard"]]) for r in got] for x in (lengths, sizes))
+            h, p, shard = tally.h, tally.p, tally.shard
+            if sum(lengths) != len(h):
+                raise ValueError("a block's texts are not those whose words were counted")
+        else:
+            lengths, sizes = [len(r["h"]) // 8 for r in got], [len(r["p"]) // 8 for r in got]
+            h, p = (np.frombuffer(b"".join([r[k] for r in got]), np.uint64) for k in ("h", "p"))
+            shard = np.repeat([r["shard"] for r in got], lengths)
+        columns = [np.concatenate([_unpack(r[k], m) for r, m in zip(got, lengths, strict=True)]) for k in ("c", "n", "s")]
+        own = np.flatnonzero(h % np.uint64(shards) == shard.astype(np.uint64))
+        self.h, at = np.unique(h[own], return_index=True)
+        self.c, self.n, self.s = (x[own][at] for x in columns)
+        self.p, at = np.unique(p, return_index=True)
+        self.k = np.concatenate([_unpack(r["k"], m) for r, m in zip(got, sizes, strict=True)])[at]
+
+
+def train_and_score(docs: DataFrame, train: Column, block: Column | None = None, doc_col: str = "doc_id", text_col: str = "text", states: int | None = None, arcs: int | None = None) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     ``block`` groups a few thousand rows; rows of a block are best stored together.
@@ -162,38 +264,43 @@ def train_and_score(docs: DataFrame, train: Column, block: Column | None = None,
     if block is None:
         block = F.pmod(F.xxhash64(doc_col), F.lit(docs.count() // BLOCK_ROWS + 1))
     rows = docs.select(block.cast("long").alias("block"), train.alias("train"), F.col(text_col).cast("string").alias("text"), F.col(doc_col).alias("doc_id"))
-    words = materialize(unigrams(rows.select("block", "train", "text")), "lm-unigrams")
-    n, v = words.where("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.count_if(F.col("c") > 0), F.lit(0))).first()
-    # at most `states` words have such a share, and at most `arcs` pairs
-    top = words.where(F.col("first") & (F.col("c") > 0) & (F.col("c") * states >= n)).select("h", "c").collect()
-    known = dict(sorted((int(np.int64(r.h).view(np.uint64)), r.c) for r in top))
-    hashes, counts = np.array(list(known), np.uint64), np.array(list(known.values()), np.int64)
-    begins = words.where(F.col("first") & (F.col("h") == int(END.view(np.int64)))).select("c").first()
-    pairs = pair_counts(rows.select("train", "text"), hashes, len(hashes) + 2).where(F.col("c") * arcs >= n).collect() if n else []
-    model = BackoffAutomaton(n, v, hashes, counts, begins[0] if begins else 0, [(r.pair, r.c) for r in pairs])
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def score(texts: pa.Table, slices: pa.Table) -> pa.Table:
-        model: BackoffAutomaton = sent.value
-        h = slices["h"].to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        h, c = h[order], slices["c"].to_numpy()[order]
-        n_tokens, n_known, base, total = [], [], [], []
-        for _, _, tokens, bounds in _tokens(texts["text"].combine_chunks()):
-            count = c[np.searchsorted(h, tokens)]
-            n_tokens.append(np.diff(bounds))
-            n_known.append(np.add.reduceat((count > 0).astype(np.int64), bounds[:-1]))
-            base.append(np.add.reduceat(np.log10((count + 1) / (model.n + model.v + 1)), bounds[:-1]))
-            ids, weights = state_ids(tokens, model.states), model.word_weight(count)
-            total.append([model.traverse(ids[a:b].tolist(), weights[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
-        return pa.table({"doc_id": texts["doc_id"], "train": texts["train"], "n_tokens": np.concatenate(n_tokens), "n_known": np.concatenate(n_known), "train_tokens": np.full(texts.num_rows, model.n), "base_score": np.concatenate(base), "score": np.concatenate(total)})
-
-    def scored(texts: pa.Table, slices: pa.Table) -> pa.Table:
-        out = score(texts, slices) if texts.num_rows else pa.table({k: [] for k in ("doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
+    n, hot = frequent(rows, states)
+    shards, limited = n // SHARD_TOKENS + 1, states is not None
+    given = materialize(totals(slices(rows, hot, shards, limited), n, hot, arcs), "lm-counts")
+    spread = given.where("block is null").groupBy("word").agg(F.sum("followers").alias("n"), F.sum("followed").alias("s"), F.sum("v").alias("v")).collect()
+    v = sum(r.v for r in spread)
+    arcs_of = sorted((int(np.int64(r.word).astype(np.uint64)), r.n, r.s) for r in spread if r.word is not None)
+    sent = docs.sparkSession.sparkContext.broadcast((np.array([x[0] for x in arcs_of], np.uint64), *[np.array([x[i] for x in arcs_of], np.int64) for i in (1, 2)], hot))
+
+    def score(texts: pa.Table, given: pa.Table) -> pa.Table:
+        often, often_n, often_s, hot = sent.value
+        tokens, bounds = _joined([(t, b) for _, _, t, b in _tokens(texts["text"].combine_chunks())])
+        trained = texts["train"].to_numpy().astype(bool)
+        counts = Counts(given, Tally(tokens, bounds, trained, hot, shards, limited), shards)
+        before = histories(tokens, bounds)
+        at, u = np.searchsorted(counts.h, tokens), np.searchsorted(counts.h, before)
+        count, history, followers, followed = counts.c[at], counts.c[u], counts.n[u], counts.s[u]
+        if len(often):
+            to, spread = np.minimum(np.searchsorted(often, before), len(often) - 1), _among(before, often)
+            followers, followed = np.where(spread, often_n[to], followers), np.where(spread, often_s[to], followed)
+        pair, arc = pair_hash(before, tokens), np.zeros(len(tokens), np.int64)
+        if len(counts.p):
+            arc = np.where(_among(pair, counts.p), counts.k[np.minimum(np.searchsorted(counts.p, pair), len(counts.p) - 1)], 0)
+        weight = np.where(count > 0, count - D, D * v) / n if n else np.ones(len(tokens))
+        some = np.maximum(history, 1)
+        fail = np.maximum(1 - (followed - D * followers) / some, 1e-12)
+        total = np.log10(np.where(arc > 0, (arc - D) / some, 0) + fail * weight)
+        known = np.add.reduceat((count > 0).astype(np.int64), bounds[:-1])
+        base = np.add.reduceat(np.log10((count + 1) / (n + v + 1)), bounds[:-1])
+        return pa.table({"doc_id": texts["doc_id"], "train": texts["train"], "n_tokens": np.diff(bounds), "n_known": known, "train_tokens": np.full(texts.num_rows, n), "base_score": base, "score": np.add.reduceat(total, bounds[:-1])})
+
+    def scored(texts: pa.Table, given: pa.Table) -> pa.Table:
+        out = score(texts, given) if texts.num_rows else pa.table({k: [] for k in ("doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
         return out.cast(pa.schema([("doc_id", texts.schema.field("doc_id").type), ("train", pa.bool_()), *[(k, pa.int64()) for k in ("n_tokens", "n_known", "train_tokens")], ("base_score", pa.float64()), ("score", pa.float64())]))
 
     out = f"doc_id {docs.schema[doc_col].dataType.simpleString()}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("block").cogroup(words.select("block", "h", "c").groupBy("block")).applyInArrow(scored, out)
+    back = given.where("block is not null").select("block", "shard", "whole", "h", "c", "n", "s", "p", "k")
+    return rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(scored, out)
 
 
 def op7_backoff_lm(spark, sf_dir: str) -> DataFrame:

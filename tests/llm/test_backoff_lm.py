@@ -62,6 +62,23 @@ def test_against_the_definition(spark, nasty, by_block):
         assert mass(u) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("by_block", [False, True])
+def test_no_pair_is_dropped(spark, monkeypatch, by_block):
+    """With many tokens a pair seen once is still an arc, whether a task sees whole blocks or not."""
+    from strandtally.llm import backoff_lm
+
+    monkeypatch.setattr(backoff_lm, "SHARD_TOKENS", 20_000)
+    monkeypatch.setattr(backoff_lm, "HOT", 200)
+    texts = [rng_text(i, 3000, 3000) for i in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    train = F.col("doc_id") % 10 != 0
+    out = {r.doc_id: r for r in train_and_score(docs, train, F.floor(F.col("doc_id") / 40) if by_block else F.spark_partition_id()).collect()}
+    score, _ = plain_model([t for i, t in enumerate(texts) if i % 10], 10**9, 10**9)
+    assert out[0].train_tokens > 200_000
+    for i, t in enumerate(texts):
+        assert out[i].score == pytest.approx(score(t)[4], abs=1e-4)
+
+
 def test_better_than_its_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     out = train_and_score(docs, ~held_out("doc_id", 7, 2)).where("not train").agg(F.sum("score"), F.sum("base_score")).first()
