@@ -26,6 +26,7 @@ tie these together; rows with a null id get no component; extra columns are igno
 from __future__ import annotations
 
 import itertools
+import math
 from functools import reduce
 
 import numpy as np
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from strandtally.llm.components import SALTS, connected_components, with_group_min
 from strandtally.llm.decontam import gram_hashes
 from strandtally.llm.line_dedup import LOWER
-from strandtally.llm.textscan import SPACE_WORDS, give_back, mix, scan, take_turn
+from strandtally.llm.textscan import SPACE_WORDS, Words, give_back, mix, scan, take_turn
 from strandtally.shared import materialize
 
 SEED = 42
@@ -140,22 +141,30 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
 
 # Near-duplicates at a similarity, beyond the reach of a small radius.
 
-#: 64-bit words of a sketch, and how many of them give keys.
+#: 64-bit words of a sketch.
 SKETCH_WORDS = 16
-KEY_WORDS = 4
-#: Ranks of the nearest pivots whose pairs make a key.
-_RANKS = ((0, 1), (0, 2), (1, 2), (0, 3))
-#: What the estimate may fall short of the similarity asked for, about one standard error of 1024 bits.
-SLACK = 0.02
+#: What the estimate may fall short of the similarity asked for, about six standard errors of 1024 bits.
+SLACK = 0.16
+#: Sets below this size are too small for the estimate and are always compared themselves.
+ESTIMATED = 64
 SMALL = 24
 
 
-def sketches(docs: DataFrame, doc_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id, same, n, sketch, keys): a long SimHash of the set of shingles, and the nearest-pivot keys.
+def _shingles(words: Words, grams: np.ndarray, i: int, shingle: int) -> np.ndarray:
+    """The sorted set of hashed shingles of the i-th text."""
+    lo, hi = int(words.bounds[i]), int(words.bounds[i + 1])
+    return np.unique(grams[lo : hi - shingle + 1]) if hi - lo >= shingle else mix(np.cumsum(words.hash[lo:hi]) + np.uint64(hi - lo))[-1:]
 
-    Each bit of a fingerprint has two pivots, all texts that lean to 1 there and all that lean to 0;
-    how far a text leans (its count of ones less zeros) says how near it is to them. Similar texts
-    have the same nearest pivots, so a key names a pair of the nearest pivots in each of two words.
+
+def _set_hash(own: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(mix(own)).view(np.int64)) if len(own) else 0
+
+
+def sketches(docs: DataFrame, doc_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(doc_id, same, n, sketch, keys): a long SimHash of the set of shingles, and the set's prefix.
+
+    Sets of a Jaccard similarity of at least t have ``t * n`` members of each in common, so among the
+    ``n - ceil(t * n) + 1`` smallest hashes of each is one that both have: the keys miss no pair.
     ``same`` is a hash of the set, ``n`` its size.
     """
 
@@ -167,22 +176,17 @@ def sketches(docs: DataFrame, doc_col: str, text_col: str, shingle: int) -> Data
                 grams, _ = gram_hashes(words, shingle)
                 same, size, sketch, keys = [], [], [], []
                 for i in range(words.n_texts):
-                    lo, hi = int(words.bounds[i]), int(words.bounds[i + 1])
-                    own = np.unique(grams[lo : hi - shingle + 1]) if hi - lo >= shingle else mix(np.cumsum(words.hash[lo:hi]) + np.uint64(hi - lo))[-1:]
-                    same.append(int(np.bitwise_xor.reduce(mix(own)).view(np.int64)) if len(own) else 0)
+                    own = _shingles(words, grams, i, shingle)
+                    same.append(_set_hash(own))
                     size.append(len(own))
-                    bits, near = [], []
-                    for j, salt in enumerate(salts):
+                    bits = []
+                    for salt in salts:
                         # few enough bits are kept in memory at once, however long the text is
                         lean = sum((2 * np.unpackbits(mix(part ^ salt).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) - len(part) for part in np.array_split(own, len(own) // 65536 + 1)), np.zeros(64, np.int64))
                         bits.append(int(np.packbits(lean > 0, bitorder="little").view("<i8")[0]))
-                        if j < KEY_WORDS:
-                            order = np.argsort(-np.abs(lean), kind="stable")
-                            pivot = (2 * order + (lean[order] > 0)).tolist()
-                            near.append([min(pivot[x], pivot[y]) << 7 | max(pivot[x], pivot[y]) for x, y in _RANKS])
                     sketch.append(bits)
-                    pairs = itertools.combinations(range(KEY_WORDS), 2)
-                    keys.append([a << 40 | b << 36 | x << 14 | y for a, b in pairs for x in near[a] for y in near[b]] if len(own) else [])
+                    # rounding may only make the prefix longer
+                    keys.append(own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1].view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.first, words.n_texts), pa.array(same), pa.array(size), pa.array(sketch, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "same", "n", "sketch", "keys"])
         give_back()
 
@@ -190,6 +194,21 @@ def sketches(docs: DataFrame, doc_col: str, text_col: str, shingle: int) -> Data
     return rows.mapInArrow(run, f"doc_id {docs.schema[doc_col].dataType.simpleString()}, same long, n long, sketch array<long>, keys array<long>")
 
 
+def shingle_sets(docs: DataFrame, doc_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(doc_id, same, grams): the whole set of each text."""
+
+    def run(batches):
+        for batch in batches:
+            for words in scan(batch.column(1), SPACE_WORDS):
+                grams, _ = gram_hashes(words, shingle)
+                for part in range(0, words.n_texts, 256):
+                    own = [_shingles(words, grams, i, shingle) for i in range(part, min(part + 256, words.n_texts))]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.first + part, len(own)), pa.array([_set_hash(x) for x in own]), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], ["doc_id", "same", "grams"])
+
+    rows = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {docs.schema[doc_col].dataType.simpleString()}, same long, grams array<long>")
+
+
 def _estimate(a: str, b: str) -> Column:
     """Jaccard similarity of two sets from their sketches and sizes (columns a.sketch, a.n, ...)."""
     differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH_WORDS)])
@@ -197,28 +216,41 @@ def _estimate(a: str, b: str) -> Column:
     return common / (F.col(f"{a}.n") + F.col(f"{b}.n") - common)
 
 
-def _alike(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose estimated similarity is high enough."""
+def _likely(a: str, b: str, similarity: float) -> Column:
+    """Whether two sets may be that similar, by their sizes and sketches."""
+    sizes = F.least(f"{a}.n", f"{b}.n") >= F.lit(similarity - 1e-9) * F.greatest(f"{a}.n", f"{b}.n")
+    return sizes & ((F.least(f"{a}.n", f"{b}.n") < ESTIMATED) | (_estimate(a, b) >= similarity - SLACK))
+
+
+def _alike(pairs: DataFrame, known: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose Jaccard similarity is high enough; ``sets`` has (doc_id, same, grams) of all texts."""
     met = pairs.join(known.alias("a"), F.col("u") == F.col("a.id")).join(known.alias("b"), F.col("v") == F.col("b.id"))
-    return met.where(_estimate("a", "b") >= similarity - SLACK).select("u", "v")
+    likely = materialize(met.where(_likely("a", "b", similarity)).select("u", "v"), "near-likely")
+    asked = likely.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(known.select("id", "same"), "id").select(F.col("id").alias("id1"), F.col("same").alias("same1"))
+    held = sets.join(asked, (F.col("doc_id") == F.col("id1")) & (F.col("same") == F.col("same1"))).dropDuplicates(["doc_id"])
+    held = materialize(held.select(F.col("doc_id").alias("id"), "grams"), "near-sets")
+    both = likely.join(held.alias("a"), F.col("u") == F.col("a.id")).join(held.alias("b"), F.col("v") == F.col("b.id"))
+    common = F.size(F.array_intersect("a.grams", "b.grams"))
+    return both.where(common * (1 + similarity) >= similarity * (F.size("a.grams") + F.size("b.grams")) - 1e-9).select("u", "v")
 
 
 def near_duplicate_groups(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of documents whose sets of shingles link at a similarity of 0.8 or more.
 
-    Documents with equal sets are one class. Classes meet under nearest-pivot keys. A key of up to SMALL
-    classes gives all pairs. In a larger one, each class is compared with two leaders only: first with
+    Documents with equal sets are one class. Classes meet under the smallest hashes of their shingles. A key
+    of up to SMALL classes gives all pairs. In a larger one, each class is compared with two leaders only: first with
     the class of the smallest hash, then with the class that had the most links so far, which in a
-    group of copies is the text that they all come from. Similarity is estimated from 1024-bit sketches.
+    group of copies is the text that they all come from. Sketches of 1024 bits only discard pairs that are
+    far from similar; the sets of the others are compared.
     Of several rows with one id, one stands for the document; rows without an id are left out.
     """
-    made = materialize(sketches(docs, doc_col, text_col, shingle).where("doc_id is not null"), "near-sketches")
+    made = materialize(sketches(docs, doc_col, text_col, shingle, similarity).where("doc_id is not null"), "near-sketches")
     versions = made.groupBy("doc_id").agg(F.min(F.struct("same", "n")).alias("class"))
     members = materialize(with_group_min(versions, "class", "doc_id", "id"), "near-members")
     heads = members.where("doc_id = id").select("id", F.col("class.same").alias("same1"), F.col("class.n").alias("n1"))
     reps = made.join(heads, (F.col("doc_id") == F.col("id")) & (F.col("same") == F.col("same1")) & (F.col("n") == F.col("n1")), "left_semi").dropDuplicates(["doc_id"])
-    reps = materialize(reps.select(F.col("doc_id").alias("id"), "n", "sketch", "keys"), "near-classes")
-    known = reps.select("id", "n", "sketch")
+    reps = materialize(reps.select(F.col("doc_id").alias("id"), "same", "n", "sketch", "keys"), "near-classes")
+    known, sets = reps.select("id", "same", "n", "sketch"), shingle_sets(docs.where(F.col(doc_col).isNotNull()), doc_col, text_col, shingle)
     keyed = reps.select("id", F.explode("keys").alias("key"))
     shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "near-shared")
     met = materialize(keyed.join(shared, "key"), "near-met")
@@ -231,10 +263,10 @@ def near_duplicate_groups(docs: DataFrame, doc_col: str = "doc_id", text_col: st
         return led.where(F.col("best.id") != F.col("id")).select(F.least("id", "best.id").alias("u"), F.greatest("id", "best.id").alias("v"))
 
     by_hash = met.select("id").distinct().select("id", F.struct(F.xxhash64("id").alias("by"), "id").alias("rank"))
-    links = materialize(_alike(pairs.union(with_leader(by_hash)).distinct(), known, similarity), "near-links")
+    links = materialize(_alike(pairs.union(with_leader(by_hash)).distinct(), known, sets, similarity), "near-links")
     degree = links.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     by_links = met.select("id").distinct().join(degree, "id", "left").select("id", F.struct((-F.coalesce("links", F.lit(0))).alias("by"), "id").alias("rank"))
-    links = links.union(_alike(with_leader(by_links).distinct(), known, similarity))
+    links = links.union(_alike(with_leader(by_links).distinct(), known, sets, similarity))
     roots = connected_components(links)
     rooted = reps.select("id").join(roots, F.col("id") == F.col("node"), "left").select(F.col("id").alias("id2"), F.coalesce("root", "id").alias("component_id"))
     rooted = materialize(rooted, "near-roots")

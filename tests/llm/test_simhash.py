@@ -104,6 +104,40 @@ def test_near_duplicates_at_a_similarity(spark):
     assert len(wrong) <= 1
 
 
+def plain_sets(rows, shingle=5):
+    words = {i: (t or "").lower().split() for i, t in rows}
+    return {i: {tuple(w[j : j + shingle]) for j in range(max(1, len(w) - shingle + 1))} if w else set() for i, w in words.items()}
+
+
+def plain_groups(rows):
+    sets = plain_sets(rows)
+    return groups([(a, b) for a in sets for b in sets if a < b and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))], sets)
+
+
+def spaced_edits(text, k, mark):
+    """``k`` words changed, five apart at least: a similarity of (n - 5k) / (n + 5k) for n shingles."""
+    words = text.split()
+    for j in range(k):
+        words[10 + j * ((len(words) - 20) // k)] = f"{mark}{j}"
+    return " ".join(words)
+
+
+def test_near_duplicates_just_above_and_below(spark):
+    """Pairs at 0.79 to 0.82 and 0.8 itself are judged by their sets."""
+    rows = []
+    for k in range(30):
+        base = rng_text(2000 + k, 300, vocabulary=10**6)
+        rows += [(2 * k, base), (2 * k + 1, spaced_edits(base, 6 + k % 2, f"edit{k}x"))]
+    for k in range(10):
+        base = rng_text(3000 + k, 49, vocabulary=10**6)  # 45 shingles; five of them changed: 0.8
+        rows += [(100 + 2 * k, base), (101 + 2 * k, spaced_edits(base, 1, "e"))]
+    rows += [(200, "one two three four five six seven eight nine ten"), (201, "one two three four five six seven eight nine other")]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = plain_groups(rows)
+    assert 15 < sum(want[i] != i for i, _ in rows) < 30
+    assert got == want
+
+
 def test_near_duplicates_of_odd_rows(spark, nasty, empty):
     got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(nasty).collect()}
     assert len(got) == nasty.where("doc_id is not null").select("doc_id").distinct().count()
