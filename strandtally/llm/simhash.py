@@ -148,6 +148,8 @@ SLACK = 0.16
 #: Sets below this size are too small for the estimate and are always compared themselves.
 ESTIMATED = 64
 SMALL = 24
+#: Tasks among which the pairs of a crowded key are divided.
+TILES = 8
 
 
 def _shingles(words: Words, grams: np.ndarray, i: int, shingle: int) -> np.ndarray:
@@ -238,9 +240,10 @@ def near_duplicate_groups(docs: DataFrame, doc_col: str = "doc_id", text_col: st
     """(doc_id, component_id) of documents whose sets of shingles link at a similarity of 0.8 or more.
 
     Documents with equal sets are one class. Classes meet under the smallest hashes of their shingles. A key
-    of up to SMALL classes gives all pairs. In a larger one, each class is compared with two leaders only: first with
+    of up to SMALL classes gives all pairs. In a larger one, each class is compared with two leaders first: with
     the class of the smallest hash, then with the class that had the most links so far, which in a
-    group of copies is the text that they all come from. Sketches of 1024 bits only discard pairs that are
+    group of copies is the text that they all come from. Then all its classes that no links connect yet are
+    compared with each other, which finds what is left: pairs that are connected have nothing to add. Sketches of 1024 bits only discard pairs that are
     far from similar; the sets of the others are compared.
     Of several rows with one id, one stands for the document; rows without an id are left out.
     """
@@ -266,8 +269,18 @@ def near_duplicate_groups(docs: DataFrame, doc_col: str = "doc_id", text_col: st
     links = materialize(_alike(pairs.union(with_leader(by_hash)).distinct(), known, sets, similarity), "near-links")
     degree = links.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     by_links = met.select("id").distinct().join(degree, "id", "left").select("id", F.struct((-F.coalesce("links", F.lit(0))).alias("by"), "id").alias("rank"))
-    links = links.union(_alike(with_leader(by_links).distinct(), known, sets, similarity))
+    links = materialize(links.union(_alike(with_leader(by_links).distinct(), known, sets, similarity)), "near-links")
     roots = connected_components(links)
+    apart = known.alias("k").join(roots, F.col("k.id") == F.col("node"), "left").select("k.*", F.coalesce("root", "id").alias("root"))
+    apart = crowded.join(apart.withColumnRenamed("id", "id1"), F.col("id") == F.col("id1")).select("key", "id", "n", "sketch", "root")
+    # keys whose classes are all connected are done
+    split = materialize(apart.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key"), "near-split")
+    apart = materialize(apart.join(split, "key").withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(TILES)).cast("int")), "near-apart")
+    tiles = apart.drop("slot").withColumn("slot", F.explode(F.array(*[F.lit(i) for i in range(TILES)])))
+    a, b = apart.alias("a"), tiles.alias("b")
+    met_on = (F.col("a.key") == F.col("b.key")) & (F.col("a.slot") == F.col("b.slot")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root"))
+    rest = a.join(b, met_on & _likely("a", "b", similarity)).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
+    roots = connected_components(links.union(_alike(rest, known, sets, similarity)))
     rooted = reps.select("id").join(roots, F.col("id") == F.col("node"), "left").select(F.col("id").alias("id2"), F.coalesce("root", "id").alias("component_id"))
     rooted = materialize(rooted, "near-roots")
     return members.join(rooted, F.col("id") == F.col("id2")).select("doc_id", "component_id")

@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 import xxhash
@@ -138,6 +140,20 @@ def test_near_duplicates_just_above_and_below(spark):
     assert got == want
 
 
+def test_crowded_keys_miss_no_pair(spark, monkeypatch):
+    """Documents of six of ten passages each, so that all keys are crowded; each has a near-duplicate."""
+    monkeypatch.setattr(simhash, "SMALL", 2)
+    passages = [rng_text(4000 + k, 50, vocabulary=10**6) for k in range(10)]
+    rows = []
+    for k, chosen in enumerate(list(itertools.combinations(passages, 6))[::6]):
+        text = " ".join(chosen)
+        rows += [(2 * k, text), (2 * k + 1, spaced_edits(text, 5, f"e{k}x"))]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = plain_groups(rows)
+    assert len(set(want.values())) == len(rows) // 2
+    assert got == want
+
+
 def test_near_duplicates_of_odd_rows(spark, nasty, empty):
     got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(nasty).collect()}
     assert len(got) == nasty.where("doc_id is not null").select("doc_id").distinct().count()
