@@ -155,7 +155,12 @@ TILES = 8
 def _shingles(words: Words, grams: np.ndarray, i: int, shingle: int) -> np.ndarray:
     """The sorted set of hashed shingles of the i-th text."""
     lo, hi = int(words.bounds[i]), int(words.bounds[i + 1])
-    return np.unique(grams[lo : hi - shingle + 1]) if hi - lo >= shingle else mix(np.cumsum(words.hash[lo:hi]) + np.uint64(hi - lo))[-1:]
+    if hi - lo >= shingle:
+        return np.unique(grams[lo : hi - shingle + 1])
+    own = np.full(min(hi - lo, 1), np.uint64(hi - lo))
+    for at in range(lo, hi):
+        own = mix(own ^ words.hash[at : at + 1]) * np.uint64(0x9E3779B97F4A7C15)
+    return own
 
 
 def _set_hash(own: np.ndarray) -> int:

@@ -154,6 +154,12 @@ def test_crowded_keys_miss_no_pair(spark, monkeypatch):
     assert got == want
 
 
+def test_short_texts_keep_their_word_order(spark):
+    rows = [(0, "yes no"), (1, "no yes"), (2, "Yes  NO"), (3, "a b c d"), (4, "d c b a"), (5, "yes"), (6, ""), (7, None)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4, 5: 5, 6: 6, 7: 6}
+
+
 def test_near_duplicates_of_odd_rows(spark, nasty, empty):
     got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(nasty).collect()}
     assert len(got) == nasty.where("doc_id is not null").select("doc_id").distinct().count()
