@@ -7,6 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 
 BLOCK = 512  #: bits of the upper part that one directory entry covers
+_PART = 1 << 16
 
 
 @dataclass
@@ -29,7 +30,9 @@ class EliasFano:
         n = len(values)
         universe = int(values[-1]) + 1 if n else 1
         bits = max(0, (universe // max(1, n)).bit_length() - 1)
-        low = np.packbits(((values[:, None] >> np.arange(bits)) & 1).astype(np.uint8).ravel(), bitorder="little")
+        # so many values at a time that each part fills whole bytes
+        parts = [np.packbits(((values[at : at + _PART, None] >> np.arange(bits)) & 1).astype(np.uint8).ravel(), bitorder="little") for at in range(0, n, _PART)]
+        low = np.concatenate([np.zeros(0, np.uint8), *parts])
         ones = (values >> bits) + np.arange(n)
         size = -(-((int(ones[-1]) + 1) if n else 1) // BLOCK) * BLOCK
         flags = np.zeros(size, np.uint8)

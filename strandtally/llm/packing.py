@@ -17,6 +17,7 @@ their own; null ids stay; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import Counter
 
@@ -28,10 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandtally.llm.encode import encoder
-from strandtally.llm.textscan import give_back, take_turn
+from strandtally.llm.textscan import give_back, pieces, take_turn
 from strandtally.shared import materialize
 
 
+@functools.lru_cache(maxsize=65536)
 def piece_lengths(n: int, capacity: int) -> list[int]:
     """How a document of n ids is cut."""
     out = [capacity] * (n // capacity)
@@ -48,19 +50,17 @@ def cut_documents(docs: DataFrame, doc_col: str, text_col: str, tokenizer: str,
     def run(batches):
         take_turn("encoder", encoder.cache_clear)
         worker, seen, encode = TaskContext.get().partitionId(), Counter(), encoder(tokenizer, spaced).encode
-        end = int(end_id).to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in pieces(batch, 4096):
                 rows, which, ids = [], [], []
-                for i, raw in enumerate(encode([t or "" for t in part.column(1).to_pylist()])):
-                    raw += end
-                    total, start = len(raw) // 4, 0
+                for i, body in enumerate(encode([t or "" for t in part.column(1).to_pylist()])):
+                    raw = np.append(body, np.uint32(end_id))
+                    total, start = len(raw), 0
                     for length in piece_lengths(total, capacity):
-                        own = raw[4 * start : 4 * (start + length)]
+                        own = raw[start : start + length]
                         which.append(i)
                         rows.append((start, length, zlib.crc32(own), total, seen[length]))
-                        ids.append(np.frombuffer(own, "<u4").astype(np.int32) if keep_ids else None)
+                        ids.append(own.astype(np.int32) if keep_ids else None)
                         seen[length] += 1
                         start += length
                 values = np.array(rows, np.int64).reshape(-1, 5)
@@ -94,14 +94,14 @@ def _first_fit(capacity: int):
     return run
 
 
-def harmonic_pack(pieces: DataFrame, capacity: int) -> DataFrame:
-    """``sequence_id`` and ``offset`` for pieces that carry ``length``, ``worker`` and ``ord``."""
-    counts = pieces.groupBy("length", "worker").agg(F.count("*").alias("n"))
+def harmonic_pack(cut: DataFrame, capacity: int) -> DataFrame:
+    """``sequence_id`` and ``offset`` for pieces (rows of ``cut``) that carry ``length``, ``worker`` and ``ord``."""
+    counts = cut.groupBy("length", "worker").agg(F.count("*").alias("n"))
     by_class = Window.partitionBy("length")
     before = by_class.orderBy("worker").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select(F.col("length").alias("l"), F.col("worker").alias("w"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(by_class).alias("all"))
     fit = F.expr(f"{capacity} div length")
-    numbered = pieces.join(base, (F.col("length") == F.col("l")) & (F.col("worker") == F.col("w"))).withColumn("ord", F.col("ord") + F.col("base")).withColumn("bin", F.floor(F.col("ord") / fit)).withColumn("offset", (F.col("ord") % fit) * F.col("length"))
+    numbered = cut.join(base, (F.col("length") == F.col("l")) & (F.col("worker") == F.col("w"))).withColumn("ord", F.col("ord") + F.col("base")).withColumn("bin", F.floor(F.col("ord") / fit)).withColumn("offset", (F.col("ord") % fit) * F.col("length"))
     numbered = materialize(numbered.withColumn("full", F.col("ord") < F.floor(F.col("all") / fit) * fit).drop("l", "w", "base", "all", "ord", "worker"), "packing")
     # class bins are told apart by their length, the first-fit bins have 0 in its place
     name = lambda kind: (F.col("bin") * (capacity + 1) + kind).cast("long").alias("sequence_id")
@@ -114,8 +114,8 @@ def harmonic_pack(pieces: DataFrame, capacity: int) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, doc_col: str = "doc_id", text_col: str = "text", spaced: bool = True, capacity: int = 2048, keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
-    pieces = materialize(cut_documents(docs, doc_col, text_col, tokenizer, spaced, end_id, capacity, keep_ids), "pieces")
-    out = harmonic_pack(pieces, capacity)
+    cut = materialize(cut_documents(docs, doc_col, text_col, tokenizer, spaced, end_id, capacity, keep_ids), "pieces")
+    out = harmonic_pack(cut, capacity)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if keep_ids else []))
 
 

@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from strandtally.files import create, open_file
 from strandtally.llm.elias_fano import EliasFano
 from strandtally.llm.encode import encoder
-from strandtally.llm.textscan import give_back, take_turn
+from strandtally.llm.textscan import give_back, pieces, take_turn
 from strandtally.shared import materialize, new_path
 
 MAGIC = b"STTOKEN1"
@@ -105,11 +105,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, doc_col: str
         width = 2 if max(made.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         path = f"{folder}/{shard:06d}-{uuid.uuid4().hex}.tokens"
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in pieces(batch, 4096):
                 writer = writer or TokenFileWriter(path, width)
                 for doc, raw in zip(part.column(0).to_pylist(), made.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    writer.add(doc, np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)))
+                    writer.add(doc, np.append(raw, np.uint32(end_id)))
         if writer:
             n_docs, n_ids = writer.close()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]})

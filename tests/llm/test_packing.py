@@ -7,6 +7,8 @@ from tokenizers import Tokenizer
 
 from strandtally.llm import packing
 from strandtally.llm.encode import Encoder
+from tests.conftest import SF
+from tests.llm.conftest import rng_text
 
 
 def plain_ids(text, tokenizer):
@@ -16,7 +18,6 @@ def plain_ids(text, tokenizer):
 @pytest.fixture(scope="module")
 def tokenizer():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return t
 
 
@@ -59,9 +60,53 @@ def test_empty_table(spark, empty):
 
 @pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_remembered_segments_change_nothing(name, spaced):
+    """Ids of any text are those of the tokenizer on the whole text, with its added tokens in text in any case."""
     import random
 
-    made, r = Encoder(public_tokenizers.path(name), spaced), random.Random(3)
-    texts = ["".join(r.choice(" \n\t.,'|aAbé1sＡ ́\r\x1c\xa0ΣσİǅX") for _ in range(r.randrange(40))) for _ in range(3000)]
-    for text, raw in zip(texts, made.encode(texts), strict=True):
-        assert np.frombuffer(raw, "<u4").tolist() == made.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    path = public_tokenizers.path(name)
+    made, plain, r = Encoder(path, spaced), Tokenizer.from_file(path), random.Random(3)
+    odd = [*" \n\t.,'|aAbé1sＡ \u0301\r\x1c\xa0ΣσİǅX!?$*", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|"]
+    even = ["abc", "Word", "é", "ÄßX", "Σ", "ıİ", "ª", " ", " ", "\n", ".", "***", "!?", "7", "it's"]
+    texts = ["".join(r.choice(kind) for _ in range(r.randrange(40))) for kind in (odd, even) for _ in range(3000)]
+    for text, ids in zip(texts, made.encode(texts), strict=True):
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_forgotten_words_are_learned_again(monkeypatch):
+    from strandtally.llm import encode
+
+    monkeypatch.setattr(encode, "MEMORY", 50)
+    monkeypatch.setattr(encode, "CHARS", 300)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    made, plain = Encoder(path, True), Tokenizer.from_file(path)
+    texts = [rng_text(i, 40) for i in range(30)] * 2
+    for text, ids in zip(texts, made.encode(texts), strict=True):
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_special_token_in_text(spark):
+    """By the contract: the tokenizer's ids of the whole text, special tokens in it included."""
+    docs = spark.createDataFrame([(1, "x <|endoftext|> y"), (2, "x <|ENDOFTEXT|> y")], "doc_id long, text string")
+    rows = {r.doc_id: r.doc_tokens for r in packing.pack_documents(docs, packing.byte_bpe_path(), 1).collect()}
+    assert rows == {1: 5, 2: len(plain_ids("x <|ENDOFTEXT|> y", Tokenizer.from_file(packing.byte_bpe_path())))}
+
+
+def check_query(rows, tokenizer, source, capacity=2048):
+    """Every piece against its own document's ids; pieces leave no gap in documents or sequences."""
+    want = {r.doc_id: plain_ids(r.text, tokenizer) for r in source}
+    assert set(rows.doc_id) == set(want)
+    for doc, own in rows.sort_values("start").groupby("doc_id"):
+        assert own.start.tolist() == [0, *np.cumsum(own.length)[:-1].tolist()]
+        assert own.length.sum() == len(want[doc]) == own.doc_tokens.iloc[0]
+        for r in own.itertuples():
+            assert zlib.crc32(want[doc][r.start : r.start + r.length].tobytes()) == r.ids_crc32
+    for _, s in rows.sort_values("offset").groupby("sequence_id"):
+        assert s.offset.tolist() == [0, *np.cumsum(s.length)[:-1].tolist()]
+        assert s.length.sum() <= capacity
+
+
+def test_query_against_brute_force(spark, tokenizer):
+    source = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    rows = packing.op3_packing(spark, SF).toPandas()
+    assert (rows.groupby("doc_id").size() > 1).any()
+    check_query(rows, tokenizer, source)

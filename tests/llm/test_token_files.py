@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 
 from strandtally.llm import token_files
 from strandtally.llm.elias_fano import EliasFano
+from tests.conftest import SF
 
 
 @settings(max_examples=200, deadline=None)
@@ -27,7 +28,6 @@ def test_elias_fano_is_small():
 
 def test_round_trip(spark, nasty):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     rows = token_files.read_token_files(token_files.write_token_files(nasty, token_files.word_bpe_path(), 2)).toPandas().sort_values("start")
     source = sorted(((r.doc_id is not None, r.doc_id or 0, r.text is not None, (r.text or "").encode()) for r in nasty.select("doc_id", "text").collect()))
     assert len(rows) == len(source)
@@ -39,6 +39,17 @@ def test_round_trip(spark, nasty):
         start += len(ids)
 
 
+def test_query_against_brute_force(spark):
+    tokenizer = Tokenizer.from_file(token_files.word_bpe_path())
+    got = {r.doc_id: tuple(r)[1:] for r in token_files.op6_token_files(spark, SF).collect()}
+    start, want = 0, {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect():
+        ids = np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
+        want[r.doc_id] = (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert got == want
+
+
 def test_empty_table_and_strange_file(spark, empty, tmp_path):
     assert token_files.read_token_files(token_files.write_token_files(empty, token_files.word_bpe_path(), 2)).count() == 0
     (tmp_path / "x").write_bytes(b"\0" * 100)
