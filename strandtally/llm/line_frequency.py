@@ -21,8 +21,10 @@ from strandtally.shared import materialize
 
 WHITE = r"[\x20\x09-\x0D]"
 WINDOW = 8
-MAX_DOCS = 100
-MIN_LEFT = 0.5
+#: A line that more documents of a host have is no text of theirs.
+MAX_DOCS = 5
+#: A document that keeps a smaller share of its words is depleted.
+MIN_LEFT = 0.7
 
 
 def let(value: Column, body) -> Column:

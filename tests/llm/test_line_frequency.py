@@ -1,14 +1,14 @@
 import re
 from collections import defaultdict
 
-from strandtally.llm.line_frequency import quality
+from strandtally.llm.line_frequency import MIN_LEFT, op4_line_frequency, quality
 
 
 def words(text):
     return [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
 
 
-def brute(rows, max_docs, min_left=0.5):
+def brute(rows, max_docs, min_left=MIN_LEFT):
     norm = lambda x: " ".join(words(x)).lower()
     docs = defaultdict(int)
     for _, t, host in rows:
@@ -43,7 +43,14 @@ def test_against_brute_force(spark, nasty, empty):
 
 def test_depleted_documents_go_and_others_stay(spark):
     line = " ".join(f"menu{j}" for j in range(30))
-    own = " ".join(f"text{j}" for j in range(40))
+    own = " ".join(f"text{j}" for j in range(80))
     rows = [(i, f"{line}\n{own} {i}" if i % 2 else f"{line}\nend {i}", "h") for i in range(20)]
     kept = {r.doc_id: r.kept for r in quality(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_docs=10).collect()}
     assert kept == {i: bool(i % 2) for i in range(20)}
+
+
+def test_the_method_decides_on_real_documents(spark):
+    """Some documents that the base keeps are rejected, by their lines alone."""
+    rows = op4_line_frequency(spark, "/root/testdata/sf0.01").where("not base_failed").groupBy("kept").count().collect()
+    found = {r.kept: r["count"] for r in rows}
+    assert 0 < found[False] < 0.05 * found[True]
