@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Programs and archives, accounts and shops, sessions, endless calendars, advertisements.
+#: Programs and archives, accounts and shops, sessions, endless calendars, advertisements, hosts of spam, and
+#: links that carry where a visitor came from, which lead to a page that has an address without.
 BLOCK_GLOBS = (
     "*://*/*.exe", "*://*/*.msi", "*://*/*.apk", "*://*/*.iso", "*://*/*.zip", "*://*/*.rar", "*://*/*.tar.gz",
     "*://*/cgi-bin/*", "*://*/wp-login.php*", "*://*/wp-admin/*", "*://*/login*", "*://*/signin*", "*://*/logout*", "*://*/register*",
     "*://*/cart*", "*://*/checkout*", "*://*/basket/*", "*?*phpsessid=*", "*?*jsessionid=*", "*;jsessionid=*", "*?*sid=????????????????*",
     "*://*/calendar/????/??/*", "*?*replytocom=*", "*://ads.*", "*://*.doubleclick.*", "*://*/ads/*", "*://*/banner?/*", "*://*/search?*q=*",
+    "*://*cheap-pills.*", "*://*spam-farm.*", "*?*utm_source=*", "*?*utm_campaign=*", "*?ref=*", "*&ref=*",
 )
 
 #: (host, path, verdict): a rule holds for the host and all its subdomains, and paths that begin so.

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from strandtally.llm.url_filter import GlobAutomaton, canonical, filter_urls, match_globs
+from strandtally.llm.url_filter import PREFIX_RULES, GlobAutomaton, canonical, filter_urls, match_globs, op5_url_globs
 
 
 def test_automaton_against_plain_matching():
@@ -41,3 +41,19 @@ def test_canonical():
     assert canonical("HTTP://Ex.COM/A?B#c") == b"http://ex.com/A?B"
     assert canonical("http://ex.com/é") == b"http://ex.com/%C3%A9"
     assert canonical(None) == b""
+
+
+def test_the_automaton_decides_on_real_pages(spark):
+    rows = op5_url_globs(spark, "/root/testdata/sf0.01").where("rule is null").groupBy("verdict").count().collect()
+    assert {r.verdict for r in rows} == {"allow", "block"}
+    assert all(r["count"] > 20 for r in rows)
+
+
+def test_rules_of_equal_length(spark):
+    """Of rules that fit and are equally long, the first in the list holds."""
+    frame = spark.createDataFrame([(1, "http://a.bb.net/cc")], "page_id long, url string")
+    rules = (("net", "/cc", "block"), ("bb.net", "/", "allow"), ("b.net", "/c", "allow"))
+    assert len({len(h + p) for h, p, _ in rules[1:]}) == 1 and PREFIX_RULES
+    assert filter_urls(frame, rules=rules).first().rule == "bb.net/"
+    assert filter_urls(frame, rules=(("bb.net", "/", "block"), ("a.bb.net", "", "allow"))).first().verdict == "allow"
+    assert filter_urls(frame, rules=(("bb.net", "/", "block"), ("bb.net", "/", "allow"))).first().verdict == "block"
