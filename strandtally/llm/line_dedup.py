@@ -3,14 +3,16 @@
 A line's key is the line with white space stripped at both ends and A-Z lower-cased. Three
 tables hold the state: ``references`` (key, doc_id: each document that holds a key, once),
 ``counts`` (key, docs, last_doc: how many documents hold it, and the largest id), and ``filters``
-(shard, table: a cuckoo filter of the keys that ``min_docs`` or more documents hold). Inserting
+(shard, path: a file in the shared folder with a cuckoo filter of the keys that ``min_docs`` or more documents hold). Inserting
 documents adds references, deleting takes theirs away; either way only the keys concerned are
 counted anew, and only keys that cross ``min_docs`` enter or leave their shard's filter, so an
-insertion followed by its deletion gives the state before.
+insertion followed by its deletion gives the state before. When the number of shared keys outgrows the
+shards, all filters are built anew over more of them.
 
 Lines whose key is shared lose all copies but those of the largest doc_id. The filters screen
-references before they meet the exact counts; all filters together are sent to the workers only
-while they take at most ``FILTER_BROADCAST_BYTES``, beyond that references are joined unscreened.
+references before they meet the exact counts: references are dealt out by shard and salt, and each task
+reads its own shards' filters, one after another, so filters pass neither the driver nor a broadcast,
+and a task holds one at a time. References of one line that very many documents hold are salted in the join too.
 
 Cases: null or empty text is one empty line; keys shorter than ``min_chars`` code points are
 never shared; rows with the same id are versions of one document; rows with a null id neither
@@ -19,6 +21,7 @@ count nor lose lines; other columns pass through unchanged.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,12 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandtally.files import create, open_file
+from strandtally.llm.components import SALTS
 from strandtally.llm.textscan import give_back, pieces, take_turn
-from strandtally.shared import materialize
+from strandtally.shared import materialize, new_path
 
 STRIP = " \t\n\x0b\x0c\r"
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-FILTER_BROADCAST_BYTES = 32 << 20
 SHARD_KEYS = 200_000
 _DROPS = "__line_dedup_drops"
 
@@ -132,33 +136,58 @@ def _halves(keys: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(keys.to_pylist()), "<u8").reshape(-1, 2)
 
 
-def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys[:, 1] >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+def _with_shard(keys: DataFrame, shards: int) -> DataFrame:
+    return keys.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
 
 
-def _with_shard(keys: DataFrame, shards: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            shard = _shard(_halves(batch.column(0)), shards) if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), *batch.columns], ["shard", *batch.schema.names])
+_FILTERS = "shard int, path string"
+
+
+def _save(folder: str, shard: int, made: CuckooFilter) -> pa.Table:
+    path = f"{folder}/{shard:08d}-{uuid.uuid4().hex}.cuckoo"
+    with create(path) as out:
+        out.write(made.dump())
+    return pa.table({"shard": pa.array([shard], pa.int32()), "path": [path]})
+
 
-    return keys.mapInArrow(run, "shard long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.schema.fields))
+def load_filter(path: str) -> CuckooFilter:
+    with open_file(path) as file:
+        return CuckooFilter.load(file.read())
 
 
-def _build(table: pa.Table) -> pa.Table:
-    keys, n = _halves(table["key"].combine_chunks()), table.num_rows
+def _build(keys: np.ndarray) -> CuckooFilter:
+    n = len(keys)
     while not (made := CuckooFilter.for_keys(n)).insert(keys):
-        n *= 2
-    return pa.table({"shard": table["shard"][:1], "table": pa.array([made.dump()], pa.binary())})
+        n = 2 * max(1, n)
+    return made
 
 
-def _update(old: pa.Table, change: pa.Table) -> pa.Table:
-    """A shard's filter after the keys with ``added`` came in and the others left."""
-    made, keys = CuckooFilter.load(old["table"][0].as_py()), _halves(change["key"].combine_chunks())
-    added = np.array(change["added"].to_pylist(), dtype=bool)
-    made.delete(keys[~added])
-    blob = made.dump() if made.insert(keys[added]) else None
-    return pa.table({"shard": old["shard"], "table": pa.array([blob], pa.binary())})
+def _filters(counts: DataFrame, min_docs: int, shards: int) -> DataFrame:
+    """A filter for each shard that has keys."""
+    folder = new_path(counts.sparkSession, "line-cuckoo")
+
+    def run(table: pa.Table) -> pa.Table:
+        return _save(folder, table["shard"][0].as_py(), _build(_halves(table["key"].combine_chunks())))
+
+    keys = _with_shard(counts.where(F.col("docs") >= min_docs).select("key"), shards)
+    return materialize(keys.groupBy("shard").applyInArrow(run, _FILTERS), "line-filters")
+
+
+def _updated(filters: DataFrame, crossed: DataFrame) -> DataFrame:
+    """The filters after keys with ``added`` came in and the others left; the path is null where a filter is full."""
+    folder = new_path(crossed.sparkSession, "line-cuckoo")
+
+    def run(old: pa.Table, change: pa.Table) -> pa.Table:
+        if not change.num_rows:
+            return old
+        shard, keys, added = change["shard"][0].as_py(), _halves(change["key"].combine_chunks()), change["added"].to_numpy().astype(bool)
+        if not old.num_rows:
+            return _save(folder, shard, _build(keys[added]))
+        made = load_filter(old["path"][0].as_py())
+        made.delete(keys[~added])
+        return _save(folder, shard, made) if made.insert(keys[added]) else pa.table({"shard": pa.array([shard], pa.int32()), "path": pa.array([None], pa.string())})
+
+    return materialize(filters.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInArrow(run, _FILTERS), "line-filters")
 
 
 @dataclass
@@ -178,7 +207,7 @@ class LineIndex:
     def build(cls, docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", min_docs: int = 5, min_chars: int = 40) -> LineIndex:
         references = materialize(line_references(docs, doc_col, text_col, min_chars), "line-references")
         counts = materialize(_count(references), "line-counts")
-        shards = max(1, -(-counts.where(F.col("docs") >= min_docs).count() // SHARD_KEYS))
+        shards = _shards(counts, min_docs)
         return cls(references, counts, _filters(counts, min_docs, shards), shards, min_docs, min_chars, doc_col, text_col)
 
     def insert(self, docs: DataFrame) -> LineIndex:
@@ -199,20 +228,45 @@ class LineIndex:
         counts = materialize(self.counts.join(keys, "key", "left_anti").unionByName(recount), "line-counts")
         shared = lambda c, name: c.where(F.col("docs") >= self.min_docs).select("key", F.lit(True).alias(name))
         crossed = keys.join(shared(self.counts, "was"), "key", "left").join(shared(counts, "is"), "key", "left").where("(was is null) <> (is is null)")
-        crossed = _with_shard(crossed.select("key", F.expr("is is not null").alias("added")), self.shards)
-        touched = materialize(self.filters.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInArrow(_cogrouped, "shard long, table binary"), "line-filters")
-        if touched.where("table is null").count():
-            touched = _filters(counts, self.min_docs, self.shards)
-        return LineIndex(references, counts, touched, self.shards, self.min_docs, self.min_chars, self.doc_col, self.text_col)
+        needed, shards = _shards(counts, self.min_docs), self.shards
+        if shards // 4 < needed <= 2 * shards:
+            filters = _updated(self.filters, _with_shard(crossed.select("key", F.expr("is is not null").alias("added")), shards))
+            full = filters.where("path is null").limit(1).count() > 0
+        else:
+            shards, full = needed, True
+        if full:
+            filters = _filters(counts, self.min_docs, shards)
+        return LineIndex(references, counts, filters, shards, self.min_docs, self.min_chars, self.doc_col, self.text_col)
+
+    def screened(self) -> DataFrame:
+        """The references whose key the filters have, and few others."""
+        salted = _with_shard(self.references, self.shards).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        filters = self.filters.select(F.col("shard").alias("shard2"), "path", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt2"))
+        dealt = salted.join(filters, (F.col("shard") == F.col("shard2")) & (F.col("salt") == F.col("salt2"))).select("key", "doc_id", "path")
+
+        def run(batches):
+            path, made = None, None
+            for batch in batches:
+                paths = batch.column(2).dictionary_encode()
+                which, keep = paths.indices.to_numpy(), np.zeros(batch.num_rows, bool)
+                keys = _halves(batch.column(0))
+                for i, p in enumerate(paths.dictionary.to_pylist()):
+                    if p != path:
+                        path, made = p, load_filter(p)
+                    own = np.flatnonzero(which == i)
+                    keep[own] = made.contains(keys[own])
+                yield batch.select(["key", "doc_id"]).filter(pa.array(keep))
+
+        return dealt.mapInArrow(run, self.references.select("key", "doc_id").schema)
 
     def drops(self) -> DataFrame:
         """(doc_id, keys): what each document loses."""
-        shared = self.counts.where(F.col("docs") >= self.min_docs).select("key", "last_doc")
-        sized = self.filters.agg(F.sum(F.length("table"))).first()[0] or 0
-        lines = self.references
-        if sized <= FILTER_BROADCAST_BYTES:
-            lines = _screened(lines, {r[0]: bytes(r[1]) for r in self.filters.collect()}, self.shards)
-        return lines.join(shared, "key").where("doc_id < last_doc").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+        shared = self.counts.where(F.col("docs") >= self.min_docs).select(F.col("key").alias("key2"), "last_doc")
+        lines = materialize(self.screened().withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "line-screened")
+        # a line of very many documents is spread over slots; only slots that occur get its count
+        slots = lines.select("key", "slot").distinct().join(shared, F.col("key") == F.col("key2")).select("key2", F.col("slot").alias("slot2"), "last_doc")
+        found = lines.join(slots, (F.col("key") == F.col("key2")) & (F.col("slot") == F.col("slot2"))).where("doc_id < last_doc")
+        return found.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """The documents without the lines they lose; adds ``n_lines`` (before) and ``n_dropped``."""
@@ -246,31 +300,8 @@ def _count(references: DataFrame) -> DataFrame:
     return references.groupBy("key").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last_doc"))
 
 
-def _filters(counts: DataFrame, min_docs: int, shards: int) -> DataFrame:
-    keys = _with_shard(counts.where(F.col("docs") >= min_docs).select("key"), shards)
-    return materialize(keys.groupBy("shard").applyInArrow(_build, "shard long, table binary"), "line-filters")
-
-
-def _cogrouped(old: pa.Table, change: pa.Table) -> pa.Table:
-    if not old.num_rows:
-        return _build(change)
-    return _update(old, change) if change.num_rows else old
-
-
-def _screened(references: DataFrame, blobs: dict[int, bytes], shards: int) -> DataFrame:
-    def run(batches):
-        filters = {k: CuckooFilter.load(b) for k, b in blobs.items()}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = _halves(batch.column(0))
-            shard, keep = _shard(keys, shards), np.zeros(len(keys), bool)
-            for k, f in filters.items():
-                own = np.flatnonzero(shard == k)
-                keep[own] = f.contains(keys[own])
-            yield batch.filter(pa.array(keep))
-
-    return references.mapInArrow(run, references.schema)
+def _shards(counts: DataFrame, min_docs: int) -> int:
+    return max(1, -(-counts.where(F.col("docs") >= min_docs).count() // SHARD_KEYS))
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@ import random
 
 import numpy as np
 
-from strandtally.llm.line_dedup import CuckooFilter, LineIndex
+from strandtally.llm import line_dedup
+from strandtally.llm.line_dedup import CuckooFilter, LineIndex, load_filter
 
 LONG = ["a line that is long enough to be compared with others, number %d" % i for i in range(12)]
 
@@ -43,7 +44,7 @@ def test_against_brute_force(spark, nasty):
 
 
 def tables(index):
-    return sorted(map(tuple, index.counts.collect())), sorted((r.shard, sum(np.frombuffer(r.table, "<u2") > 0)) for r in index.filters.collect()), index.references.count()
+    return sorted(map(tuple, index.counts.collect())), sorted((r.shard, int((load_filter(r.path).table > 0).sum())) for r in index.filters.collect()), index.references.count()
 
 
 def test_insertion_and_deletion_undo_each_other(spark):
@@ -58,6 +59,24 @@ def test_insertion_and_deletion_undo_each_other(spark):
     assert digests(back, frame(old)) == brute(old)
 
 
+def test_many_shards(spark, monkeypatch):
+    """Filters of few keys each: built, used, outgrown by an insertion, and shrunk by its deletion."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 2)
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    old = corpus(1, 0, 40)
+    start = LineIndex.build(frame(old))
+    assert start.shards > 4
+    assert start.filters.count() > 3
+    kept = start.screened().select("key").distinct().count()
+    assert start.counts.where("docs >= 5").count() <= kept < start.counts.count()
+    assert digests(start, frame(old)) == brute(old)
+    many = [(1000 + i, "\n".join(f"one of a great many lines that are new to all of this, {(i + j) % 60}" for j in range(20))) for i in range(60)]
+    both = start.insert(frame(many))
+    assert both.shards > 2 * start.shards
+    assert digests(both, frame(old + many)) == brute(old + many)
+    assert digests(both.delete(frame(many).select("doc_id")), frame(old)) == brute(old)
+
+
 def test_other_columns_and_empty_table(spark, nasty, empty):
     out = LineIndex.build(nasty).apply(nasty)
     assert [c for c in nasty.columns if c not in ("n_lines", "n_dropped")] + ["n_lines", "n_dropped"] == out.columns
