@@ -1,7 +1,8 @@
 """WARC archives as chunked record tables.
 
 A payload of any size is a run of rows (record, chunk number, bytes) with chunks of at most
-``chunk_bytes``. The writer takes such rows one by one, compresses each chunk as it comes and keeps
+``chunk_bytes``. The scan cuts payloads into such rows, so only chunks are shuffled and sorted, by record and
+number. The writer takes them one by one, compresses each chunk as it comes and keeps
 a running SHA-1, so no task ever holds a whole record besides the input row it came from. The
 reader streams archives back into the same kind of rows; each carries the number of bytes and the
 digest of the payload up to and with it, so a record's length and digest stand in its last row.
@@ -51,16 +52,24 @@ def revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html
 
 
 def payload_chunks(pages: DataFrame, known: DataFrame, id_col: str = "page_id", payload_col: str = "html", uri_col: str | None = "url", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The chunked record table of ``pages``; the chunks of a record follow each other in a partition."""
+    """The chunked record table of ``pages``; the chunks of a record follow each other in a partition.
+
+    Before the chunks of all records of one id and digest stands a row of number -1 that says what they
+    refer to; records without an id have none.
+    """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     uri = F.col(uri_col).cast("string") if uri_col else F.lit(None).cast("string")
-    rows = pages.select(F.col(id_col).alias("id"), uri.alias("uri"), payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
-    rows = rows.join(known, rows.id.eqNullSafe(known.record_id) & (rows.sha1 == known.digest))
-    last = F.when(F.col("refers_to").isNotNull(), 0).otherwise(F.floor(F.greatest(F.col("payload_bytes") - 1, F.lit(0)) / chunk_bytes)).cast("int")
-    own = F.when(F.col("refers_to").isNull(), F.substring("payload", F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes)))
-    return rows.select("*", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no")).select(
-        F.col("id").cast("string").alias("record_id"), "uri", "digest", "payload_bytes", F.col("refers_to").cast("string").alias("refers_to"), "chunk_no", own.alias("data")
-    )
+    rows = pages.select(F.col(id_col).alias("id"), uri.alias("uri"), payload.alias("payload"), F.monotonically_increasing_id().alias("copy"))
+    rows = rows.select("id", "uri", "copy", "payload", F.sha1("payload").alias("digest"), F.length("payload").cast("long").alias("payload_bytes"))
+    last = F.floor(F.greatest(F.col("payload_bytes") - 1, F.lit(0)) / chunk_bytes).cast("int")
+    cut = rows.select("*", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
+    own = F.substring("payload", F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes))
+    chunks = cut.select(F.col("id").cast("string").alias("record_id"), "uri", "digest", "payload_bytes", F.lit(None).cast("string").alias("refers_to"), "copy", "chunk_no", own.alias("data"))
+    none = lambda kind: F.lit(None).cast(kind)
+    # records without an id refer to nothing, and need no head
+    heads = known.where("record_id is not null").select(F.col("record_id").cast("string").alias("record_id"), none("string").alias("uri"), "digest", "payload_bytes", F.col("refers_to").cast("string").alias("refers_to"), F.lit(-1).cast("long").alias("copy"), F.lit(-1).alias("chunk_no"), none("binary").alias("data"))
+    together = chunks.union(heads).withColumn("spread", F.when(F.col("record_id").isNull(), F.xxhash64("copy")))
+    return together.repartition("record_id", "spread").sortWithinPartitions("record_id", "digest", "copy", "chunk_no").drop("spread", "copy")
 
 
 class WarcWriter:
@@ -99,14 +108,18 @@ def write_archives(chunks: DataFrame, folder: str | None = None, date: str = "19
     folder = folder or new_path(chunks.sparkSession, "warc")
 
     def run(batches):
-        path, writer, open_ = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", None, False
+        path, writer, open_, refers_to = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", None, False, None
         for batch in batches:
             head = [batch.column(i).to_pylist() for i in range(6)]
-            for i, (record_id, uri, digest, size, refers_to, chunk_no) in enumerate(zip(*head, strict=True)):
+            for i, (record_id, uri, digest, size, target, chunk_no) in enumerate(zip(*head, strict=True)):
+                if chunk_no < 0:
+                    refers_to = target
+                    continue
                 writer = writer or WarcWriter(path, date)
                 if chunk_no == 0:
                     if open_:
                         writer.end()
+                    refers_to = None if record_id is None else refers_to
                     writer.begin(record_id, uri, digest, size, refers_to)
                     open_ = True
                 if refers_to is None:
@@ -123,16 +136,20 @@ class _Stream:
     """Inflated bytes of consecutive gzip members, a buffer at a time."""
 
     def __init__(self, file):
-        self.file, self.inflate, self.buffer, self.raw = file, zlib.decompressobj(31), b"", b""
+        self.file, self.inflate, self.buffer, self.raw, self.begun = file, zlib.decompressobj(31), b"", b"", False
 
     def more(self) -> bool:
         while True:
             if self.inflate.eof:
                 self.raw, self.inflate = self.inflate.unused_data, zlib.decompressobj(31)
+                self.begun = bool(self.raw)
             if not self.raw and not self.inflate.unconsumed_tail:
                 self.raw = self.file.read(_READ)
                 if not self.raw:
+                    if self.begun and not self.inflate.eof:
+                        raise ValueError("an archive ends within a gzip member")
                     return False
+                self.begun = True
             got = self.inflate.decompress(self.inflate.unconsumed_tail or self.raw, _READ)
             self.raw = b""
             if got:
