@@ -9,13 +9,16 @@ Equal fingerprints are one class. Classes link at ``radius`` or fewer differing
 1. Each class gets its distances to ``PIVOTS`` fixed reference fingerprints. By the triangle
    inequality no coordinate of two linked classes differs by more than ``radius``.
 2. The 64 bits form ``radius + 2`` blocks; linked classes agree on two of them at least, so each
-   pair of blocks is a key, and classes meet where they share one.
-3. Of the pairs that meet, those with a coordinate difference over ``radius`` are discarded by the
+   pair of blocks is a key. In keys of up to ``FEW`` classes all pairs meet.
+3. In larger keys the pivot table chooses who meets: the first ``AXES`` coordinates, in steps of
+   ``2 * radius + 1``, make cells; a class lives in one and visits those that a linked class may live in
+   (two an axis at most), and classes meet those that live where they visit. Most pairs of a key never meet.
+4. Of the pairs that meet, those with any coordinate difference over ``radius`` are discarded by the
    pivot table; the others are verified on the fingerprints.
-4. Keys that more than ``CROWD`` classes share would meet in too many pairs. There each class is
+5. Cells where more than ``CROWD`` classes live, all alike to every pivot, would give too many links. There each class is
    tied to all fingerprints at one bit's distance instead: two classes have such a fingerprint
    (or one of the two itself) in common exactly if they differ in at most two bits. That is exact
-   and takes 65 rows a class. (With a radius other than 2, no key counts as crowded.)
+   and takes 65 rows a class. (With a radius other than 2, no cell counts as crowded.)
 
 Components of the links give ``component_id``, the smallest id reachable.
 
@@ -31,7 +34,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandtally.llm.components import SALTS, connected_components, with_group_min
@@ -40,6 +43,8 @@ from strandtally.shared import materialize
 
 SEED = 42
 PIVOTS = 24
+FEW = 64
+AXES = 6
 CROWD = 48
 
 
@@ -90,24 +95,59 @@ def block_keys(radius: int) -> list:
     return [F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(a | b))).alias("bits")) for i, (a, b) in enumerate(itertools.combinations(masks, 2))]
 
 
+def cell_of(d: Column, radius: int) -> Column:
+    """The cell of the pivot table in which a class lives."""
+    return F.array(*[F.floor(d[i] / (2 * radius + 1)).cast("int") for i in range(AXES)])
+
+
+def visited_cells(d: Column, radius: int) -> Column:
+    """The cells in which classes within the radius may live."""
+    def along(axis: Column):
+        return lambda c: F.transform(axis, lambda x: F.concat(c, F.array(x)))
+
+    cells = F.array(F.array().cast("array<int>"))
+    for i in range(AXES):
+        axis = F.array_distinct(F.array(*[F.floor((d[i] + F.lit(by)) / (2 * radius + 1)).cast("int") for by in (-radius, radius)]))
+        cells = F.flatten(F.transform(cells, along(axis)))
+    return cells
+
+
+def near_pivots(d: str, e: str, radius: int) -> Column:
+    """Whether no coordinate differs by more than the radius."""
+    return reduce(lambda a, b: a & b, [F.abs(F.col(d)[i] - F.col(e)[i]) <= radius for i in range(PIVOTS)])
+
+
+def meetings(keyed: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (fp, d, fp2, d2) that meet, and the classes (fp) of crowded cells; ``keyed`` has (k, bits, fp, d)."""
+    shared = materialize(keyed.groupBy("k", "bits").agg(F.count("*").alias("n")).where("n > 1"), "simhash-shared")
+    met = keyed.join(shared, ["k", "bits"])
+    few = materialize(met.where(F.col("n") <= FEW).drop("n"), "simhash-few")
+    other = few.select("k", "bits", F.col("fp").alias("fp2"), F.col("d").alias("d2"))
+    pairs = few.join(other, ["k", "bits"]).where("fp < fp2").select("fp", "d", "fp2", "d2")
+
+    many = met.where(F.col("n") > FEW).select("k", "bits", "fp", "d")
+    homes = many.withColumn("cell", cell_of(F.col("d"), radius))
+    lived = materialize(homes.groupBy("k", "bits", "cell").agg(F.count("*").alias("lived")), "simhash-cells")
+    visits = many.withColumn("cell", F.explode(visited_cells(F.col("d"), radius))).join(lived, ["k", "bits", "cell"])
+    visits = materialize(visits, "simhash-visits")
+    crowd = CROWD if radius == 2 else 1 << 62
+    lives = homes.join(lived, ["k", "bits", "cell"]).where(F.col("lived") <= crowd).select("k", "bits", "cell", F.col("fp").alias("fp2"), F.col("d").alias("d2"))
+    others = visits.where(F.col("lived") <= crowd).join(lives, ["k", "bits", "cell"]).where("fp < fp2").select("fp", "d", "fp2", "d2")
+    # whoever lives in a cell visits it too
+    return pairs.union(others), visits.where(F.col("lived") > crowd).select("fp").distinct()
+
+
 def links(classes: DataFrame, radius: int = 2) -> DataFrame:
     """Edges (u, v) that connect exactly the classes within ``radius`` bits of each other.
 
-    ``classes`` has distinct fingerprints ``fp``. Links inside crowded keys go over a smallest member
+    ``classes`` has distinct fingerprints ``fp``. Links inside crowded cells go over a smallest member
     of each neighbourhood instead of all pairs.
     """
     keyed = materialize(pivot_table(classes.select("fp")).select("fp", "d", F.explode(F.array(*block_keys(radius))).alias("key")).select("fp", "d", "key.k", "key.bits"), "simhash-keys")
-    shared = materialize(keyed.groupBy("k", "bits").agg(F.count("*").alias("n")).where("n > 1"), "simhash-shared")
-    crowd = CROWD if radius == 2 else 1 << 62
-    met = keyed.join(shared, ["k", "bits"])
-    few = materialize(met.where(F.col("n") <= crowd).drop("n"), "simhash-few")
-    other = few.select("k", "bits", F.col("fp").alias("fp2"), F.col("d").alias("d2"))
-    near = reduce(lambda a, b: a & b, [F.abs(F.col("d")[i] - F.col("d2")[i]) <= radius for i in range(PIVOTS)])
-    pairs = few.join(other, (few.k == other.k) & (few.bits == other.bits) & (F.col("fp") < F.col("fp2")) & near)
-    edges = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius).select(F.col("fp").alias("u"), F.col("fp2").alias("v"))
+    met, crowded = meetings(keyed, radius)
+    edges = met.where(near_pivots("d", "d2", radius)).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius).select(F.col("fp").alias("u"), F.col("fp2").alias("v"))
     if radius != 2:
         return edges
-    crowded = met.where(F.col("n") > crowd).select("fp").distinct()
     balls = crowded.select("fp", F.explode(F.concat(F.array("fp"), F.array(*[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)]))).alias("centre"))
     tied = with_group_min(balls, "centre", "fp", "least").where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
     return edges.union(tied)

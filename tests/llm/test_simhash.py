@@ -4,6 +4,7 @@ import xxhash
 
 from strandtally.llm import simhash
 from strandtally.llm.components import connected_components
+from tests.conftest import SF
 
 
 def plain_fingerprint(text, k=3):
@@ -41,9 +42,10 @@ def test_components_against_brute_force(spark, nasty):
     assert all(r.component_id == (want[r.doc_id] if r.doc_id is not None else None) for r in got)
 
 
-@pytest.mark.parametrize("crowd", [3, 48])
-def test_links_join_exactly_what_is_near(spark, monkeypatch, crowd):
-    """Random clusters of fingerprints, with small and with crowded keys."""
+@pytest.mark.parametrize(("few", "crowd"), [(64, 48), (2, 48), (2, 3)])
+def test_links_join_exactly_what_is_near(spark, monkeypatch, few, crowd):
+    """Random clusters of fingerprints, in small keys, in cells, and in crowded cells."""
+    monkeypatch.setattr(simhash, "FEW", few)
     monkeypatch.setattr(simhash, "CROWD", crowd)
     rng = np.random.default_rng(5)
     fps = set()
@@ -71,6 +73,32 @@ def test_pivots_never_discard_a_link():
         assert max(abs((x ^ q).bit_count() - (y ^ q).bit_count()) for q in p) <= 2
 
 
+def test_pivots_choose_the_pairs_of_a_dense_key(spark, monkeypatch):
+    """2,000 fingerprints that agree on two blocks, a few of them linked: most pairs never meet, nearly all others are discarded before any XOR."""
+    monkeypatch.setattr(simhash, "CROWD", 1 << 40)
+    rng = np.random.default_rng(7)
+    fps = [int(x) for x in rng.integers(0, 1 << 32, 2000)]
+    fps += [x ^ (1 << int(rng.integers(32))) ^ (1 << int(rng.integers(32))) for x in fps[:60]]
+    classes = simhash.pivot_table(spark.createDataFrame([(f,) for f in sorted(set(fps))], "fp long")).cache()
+    n = classes.count()
+    met, crowded = simhash.meetings(classes.selectExpr("0 AS k", "0L AS bits", "fp", "d"), 2)
+    pairs = met.cache().count()
+    left = met.where(simhash.near_pivots("d", "d2", 2)).select("fp", "fp2").collect()
+    linked = {(a, b) for a in fps for b in fps[2000:] + fps[:60] if a != b and (a ^ b).bit_count() <= 2}
+    assert crowded.count() == 0
+    assert pairs < 0.15 * n * (n - 1) / 2
+    assert len(left) < 0.01 * pairs
+    assert {(r.fp, r.fp2) for r in left} >= {(a, b) for a, b in linked if a < b}
+
+
+def test_query_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    fps = {r.doc_id: plain_fingerprint(r.text) for r in docs}
+    want = groups([(a, b) for a, x in fps.items() for b, y in fps.items() if a < b and (x ^ y).bit_count() <= 2], fps)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op2_simhash(spark, SF).collect()}
+    assert got == {i: (f"{f:016x}", want[i]) for i, f in fps.items()}
+
+
 def test_chain_component(spark):
     """A long chain needs many rounds; all of it gets the smallest id."""
     edges = spark.createDataFrame([(i, i + 1) for i in range(100, 160)], "u long, v long")
