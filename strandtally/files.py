@@ -25,6 +25,19 @@ def open_file(uri: str):
     return store.open_input_file(path)
 
 
+def exists(uri: str) -> bool:
+    store, path = store_of(uri)
+    return store.get_file_info(path).type == fs.FileType.File
+
+
+def size_of(uri: str) -> int:
+    store, path = store_of(uri)
+    info = store.get_file_info(path)
+    if info.type != fs.FileType.File:
+        raise FileNotFoundError(uri)
+    return info.size
+
+
 def list_files(uri: str, suffix: str) -> list[str]:
     """The file itself, or all files of a folder that end in ``suffix``, sorted."""
     store, path = store_of(uri)

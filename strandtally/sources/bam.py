@@ -20,6 +20,9 @@ from strandtally.sources.bgzf import EOF_MARKER, FormatError, data_end, deflate,
 # Fixed limits.
 MAX_HEADER = 64 << 20
 MAX_INDEX = 1 << 30
+#: So few spans are walked one by one; a step over all of them costs as much as that.
+FEW_SPANS = 40
+MAX_MEMBER = 65_280  #: inflated bytes that surely fit a member
 _RECORD = np.dtype([("block_size", "<u4"), ("ref_id", "<i4"), ("pos", "<i4"), ("name_len", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("n_cigar", "<u2"), ("flag", "<u2"), ("l_seq", "<i4"), ("next_ref_id", "<i4"), ("next_pos", "<i4"), ("tlen", "<i4"), ("name", "u1")])
 
 
@@ -126,16 +129,33 @@ def read_index(path: str) -> tuple[int, np.ndarray]:
     return references, np.concatenate([np.arange(len(rows))[:, None], rows], axis=1)
 
 
+def _walk(data: memoryview, at: int, end: int) -> tuple[list[int], int]:
+    """Offsets of the records of one span, and its status."""
+    found = []
+    while at < end:
+        if at + 4 > end:
+            return found, 1
+        size = int.from_bytes(data[at : at + 4], "little")
+        if size < 32:
+            return found, 2
+        if at + 4 + size > end:
+            return found, 3
+        found.append(at)
+        at += 4 + size
+    return found, 0
+
+
 def record_offsets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Offsets of all records in spans of ``data``, each one's span, and each span's status.
 
-    All spans advance together, one record a step. Status 1: fewer than four bytes are left;
+    Spans advance together, one record a step, while there are many; the longest are walked
+    one by one then. Status 1: fewer than four bytes are left;
     2: a record is shorter than its fixed fields; 3: a record extends past its span.
     """
     at, status = starts.copy(), np.zeros(len(starts), np.int64)
     live = np.flatnonzero(at < ends)
     found, spans = [], []
-    while len(live):
+    while len(live) > FEW_SPANS:
         here = at[live]
         short = here + 4 > ends[live]
         status[live[short]] = 1
@@ -149,6 +169,10 @@ def record_offsets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
         spans.append(live)
         at[live] = here + 4 + size
         live = live[at[live] < ends[live]]
+    for i in live.tolist():
+        own, status[i] = _walk(memoryview(data), int(at[i]), int(ends[i]))
+        found.append(np.array(own, np.int64))
+        spans.append(np.full(len(own), i))
     offsets, spans = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found, spans))
     order = np.argsort(offsets, kind="stable")
     return offsets[order], spans[order], status
@@ -164,50 +188,113 @@ def decode(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return {"block_size": little(0, 4), "ref_id": signed(little(4, 4)), "mapq": little(13, 1), "flag": little(18, 2), "next_ref_id": signed(little(24, 4))}
 
 
-def _index(refs: np.ndarray, positions: np.ndarray, offsets: np.ndarray, count: int) -> bytes:
-    out = [b"BAI\1", struct.pack("<i", count)]
-    for ref in range(count):
-        own = np.flatnonzero(refs == ref)
-        windows = positions[own] // WINDOW
-        linear = np.zeros(int(windows.max()) + 1 if len(own) else 0, np.uint64)
-        first, at = np.unique(windows, return_index=True)
-        linear[first] = offsets[own[at]]
-        out += [struct.pack("<ii", 0, len(linear)), linear.astype("<u8").tobytes()]
-    return b"".join(out) + struct.pack("<Q", int((refs < 0).sum()))
-
-
-def write_bam(records: DataFrame, folder: str, references: int, member_bytes: int = 65_280) -> DataFrame:
+class _Windows:
+    """First offset of each window of each reference, as records come in order; what an index needs."""
+
+    def __init__(self):
+        self.parts: list[np.ndarray] = []
+        self.last, self.unplaced = None, 0
+
+    def add(self, refs: np.ndarray, positions: np.ndarray, offsets: np.ndarray) -> None:
+        self.unplaced += int((refs < 0).sum())
+        at = np.flatnonzero(refs >= 0)
+        key = (refs[at].astype(np.int64) << 32) + positions[at] // WINDOW
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else key
+        if len(key):
+            if key[0] == self.last:
+                new = new[1:]
+            self.last = key[-1]
+        self.parts.append(np.stack([key[new].astype(np.uint64), offsets[at[new]]]))
+
+    def dump(self, count: int) -> bytes:
+        keys, offsets = np.concatenate(self.parts, axis=1) if self.parts else np.zeros((2, 0), np.uint64)
+        refs, windows = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        out = [b"BAI\1", struct.pack("<i", count)]
+        for ref in range(count):
+            own = np.flatnonzero(refs == ref)
+            linear = np.zeros(int(windows[own].max()) + 1 if len(own) else 0, np.uint64)
+            linear[windows[own]] = offsets[own]
+            out += [struct.pack("<ii", 0, len(linear)), linear.astype("<u8").tobytes()]
+        return b"".join(out) + struct.pack("<Q", self.unplaced)
+
+
+class BamWriter:
+    """Writes one file member by member, as records come; holds one member and the index."""
+
+    def __init__(self, path: str, references: int, member_bytes: int):
+        self.path, self.references, self.member_bytes = path, references, member_bytes
+        self.out, self.at, self.buffer, self.windows = create(path), 0, bytearray(), _Windows()
+        self.records = self.bytes = 0
+        head = b"BAM\1" + struct.pack("<ii", 0, references)
+        head += b"".join(struct.pack("<i", len(n := f"chr{i + 1}\0".encode())) + n + struct.pack("<i", 1 << 29) for i in range(references))
+        for at in range(0, len(head), MAX_MEMBER):
+            self._member(head[at : at + MAX_MEMBER])
+
+    def _member(self, data: bytes) -> None:
+        raw = deflate(bytes(data))
+        self.out.write(raw)
+        self.at += len(raw)
+
+    def add(self, rows: np.ndarray) -> None:
+        """Records in order, as an array of _RECORD."""
+        done = 0
+        while done < len(rows):
+            # the records that begin in the member at hand
+            room = -(-(self.member_bytes - len(self.buffer)) // _RECORD.itemsize)
+            part = rows[done : done + room]
+            begins = np.uint64(self.at << 16) | (len(self.buffer) + np.arange(len(part)) * _RECORD.itemsize).astype(np.uint64)
+            self.windows.add(part["ref_id"], part["pos"], begins)
+            self.buffer += part.tobytes()
+            done += len(part)
+            if len(self.buffer) >= self.member_bytes:
+                self._member(self.buffer[: self.member_bytes])
+                del self.buffer[: self.member_bytes]
+        self.records += len(rows)
+        self.bytes += rows.nbytes
+
+    def close(self) -> tuple[str, int, int]:
+        if self.buffer:
+            self._member(self.buffer)
+        self.out.write(EOF_MARKER)
+        self.out.close()
+        with create(self.path + ".bai") as out:
+            out.write(self.windows.dump(self.references))
+        return self.path, self.records, self.bytes
+
+
+def write_bam(records: DataFrame, folder: str, references: int, member_bytes: int = MAX_MEMBER, by_reference: bool = False) -> DataFrame:
     """Write records (flag, mapq, ref_id, next_ref_id, pos) as a folder of indexed files, one for each range of positions.
 
-    Gives (path, records, bytes) of each file. A task that runs again writes another file; readers take
-    the paths from here.
+    Gives (path, records, bytes) of each file. With ``by_reference`` there is one file for each reference instead, named
+    ``ref-<id>-...``. A task that runs again writes another file; readers take the paths from here.
     """
+    if not _RECORD.itemsize <= member_bytes <= MAX_MEMBER:
+        raise ValueError(f"member_bytes must be between {_RECORD.itemsize} and {MAX_MEMBER}")
 
     def run(batches):
-        parts = [{n: c.to_numpy(zero_copy_only=False) for n, c in zip(b.schema.names, b.columns, strict=True)} for b in batches if b.num_rows]
-        if not parts:
-            return
-        columns = {n: np.concatenate([p[n] for p in parts]) for n in parts[0]}
-        rows = np.zeros(len(columns["flag"]), _RECORD)
-        rows["block_size"], rows["name_len"] = _RECORD.itemsize - 4, 1
-        for n in ("flag", "mapq", "ref_id", "next_ref_id", "pos"):
-            rows[n] = columns[n]
-        path = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bam"
-        head = b"BAM\1" + struct.pack("<ii", 0, references) + b"".join(struct.pack("<i", len(n := f"chr{i + 1}\0".encode())) + n + struct.pack("<i", 1 << 29) for i in range(references))
-        data, begins = rows.tobytes(), []
-        with create(path) as out:
-            at = 0
-            for chunk in (head, *(data[i : i + member_bytes] for i in range(0, len(data), member_bytes))):
-                begins.append(at)
-                member = deflate(chunk)
-                out.write(member)
-                at += len(member)
-            out.write(EOF_MARKER)
-        begin = np.arange(len(rows)) * _RECORD.itemsize
-        offsets = np.array(begins[1:], np.uint64)[begin // member_bytes] << np.uint64(16) | (begin % member_bytes).astype(np.uint64)
-        with create(path + ".bai") as out:
-            out.write(_index(rows["ref_id"], rows["pos"], offsets, references))
-        yield pa.RecordBatch.from_pydict({"path": [path], "records": [len(rows)], "bytes": [len(data)]})
-
-    ordered = records.select("flag", "mapq", "ref_id", "next_ref_id", "pos").repartitionByRange("ref_id", "pos").sortWithinPartitions("ref_id", "pos", "flag")
+        writer, ref, made = None, None, []
+        for batch in batches:
+            columns = {n: c.to_numpy(zero_copy_only=False) for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+            rows = np.zeros(batch.num_rows, _RECORD)
+            rows["block_size"], rows["name_len"] = _RECORD.itemsize - 4, 1
+            for n in ("flag", "mapq", "ref_id", "next_ref_id", "pos"):
+                rows[n] = columns[n]
+            cuts = [0, *(np.flatnonzero(rows["ref_id"][1:] != rows["ref_id"][:-1]) + 1).tolist(), len(rows)] if by_reference else [0, len(rows)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a and (writer is None or by_reference and rows["ref_id"][a] != ref):
+                    if writer:
+                        made.append(writer.close())
+                    ref = int(rows["ref_id"][a])
+                    name = f"ref-{ref}" if by_reference else f"{TaskContext.get().partitionId():06d}"
+                    writer = BamWriter(f"{folder}/{name}-{uuid.uuid4().hex}.bam", references, member_bytes)
+                if b > a:
+                    writer.add(rows[a:b])
+        if writer:
+            made.append(writer.close())
+            yield pa.RecordBatch.from_pydict(dict(zip(("path", "records", "bytes"), map(list, zip(*made, strict=True)), strict=True)))
+
+    columns = records.select("flag", "mapq", "ref_id", "next_ref_id", "pos")
+    dealt = columns.repartition("ref_id") if by_reference else columns.repartitionByRange("ref_id", "pos")
+    # records without a place come last, as in any sorted file
+    ordered = dealt.sortWithinPartitions(F.col("ref_id") < 0, "ref_id", "pos", "flag", "mapq", "next_ref_id")
     return materialize(ordered.mapInArrow(run, "path string, records long, bytes long"), "bam-files")

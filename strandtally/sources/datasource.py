@@ -1,14 +1,20 @@
 """Spark data sources: ``bam`` (batch and stream), ``bai``, ``bgzf`` and ``bam_header``.
 
 ``spark.read.format("bam").load(path)`` takes a file or a folder of files, each with its index
-beside it (``.bam.bai``). The index's offsets are where records begin, so they cut each file into
-spans; consecutive spans make a partition of about ``maxCompressedBytes`` (default 16 MiB).
-Partitions cover each record exactly once. A span that inflates to more than
+beside it (``.bam.bai``); the option ``paths``, a JSON list, takes several. The index's offsets are where records
+begin, so they cut each file into spans. Files are cut into splits of ``maxCompressedBytes`` (default 16 MiB) by
+size alone, so planning opens no file; each task reads its file's header and index and takes the
+spans that begin in its split. Splits cover each record exactly once. A span that inflates to more than
 ``maxUncompressedBytes`` (default 256 MiB) is an error, as are records that break their span.
+
+``bgzf`` gives the members of files, in splits too where there is an index. With the option
+``mode=prefix`` it gives those members of each file's front that inflate to at most ``maxUncompressedBytes`` together,
+up to an end marker; a file whose first member is larger, or without members, is an error.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from strandtally.files import list_files, open_file
+from strandtally.files import exists, list_files, open_file, size_of
 from strandtally.sources.bam import decode, read_header, read_index, record_offsets
 from strandtally.sources.bgzf import FormatError, data_end, read_member
 
@@ -51,12 +57,27 @@ def anchors(path: str, index: str | None = None) -> np.ndarray:
     return np.unique(np.concatenate([[header.first_record], inner[(inner > header.first_record) & (inner < end)], [end]]))
 
 
-def plan(path: str, max_compressed: int, index: str | None = None) -> list[Range]:
-    """Partitions of a file: spans are taken together until they hold so many compressed bytes."""
-    at = anchors(path, index)
-    bin_of = ((at[:-1] >> 16) - (at[0] >> 16)) // max(1, max_compressed)
-    cuts = [0, *(np.flatnonzero(np.diff(bin_of)) + 1).tolist(), len(at) - 1]
-    return [Range(path, a, tuple(at[a : b + 1].tolist())) for a, b in zip(cuts, cuts[1:], strict=False)]
+@dataclass
+class Split(InputPartition):
+    """The spans of a file that begin at compressed offsets from ``begin`` to before ``end``."""
+
+    path: str
+    begin: int
+    end: int
+
+
+def splits(path: str, max_compressed: int) -> list[Split]:
+    """A file's splits, from its size; without a file none can be made, so a missing one is an error here."""
+    step = max(1, max_compressed)
+    return [Split(path, at, at + step) for at in range(0, max(1, size_of(path)), step)]
+
+
+def spans_of(split: Split, index: str | None = None) -> Range | None:
+    """The spans that begin in a split."""
+    at = anchors(split.path, index)
+    begins = at[:-1] >> 16
+    a, b = np.searchsorted(begins, [split.begin, split.end])
+    return Range(split.path, int(a), tuple(at[a : b + 1].tolist())) if b > a else None
 
 
 def inflate_spans(file, part: Range, max_uncompressed: int):
@@ -114,17 +135,27 @@ def read_range(part: Range, max_uncompressed: int, strict: bool = True):
             yield pa.RecordBatch.from_arrays(columns, ["path", "span_id", "record_offset", "block_size", "ref_id", "mapq", "flag", "next_ref_id"])
 
 
+def _files(options: dict, suffix: str) -> list[str]:
+    named = json.loads(options["paths"]) if "paths" in options else [options["path"]]
+    return [f for p in named for f in list_files(p, suffix)]
+
+
 class _Options:
     def __init__(self, options: dict):
-        self.files = [f for p in options["path"].split(",") for f in list_files(p, ".bam")]
+        self.files = _files(options, ".bam")
         self.index = options.get("bai")
         self.compressed = int(options.get("maxcompressedbytes", 16 << 20))
         self.uncompressed = int(options.get("maxuncompressedbytes", 256 << 20))
         if not 0 < self.uncompressed < 1 << 32:
             raise ValueError("maxUncompressedBytes must be between 1 and 4294967295")
 
-    def ranges(self) -> list[Range]:
-        return [r for f in self.files for r in plan(f, self.compressed, self.index)]
+    def splits(self) -> list[Split]:
+        return [s for f in self.files for s in splits(f, self.compressed)]
+
+    def read(self, split: Split):
+        part = spans_of(split, self.index)
+        if part:
+            yield from read_range(part, self.uncompressed)
 
 
 class BamReader(DataSourceReader):
@@ -132,34 +163,34 @@ class BamReader(DataSourceReader):
         self.options = _Options(options)
 
     def partitions(self):
-        return self.options.ranges()
+        return self.options.splits()
 
     def read(self, partition):
-        yield from read_range(partition, self.options.uncompressed)
+        yield from self.options.read(partition)
 
 
 class BamStreamReader(DataSourceStreamReader):
-    """A stream of ranges. ``streaming=all`` offers all at once and suits any trigger; ``bounded`` offers one range a
-    batch, and must run with the default trigger until the offset reaches the number of ranges."""
+    """A stream of splits. ``streaming=all`` offers all at once and suits any trigger; ``bounded`` offers one split a
+    batch, and must run with the default trigger until the offset reaches the number of splits."""
 
     def __init__(self, options: dict):
         self.options = _Options(options)
         self.bounded = options.get("streaming", "all") == "bounded"
-        self.planned = self.options.ranges()
+        self.planned = self.options.splits()
         self.at = 0
 
     def initialOffset(self):
-        return {"range": 0}
+        return {"split": 0}
 
     def latestOffset(self):
         self.at = min(len(self.planned), self.at + 1) if self.bounded else len(self.planned)
-        return {"range": self.at}
+        return {"split": self.at}
 
     def partitions(self, start, end):
-        return self.planned[start["range"] : end["range"]]
+        return self.planned[start["split"] : end["split"]]
 
     def read(self, partition):
-        yield from read_range(partition, self.options.uncompressed)
+        yield from self.options.read(partition)
 
 
 class BamSource(DataSource):
@@ -181,7 +212,7 @@ class _PerFile(DataSourceReader):
     """One partition a file, and rows by ``rows(path)``."""
 
     def __init__(self, options: dict, suffix: str, rows):
-        self.files, self.rows = [f for p in options["path"].split(",") for f in list_files(p, suffix)], rows
+        self.files, self.rows = _files(options, suffix), rows
 
     def partitions(self):
         return [InputPartition(f) for f in self.files]
@@ -190,16 +221,60 @@ class _PerFile(DataSourceReader):
         yield from self.rows(partition.value)
 
 
+class BgzfReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.options, self.prefix = _Options(options), options.get("mode") == "prefix"
+        if options.get("mode", "all") not in ("all", "prefix"):
+            raise ValueError(f"unknown mode {options['mode']!r}; there are all, prefix")
+
+    def partitions(self):
+        if self.prefix:
+            return [Split(f, 0, 1) for f in self.options.files]
+        return self.options.splits()
+
+    def read(self, partition):
+        yield from prefix_rows(partition.path, self.options.uncompressed) if self.prefix else member_rows(partition, self.options.index)
+
+
 def index_rows(path: str):
     _, rows = read_index(path)
     for ordinal, ref, start, packed in rows.tolist():
         yield path, ordinal, ref, start, packed >> 16, packed & 65535
 
 
-def member_rows(path: str):
+def _member_row(path: str, member) -> tuple:
+    return path, member.offset, len(member.raw), len(member.inflate(path)), member.is_eof
+
+
+def member_rows(split: Split, index: str | None = None):
+    """Members that begin in a split. An index says where members begin; a file without is read by its first split."""
+    path, begin, end = split.path, split.begin, split.end
+    index = index or default_index(path)
+    starts = np.unique(read_index(index)[1][:, 3] >> 16) if exists(index) else np.zeros(0, np.int64)
+    after = starts[starts >= end]
+    inside = starts[(starts >= begin) & (starts < end)]
+    if begin and not len(inside):
+        return
+    with open_file(path) as file:
+        file.seek(int(inside[0]) if begin else 0)
+        stop = int(after[0]) if len(after) else None
+        while (stop is None or file.tell() < stop) and (member := read_member(file, path)) is not None:
+            yield _member_row(path, member)
+
+
+def prefix_rows(path: str, cap: int):
+    """Members of the file's front that inflate to at most ``cap`` bytes together; an end marker ends it."""
+    total = 0
     with open_file(path) as file:
-        while (member := read_member(file, path)) is not None:
-            yield path, member.offset, len(member.raw), len(member.inflate(path)), member.is_eof
+        while (member := read_member(file, path)) is not None and not member.is_eof:
+            if total + member.size > cap:
+                if not total:
+                    raise FormatError(f"{path}: the first member inflates to {member.size} bytes, more than the {cap} asked for")
+                return
+            total += member.size
+            yield _member_row(path, member)
+    if not total:
+        raise FormatError(f"{path}: there are no members with data")
 
 
 def header_rows(path: str):
@@ -213,7 +288,20 @@ def _source(name: str, suffix: str, schema_text: str, rows) -> type[DataSource]:
 
 
 BaiSource = _source("bai", ".bai", "path string, ordinal long, ref_id int, window_start long, compressed long, within int", index_rows)
-BgzfSource = _source("bgzf", ".bam", "path string, compressed_offset long, compressed_len int, uncompressed_len int, is_eof boolean", member_rows)
+
+
+class BgzfSource(DataSource):
+    @classmethod
+    def name(cls):
+        return "bgzf"
+
+    def schema(self):
+        return "path string, compressed_offset long, compressed_len int, uncompressed_len int, is_eof boolean"
+
+    def reader(self, schema):
+        return BgzfReader(self.options)
+
+
 HeaderSource = _source("bam_header", ".bam", "path string, reference_count int, first_compressed long, first_within int, data_end long", header_rows)
 
 
