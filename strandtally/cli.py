@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
 
 from pyspark.sql import SparkSession
 
+from strandtally.files import list_files
+from strandtally.operators.coverage import check_coverage, file_coverage
 from strandtally.operators.flagstat import ENGINES, check_engines, flagstat, report_text
 from strandtally.sources import datasource
 
@@ -40,7 +43,7 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--bai", metavar="PATH", action=_Once, help="default: INPUT.bam.bai")
     one.add_argument("--max-uncompressed-bytes", type=_bounded(1, (1 << 32) - 1), default=256 << 20, action=_Once)
     one.add_argument("--threads", type=_bounded(1, 1 << 16), default=8, action=_Once, help="of a local session")
-    one.add_argument("--benchmark", action="store_true", help="print coverage to stderr")
+    one.add_argument("--benchmark", action="store_true", help="print coverage and times to stderr")
     one.add_argument("--validate", action="store_true", help="compare all engines")
     return top
 
@@ -49,13 +52,28 @@ def run(args: argparse.Namespace, spark: SparkSession) -> str:
     datasource.register(spark)
     read = spark.read.format("bam").option("maxUncompressedBytes", args.max_uncompressed_bytes)
     records = (read.option("bai", args.bai) if args.bai else read).load(args.input)
+    took: dict[str, float] = {}
+
+    def timed(stage: str, work):
+        began = time.monotonic()
+        out = work()
+        took[stage] = time.monotonic() - began
+        return out
+
     if args.validate:
-        check_engines(records)
-    out = report_text(flagstat(records, args.engine))
+        timed("validation", lambda: check_engines(records))
+    out = timed("scan and totals", lambda: report_text(flagstat(records, args.engine)))
     if args.benchmark:
-        cover = records.selectExpr("count(*) AS n", "sum(block_size + 4) AS bytes", "count(DISTINCT path, span_id) AS spans").first()
+        files = list_files(args.input, ".bam")
+        covered = file_coverage(spark, records, files, {args.input: args.bai} if args.bai else None)
+        rows = timed("coverage", covered.collect)
+        check_coverage(covered)
+        total = lambda name: sum(r[name] for r in rows)
         print(f"master {spark.sparkContext.master}, parallelism {spark.sparkContext.defaultParallelism}, engine {args.engine}", file=sys.stderr)
-        print(f"records {cover.n}, spans {cover.spans}, record bytes {cover.bytes}", file=sys.stderr)
+        print(f"files {len(rows)}, anchors {total('anchors')}, spans {total('spans')}, members {total('members')}", file=sys.stderr)
+        print(f"records {total('records')}, record bytes {total('record_bytes')}, inflated bytes {total('inflated_bytes')}, compressed bytes {total('compressed_bytes')}", file=sys.stderr)
+        print("seconds: " + ", ".join(f"{k} {v:.3f}" for k, v in took.items()) + "; each reads the input anew, and starts of sessions are in the first", file=sys.stderr)
+        print(f"throughput {total('inflated_bytes') / max(took['scan and totals'], 1e-9) / 1e9:.3f} GB/s of inflated bytes", file=sys.stderr)
         if args.validate:
             print("validation: all engines agree", file=sys.stderr)
     return out

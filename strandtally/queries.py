@@ -1,18 +1,21 @@
 """Registered queries of the alignment operators, and the same in SQL.
 
-No alignment files come with the tables, so records are derived from ``lineitem``, members and index
-entries from ``orders`` and ``lineitem``. The queries that read files write them first, with Spark,
-from the derived records.
+No alignment files come with the tables, so records are derived from ``lineitem``. The queries that read files
+write them first, with Spark, from the derived records: one file for each reference, whose id stands
+for the file. Members, index entries, anchors and spans are read back from these files. Offsets in compressed bytes depend on the
+compressor, so results give members by their number in the file.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strandtally.functions import codecs
 from strandtally.functions.flags import COUNTERS, FAILED, NAMES, PASSED
+from strandtally.operators import coverage as cover
 from strandtally.operators import flagstat as ops
 from strandtally.plans import spans as plans
 from strandtally.shared import new_path
@@ -31,55 +34,71 @@ _FIELDS = {
     "batch_id": "CAST(l_orderkey % 16 AS BIGINT)",
 }
 _A = "a AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in _FIELDS.items()) + " FROM lineitem)"
-_MEMBERS = """m AS (SELECT CAST(o_custkey % 16 AS INT) AS file_id, o_orderkey, CAST(200 + o_orderkey % 20000 AS BIGINT) AS compressed_len, CAST(1000 + (o_custkey*7) % 60000 AS BIGINT) AS uncompressed_len FROM orders),
-p AS (SELECT *, CAST(coalesce(sum(compressed_len) OVER w, 0) AS BIGINT) AS compressed_offset, CAST(coalesce(sum(uncompressed_len) OVER w, 0) AS BIGINT) AS position FROM m WINDOW w AS (PARTITION BY file_id ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-e AS (SELECT file_id, (compressed_offset << 16) | (l_partkey % uncompressed_len) AS packed, CAST(l_suppkey % 25 AS INT) AS ref_id, CAST((l_partkey % 20000) * 16384 AS BIGINT) AS window_start FROM lineitem JOIN p ON l_orderkey = o_orderkey),
-z AS (SELECT file_id, min(compressed_offset) << 16 | 11 AS first_record, max(compressed_offset + compressed_len) << 16 AS data_end FROM p GROUP BY file_id),
+RECORD, MEMBER_BYTES = 37, 8192
+HEAD = 12 + sum(4 + len(f"chr{i + 1}") + 1 + 4 for i in range(REFERENCES))
+_MEMBERS = f"""{_A},
+r AS (SELECT ref_id AS file_id, CAST(pos // 16384 AS BIGINT) AS win, row_number() OVER (PARTITION BY ref_id ORDER BY pos) - 1 AS r FROM a),
+c AS (SELECT file_id, count(*) * {RECORD} AS bytes, (count(*) * {RECORD} + {MEMBER_BYTES - 1}) // {MEMBER_BYTES} AS n FROM r GROUP BY file_id),
+p AS (SELECT file_id, 0::BIGINT AS compressed_offset, {HEAD}::BIGINT AS uncompressed_len, 0::BIGINT AS position FROM c UNION ALL SELECT file_id, i + 1, least({MEMBER_BYTES}, bytes - i * {MEMBER_BYTES}), {HEAD} + i * {MEMBER_BYTES} FROM (SELECT file_id, bytes, unnest(range(0, n)) AS i FROM c)),
+e AS (SELECT file_id, (1 + x // {MEMBER_BYTES}) << 16 | (x % {MEMBER_BYTES}) AS packed, file_id AS ref_id, win * 16384 AS window_start FROM (SELECT file_id, win, min(r) * {RECORD} AS x FROM r GROUP BY file_id, win)),
+z AS (SELECT file_id, 65536::BIGINT AS first_record, (1 + n) << 16 AS data_end FROM c),
 n AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY packed) - 1 AS anchor_id, packed FROM (SELECT e.file_id, packed FROM e JOIN z USING (file_id) WHERE packed > first_record AND packed < data_end UNION SELECT file_id, first_record FROM z UNION SELECT file_id, data_end FROM z))"""
-CAP = 1 << 20
-PREFIX = 4 << 20
+CAP = 20_000
+PREFIX = 40_000
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*[F.expr(v).alias(k) for k, v in _FIELDS.items()])
 
 
-def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        (F.col("o_custkey") % 16).cast("int").alias("file_id"), "o_orderkey", (200 + F.col("o_orderkey") % 20000).cast("long").alias("compressed_len"), (1000 + (F.col("o_custkey") * 7) % 60000).cast("long").alias("uncompressed_len")
-    )
-    before = Window.partitionBy("file_id").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
-    return plans.member_positions(rows.withColumn("compressed_offset", F.coalesce(F.sum("compressed_len").over(before), F.lit(0)).cast("long")))
+class _Files:
+    """Derived records as a folder of files, and what they hold, with references for files and numbers for members."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        datasource.register(spark)
+        self.spark = spark
+        self.manifest = write_bam(alignments(spark, sf_dir), new_path(spark, "bam"), REFERENCES, MEMBER_BYTES, by_reference=True)
+        self.paths = [r.path for r in self.manifest.select("path").collect()]
+
+    def read(self, source: str = "bam", **options) -> DataFrame:
+        return self.spark.read.format(source).option("paths", json.dumps(self.paths)).options(maxCompressedBytes=1 << 20, **options).load()
 
+    def stream(self) -> DataFrame:
+        return self.spark.readStream.format("bam").option("paths", json.dumps(self.paths)).option("maxCompressedBytes", 1 << 20).load()
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey")
-    joined = lines.join(members(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
-    packed = codecs.pack_offset(F.col("compressed_offset"), F.col("l_partkey") % F.col("uncompressed_len"))
-    return joined.select("file_id", packed.alias("packed"), (F.col("l_suppkey") % 25).cast("int").alias("ref_id"), ((F.col("l_partkey") % 20000) * codecs.WINDOW).cast("long").alias("window_start"))
+    def by_ref(self, rows: DataFrame, column: str = "file_id") -> DataFrame:
+        return rows.withColumn(column, F.regexp_extract(column, r"/ref-(-?\d+)-[^/]*$", 1).cast("int"))
 
+    def numbers(self) -> DataFrame:
+        return cover.member_numbers(cover.members(self.spark, self.paths))
 
-def file_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ends = members(spark, sf_dir).groupBy("file_id").agg(F.min("compressed_offset").alias("a"), F.max(F.col("compressed_offset") + F.col("compressed_len")).alias("b"))
-    return ends.select("file_id", codecs.pack_offset(F.col("a"), F.lit(11)).alias("first_record"), codecs.pack_offset(F.col("b"), F.lit(0)).alias("data_end"))
+    def members(self) -> DataFrame:
+        rows = self.numbers().where("not is_eof").select("file_id", F.col("member").alias("compressed_offset"), F.col("uncompressed_len").cast("long").alias("uncompressed_len"))
+        return self.by_ref(plans.member_positions(rows))
 
+    def entries(self) -> DataFrame:
+        return self.by_ref(cover.numbered(cover.entries(self.spark, self.paths), "packed", self.numbers()))
 
-def _anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.anchors(file_ends(spark, sf_dir), entries(spark, sf_dir))
+    def ends(self) -> DataFrame:
+        rows = cover.ends(self.spark, self.paths)
+        for column in ("first_record", "data_end"):
+            rows = cover.numbered(rows, column, self.numbers())
+        return self.by_ref(rows)
 
+    def anchors(self) -> DataFrame:
+        return plans.anchors(self.ends().drop("reference_count"), self.entries())
 
-def _bam(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
-    """Derived records as a folder of files: the paths, and the writer's manifest."""
-    datasource.register(spark)
-    manifest = write_bam(alignments(spark, sf_dir), new_path(spark, "bam"), REFERENCES)
-    return ",".join(r.path for r in manifest.select("path").collect()), manifest
+    def placed(self) -> DataFrame:
+        return plans.anchor_members(self.anchors(), self.members()).select("file_id", "position").distinct()
+
+    def block_map(self) -> DataFrame:
+        placed = self.placed()
+        last = placed.groupBy("file_id").agg(F.max("position").alias("data_end"))
+        return plans.block_map(plans.batch_plan(placed, CAP), self.members(), last)
 
 
 def _read(spark: SparkSession, sf_dir: str, source: str = "bam") -> DataFrame:
-    paths, _ = _bam(spark, sf_dir)
-    if source == "bai":
-        paths = ",".join(datasource.default_index(p) for p in paths.split(","))
-    return spark.read.format(source).option("maxCompressedBytes", 1 << 20).load(paths)
+    return _Files(spark, sf_dir).read(source)
 
 
 def _totals_sql(relation: str = "a", keys: str = "") -> str:
@@ -152,19 +171,33 @@ def _span_status(s, d):
     return first.select("batch_id", "m.span_id", "m.status", codecs.status_text(F.col("m.status")).alias("description"))
 
 
-def _placed(s, d):
-    return plans.anchor_members(_anchored(s, d), members(s, d)).select("file_id", "position").distinct()
+def _span_windows(s, d):
+    files = _Files(s, d)
+    return plans.span_windows(plans.span_bounds(files.anchors()), files.entries())
+
 
+def _span_checks(s, d):
+    """Per file: its spans, and those that are empty or leave a gap."""
+    spans = plans.span_bounds(_Files(s, d).anchors())
+    bad = plans.check_spans(spans).groupBy("file_id").agg(F.count("*").alias("bad"))
+    return spans.groupBy("file_id").agg(F.count("*").alias("spans")).join(bad, "file_id", "left").select("file_id", "spans", F.coalesce("bad", F.lit(0).cast("long")).alias("bad"))
 
-def _block_map(s, d):
-    placed = _placed(s, d)
-    last = placed.groupBy("file_id").agg(F.max("position").alias("data_end"))
-    return plans.block_map(plans.batch_plan(placed, CAP), members(s, d), last)
+
+def _anchor_member_join(s, d):
+    files = _Files(s, d)
+    return plans.anchor_members(files.anchors(), files.members())
+
+
+def _translate(s, d):
+    files = _Files(s, d)
+    return plans.translate(files.anchors(), files.block_map())
 
 
 def _prefix(s, d):
-    kept = plans.prefix(members(s, d), PREFIX)
-    return kept.groupBy("file_id").agg(F.count("*").alias("members"), F.sum("compressed_len").alias("compressed_bytes"), F.sum("uncompressed_len").alias("uncompressed_bytes"))
+    """Each file's front of at most PREFIX inflated bytes."""
+    files = _Files(s, d)
+    kept = files.by_ref(cover.members(s, files.paths, mode="prefix", maxUncompressedBytes=PREFIX))
+    return kept.groupBy("file_id").agg(F.count("*").alias("members"), F.sum("uncompressed_len").cast("long").alias("uncompressed_bytes"))
 
 
 def _vector_add(s, d):
@@ -184,43 +217,49 @@ def _alignments_scan(s, d):
 
 
 def _record_framing(s, d):
-    """Records and bytes of spans, summed over all spans."""
-    by_span = _read(s, d).groupBy("path", "span_id").agg(F.count("*").alias("n"), F.sum(F.col("block_size") + 4).alias("bytes"), F.max(F.col("record_offset") + F.col("block_size") + 4).alias("last"))
-    return by_span.agg(F.sum("n").alias("records"), F.sum("bytes").alias("bytes"), F.sum(F.when(F.col("last") == F.col("bytes"), 0).otherwise(1)).cast("long").alias("gaps"))
+    """Per file: records, their bytes, spans, and spans whose records leave a gap."""
+    files = _Files(s, d)
+    by_span = files.read().groupBy(F.col("path").alias("file_id"), "span_id").agg(F.count("*").alias("n"), F.sum(F.col("block_size") + 4).alias("bytes"), F.max(F.col("record_offset") + F.col("block_size") + 4).alias("last"))
+    return files.by_ref(by_span.groupBy("file_id").agg(F.sum("n").alias("records"), F.sum("bytes").alias("bytes"), F.count("*").alias("spans"), F.sum(F.when(F.col("last") == F.col("bytes"), 0).otherwise(1)).cast("long").alias("gaps")))
 
 
 def _bam_header(s, d):
-    return _read(s, d, "bam_header").groupBy("reference_count").agg(F.count_if(F.col("data_end") * 65536 <= F.col("first_compressed") * 65536 + F.col("first_within")).alias("empty_files"))
+    return _Files(s, d).ends()
 
 
 def _bai_linear_index(s, d):
-    """How often each window of each reference is indexed, over all files: at least once if it has records."""
-    return _read(s, d, "bai").select("ref_id", "window_start").distinct()
+    """Every entry of every index, with the member and the place in it."""
+    return _Files(s, d).entries()
 
 
 def _physical_endpoints(s, d):
-    """Every file's index entries lie between its first record and its end."""
-    ends = _read(s, d, "bam_header").select("path", ((F.col("first_compressed") * 65536) + F.col("first_within")).alias("first"), (F.col("data_end") * 65536).alias("end"))
-    paths = ends.select("path", "first", "end")
-    return paths.agg(F.count_if(F.col("first") >= F.col("end")).alias("empty"), F.count_if(F.col("first") < 65536).alias("in_first_member"))
+    """Per file: its end, its index entries, and those that do not lie between its first record and its end."""
+    files = _Files(s, d)
+    inside = (F.col("packed") >= F.col("first_record")) & (F.col("packed") < F.col("data_end"))
+    return files.entries().join(files.ends(), "file_id").groupBy("file_id", "data_end").agg(F.count("*").alias("entries"), F.count_if(~inside).alias("outside"))
 
 
 def _bgzf_members(s, d):
-    found = _read(s, d, "bgzf")
-    return found.agg(F.sum(F.when(F.col("is_eof"), 0).otherwise(F.col("uncompressed_len"))).cast("long").alias("inflated") - F.count_if("is_eof") * (12 + sum(4 + len(f"chr{i + 1}") + 1 + 4 for i in range(REFERENCES)))).toDF("record_bytes")
+    """Per file: its members, end marker included, and what they inflate to."""
+    files = _Files(s, d)
+    return files.by_ref(cover.members(s, files.paths)).groupBy("file_id").agg(F.count("*").alias("members"), F.count_if("is_eof").alias("end_markers"), F.sum("uncompressed_len").cast("long").alias("inflated"))
+
+
+def _bgzf_inflate_stats(s, d):
+    """How many members inflate to how many bytes."""
+    return _read(s, d, "bgzf").groupBy(F.col("uncompressed_len").cast("long").alias("inflated")).agg(F.count("*").alias("members"))
 
 
 def _scan_coverage(s, d):
-    """What was written and what is read back, a row each."""
-    paths, manifest = _bam(s, d)
-    written = manifest.agg(F.lit("written").alias("side"), F.sum("records").alias("records"), F.sum("bytes").alias("bytes"))
-    back = s.read.format("bam").load(paths)
-    return written.unionByName(back.agg(F.lit("read").alias("side"), F.count("*").alias("records"), F.sum(F.col("block_size") + 4).alias("bytes")))
+    """Per file: what was written, what a scan gives, and whether its spans are all that the anchors make."""
+    files = _Files(s, d)
+    covered = files.by_ref(cover.file_coverage(s, files.read(), files.paths)).drop("compressed_bytes")
+    written = files.by_ref(files.manifest.select(F.col("path").alias("file_id"), F.col("records").alias("written")))
+    return covered.join(written, "file_id")
 
 
 def _flagstat_stream(s, d):
-    paths, _ = _bam(s, d)
-    return stream_totals(s.readStream.format("bam").option("maxCompressedBytes", 1 << 20).load(paths))
+    return stream_totals(_Files(s, d).stream())
 
 
 def _lineitem_stream(s, d):
@@ -250,13 +289,14 @@ QUERIES = {
     "capacity_classes": _capacity_classes,
     "timestamp_delta": _timestamp_delta,
     "span_status": _span_status,
-    "anchors": _anchored,
-    "span_bounds": lambda s, d: plans.span_bounds(_anchored(s, d)),
-    "span_windows": lambda s, d: plans.span_windows(plans.span_bounds(_anchored(s, d)), entries(s, d)),
-    "anchor_member_join": lambda s, d: plans.anchor_members(_anchored(s, d), members(s, d)),
-    "batch_plan": lambda s, d: plans.batch_plan(_placed(s, d), CAP),
-    "block_map": _block_map,
-    "translate_offsets": lambda s, d: plans.translate(_anchored(s, d), _block_map(s, d)),
+    "anchors": lambda s, d: _Files(s, d).anchors(),
+    "span_bounds": lambda s, d: plans.span_bounds(_Files(s, d).anchors()),
+    "span_checks": _span_checks,
+    "span_windows": _span_windows,
+    "anchor_member_join": _anchor_member_join,
+    "batch_plan": lambda s, d: plans.batch_plan(_Files(s, d).placed(), CAP),
+    "block_map": lambda s, d: _Files(s, d).block_map(),
+    "translate_offsets": _translate,
     "bgzf_prefix": _prefix,
     "vector_add": _vector_add,
     "field_decode": _field_decode,
@@ -268,6 +308,7 @@ QUERIES = {
     "bai_linear_index": _bai_linear_index,
     "physical_endpoints": _physical_endpoints,
     "bgzf_members": _bgzf_members,
+    "bgzf_inflate_stats": _bgzf_inflate_stats,
     "scan_coverage": _scan_coverage,
     "flagstat_stream": _flagstat_stream,
     "flagstat_lineitem_stream": _lineitem_stream,
@@ -308,14 +349,16 @@ SQL = {
     "batch_plan": f"WITH RECURSIVE {_MEMBERS}, {_PLACED}, {_BATCHES} SELECT file_id, batch_start FROM b",
     "block_map": f"WITH RECURSIVE {_MEMBERS}, {_PLACED}, {_BATCHES}, {_MAP} SELECT * FROM mp",
     "translate_offsets": f"WITH RECURSIVE {_MEMBERS}, {_PLACED}, {_BATCHES}, {_MAP}, f AS (SELECT n.file_id, n.packed, batch_start, batch_from + (packed & 65535) - src_start AS batch_offset, row_number() OVER (PARTITION BY n.file_id, n.packed ORDER BY batch_start, batch_from + (packed & 65535) - src_start) AS r FROM n LEFT JOIN mp ON n.file_id = mp.file_id AND (n.packed >> 16) = mp.compressed_offset AND (packed & 65535) BETWEEN src_start AND src_end) SELECT file_id, packed, batch_start, batch_offset FROM f WHERE r = 1",
-    "bgzf_prefix": f"WITH {_MEMBERS} SELECT file_id, count(*) AS members, CAST(sum(compressed_len) AS BIGINT) AS compressed_bytes, CAST(sum(uncompressed_len) AS BIGINT) AS uncompressed_bytes FROM p WHERE position + uncompressed_len <= {PREFIX} GROUP BY file_id",
+    "bgzf_prefix": f"WITH {_MEMBERS} SELECT file_id, count(*) AS members, CAST(sum(uncompressed_len) AS BIGINT) AS uncompressed_bytes FROM p WHERE position + uncompressed_len <= {PREFIX} GROUP BY file_id",
+    "span_checks": f"WITH {_MEMBERS} SELECT file_id, count(*) - 1 AS spans, 0::BIGINT AS bad FROM n GROUP BY file_id",
     "vector_add": "SELECT l_orderkey, l_partkey, CAST(l_orderkey % 1000 AS FLOAT) + CAST((l_partkey // 10) % 1000 AS FLOAT) AS total FROM lineitem",
     "field_decode": f"WITH {_A} SELECT ref_id, mapq, flag, next_ref_id FROM a",
     "alignments_scan": f"WITH {_A} SELECT flag, mapq, ref_id, next_ref_id FROM a",
-    "record_framing": "SELECT count(*) AS records, count(*) * 37 AS bytes, 0::BIGINT AS gaps FROM lineitem",
-    "bam_header": f"SELECT {REFERENCES} AS reference_count, 0::BIGINT AS empty_files",
-    "bai_linear_index": f"WITH {_A} SELECT DISTINCT ref_id, CAST((pos // 16384) * 16384 AS BIGINT) AS window_start FROM a",
-    "physical_endpoints": "SELECT 0::BIGINT AS empty, 0::BIGINT AS in_first_member",
-    "bgzf_members": "SELECT count(*) * 37 AS record_bytes FROM lineitem",
-    "scan_coverage": "SELECT side, count(*) AS records, count(*) * 37 AS bytes FROM lineitem, (VALUES ('written'), ('read')) AS v(side) GROUP BY side",
+    "record_framing": f"WITH {_MEMBERS}, s AS (SELECT file_id, count(*) AS spans FROM e GROUP BY file_id) SELECT file_id, bytes // {RECORD} AS records, bytes, spans, 0::BIGINT AS gaps FROM c JOIN s USING (file_id)",
+    "bam_header": f"WITH {_MEMBERS} SELECT file_id, {REFERENCES} AS reference_count, first_record, data_end FROM z",
+    "bai_linear_index": f"WITH {_MEMBERS} SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY window_start) - 1 AS ordinal, packed, ref_id, window_start FROM e",
+    "physical_endpoints": f"WITH {_MEMBERS} SELECT file_id, data_end, count(*) AS entries, CAST(count(*) FILTER (packed < first_record OR packed >= data_end) AS BIGINT) AS outside FROM e JOIN z USING (file_id) GROUP BY file_id, data_end",
+    "bgzf_members": f"WITH {_MEMBERS} SELECT file_id, count(*) + 1 AS members, 1::BIGINT AS end_markers, CAST(sum(uncompressed_len) AS BIGINT) AS inflated FROM p GROUP BY file_id",
+    "bgzf_inflate_stats": f"WITH {_MEMBERS} SELECT uncompressed_len AS inflated, count(*) AS members FROM p GROUP BY ALL UNION ALL SELECT 0::BIGINT, count(*) FROM c",
+    "scan_coverage": f"WITH {_MEMBERS}, s AS (SELECT file_id, count(*) AS spans FROM e GROUP BY file_id) SELECT file_id, bytes // {RECORD} AS records, bytes AS record_bytes, spans, spans + 1 AS anchors, n + 2 AS members, bytes + {HEAD} AS inflated_bytes, TRUE AS complete, bytes // {RECORD} AS written FROM c JOIN s USING (file_id)",
 }

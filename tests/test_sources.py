@@ -265,6 +265,9 @@ def test_round_trip_and_command_line(spark, tmp_path, capsys):
     said = capsys.readouterr()
     assert len(said.out.splitlines()) == 16
     assert "all engines agree" in said.err
+    assert "master local" in said.err and "GB/s" in said.err
+    cover = dict(x.rsplit(" ", 1) for line in said.err.splitlines() if line.startswith(("files", "records")) for x in line.split(", "))
+    assert int(cover["spans"]) + 1 == int(cover["anchors"]) and int(cover["records"]) == manifest[0].records
     assert main(["flagstat", "missing.bam"], spark) == 1
     assert capsys.readouterr().err.startswith("strandtally: ")
 
@@ -290,3 +293,31 @@ def test_bounded_stream_reaches_the_end(spark, put, tmp_path):
         query.stop()
     assert spark.table("bounded").first() == flagstat(spark.read.format("bam").load(path)).first()
     assert len(batches) == sum(datasource.spans_of(s) is not None for s in datasource.splits(path, 60)) > 1
+
+
+def test_relations_of_real_files(spark, put):
+    """Anchors, spans and coverage from the sources are those of the reader; a scan that lacks a span is found out."""
+    from strandtally.operators import coverage
+    from strandtally.plans import spans
+
+    datasource.register(spark)
+    path = file_with(put, [record(*r[:4]) for r in RECORDS], 40, [1, 2, 2])
+    anchored = spans.anchors(coverage.ends(spark, [path]), coverage.entries(spark, [path]))
+    assert [r.packed for r in anchored.orderBy("packed").collect()] == datasource.anchors(path).tolist()
+    rows = spark.read.format("bam").load(path)
+    covered = coverage.file_coverage(spark, rows, [path])
+    r = covered.first()
+    assert (r.records, r.record_bytes, r.spans, r.anchors, r.members, r.complete) == (4, 144, 3, 4, 6, True)
+    assert r.inflated_bytes == len(head()) + 144
+    coverage.check_coverage(covered)
+    with pytest.raises(ValueError, match="do not cover"):
+        coverage.check_coverage(coverage.file_coverage(spark, rows.where("span_id <> 1"), [path]))
+
+
+def test_campaign(spark):
+    from strandtally.operators.coverage import campaign
+
+    runs = spark.createDataFrame([("a", 1.0, 10**9), ("a", 3.0, 10**9), ("a", 2.0, 10**9), ("b", 4.0, 10**9), ("c", 0.0, 1)], "name string, seconds double, logical_bytes long")
+    got = {r.name: tuple(r)[1:] for r in campaign(runs.where("name <> 'c'")).collect()}
+    assert got == {"a": (3, 2.0, 1.0, 3.0, 0.5, 1.0), "b": (1, 4.0, 4.0, 4.0, 0.25, 2.0)}
+    assert campaign(runs.where("name = 'c'")).first().gb_per_s is None
