@@ -37,6 +37,8 @@ D = 0.75
 #: Words that make up one HOT-th of the tokens have their pairs spread over all shards.
 HOT = 2000
 BLOCK_ROWS = 2048
+#: Longer texts are blocks of their own, so a block has at most BLOCK_ROWS times so many characters.
+LONG_CHARS = 1 << 17
 SHARD_TOKENS = 2_000_000
 #: What stands for the end and the begin of a text among the word hashes.
 END, BEGIN = np.uint64(0x0E0D0E0D0E0D0E0D), np.uint64(0x0B0E0B0E0B0E0B0E)
@@ -259,10 +261,12 @@ class Counts:
 def train_and_score(docs: DataFrame, train: Column, block: Column | None = None, doc_col: str = "doc_id", text_col: str = "text", states: int | None = None, arcs: int | None = None) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
-    ``block`` groups a few thousand rows; rows of a block are best stored together.
+    ``block`` groups a few thousand rows; rows of a block are best stored together. A text of more than
+    LONG_CHARS characters is taken out of its block.
     """
     if block is None:
         block = F.pmod(F.xxhash64(doc_col), F.lit(docs.count() // BLOCK_ROWS + 1))
+    block = F.when(F.length(text_col) > LONG_CHARS, F.xxhash64(block, F.xxhash64(text_col))).otherwise(block)
     rows = docs.select(block.cast("long").alias("block"), train.alias("train"), F.col(text_col).cast("string").alias("text"), F.col(doc_col).alias("doc_id"))
     n, hot = frequent(rows, states)
     shards, limited = n // SHARD_TOKENS + 1, states is not None

@@ -1,11 +1,13 @@
 import math
+import zlib
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from strandtally.llm.backoff_lm import D, train_and_score
+from strandtally.llm.backoff_lm import D, op7_backoff_lm, train_and_score
 from strandtally.llm.language_id import held_out
+from tests.conftest import SF
 from tests.llm.conftest import rng_text
 
 
@@ -25,7 +27,9 @@ def plain_model(texts, states, arcs):
     state = {w for w in c if c[w] * states >= n} | {"<s>"}
     arc = {p: k for p, k in pairs.items() if p[0] in state and p[1] in state and k * arcs >= n}
     history = dict(c) | {"<s>": begins}
-    left = {u: 1 - sum((k - D) / history[u] for (a, _), k in arc.items() if a == u) for u in state}
+    left = dict.fromkeys(state, 1.0)
+    for (u, _), k in arc.items():
+        left[u] -= (k - D) / history[u]
     p1 = lambda w: (c[w] - D) / n if w in c else D * v / n
 
     def score(text):
@@ -79,6 +83,30 @@ def test_no_pair_is_dropped(spark, monkeypatch, by_block):
         assert out[i].score == pytest.approx(score(t)[4], abs=1e-4)
 
 
+def test_long_texts_are_blocks_of_their_own(spark, monkeypatch):
+    from strandtally.llm import backoff_lm
+
+    monkeypatch.setattr(backoff_lm, "LONG_CHARS", 500)
+    texts = [rng_text(i, 20 if i % 3 else 400, 300) for i in range(30)] + [None]
+    docs = spark.createDataFrame([(i, t, "clash", "clash", "clash", "clash") for i, t in enumerate(texts)], "doc_id long, text string, block string, train string, h string, c string")
+    out = {r.doc_id: r for r in train_and_score(docs, F.col("doc_id") != 3, F.lit(1)).collect()}
+    score, _ = plain_model([t for i, t in enumerate(texts) if i != 3], 10**9, 10**9)
+    assert all(out[i].score == pytest.approx(score(t)[4], abs=1e-4) for i, t in enumerate(texts))
+
+
+def test_query_against_brute_force(spark):
+    source = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    train = [r.text for r in source if zlib.crc32(str(r.doc_id).encode()) % 7 != 2]
+    score, _ = plain_model(train, 10**12, 10**12)
+    got = {r.doc_id: tuple(r)[1:] for r in op7_backoff_lm(spark, SF).collect()}
+    assert len(got) == len(source)
+    for r in source:
+        n_tokens, known, n, base, total = score(r.text)
+        held, *counts, base_score, own = got[r.doc_id]
+        assert (held, *counts) == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2, n_tokens, known, n)
+        assert (base_score, own) == (pytest.approx(base, rel=1e-9, abs=1e-6), pytest.approx(total, rel=1e-9, abs=1e-4))
+
+
 def test_better_than_its_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     out = train_and_score(docs, ~held_out("doc_id", 7, 2)).where("not train").agg(F.sum("score"), F.sum("base_score")).first()

@@ -1,7 +1,9 @@
+import zlib
+
 import numpy as np
 import pytest
 
-from strandtally.llm.language_id import UNKNOWN, held_out, identify, learn, trigram_counts, trigram_vectors
+from strandtally.llm.language_id import UNKNOWN, held_out, identify, learn, op8_language_id, trigram_counts, trigram_vectors
 from strandtally.llm.language_id import SYMBOLS, profile, symbol_table
 from tests.conftest import SF
 
@@ -53,3 +55,26 @@ def test_ties_and_repeats(spark, nasty):
     prototypes = learn(nasty)
     prototypes = {"b": prototypes["en"], "a": prototypes["en"]}
     assert {r.lang_pred for r in predictions(nasty, prototypes)} == {"a", UNKNOWN}
+
+
+def test_query_against_brute_force(spark):
+    """The registered query, text by text: prototypes are sums of the profiles of the documents learned from."""
+    source = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in source}
+    profiles = {r.doc_id: profile(r.text) for r in source}
+    sums = {}
+    for r in source:
+        if not held[r.doc_id] and r.lang is not None and profiles[r.doc_id] is not None:
+            sums[r.lang] = sums.get(r.lang, 0) + profiles[r.doc_id]
+    unit = {k: v / np.linalg.norm(v) for k, v in sums.items()}
+    got = {r.doc_id: r for r in op8_language_id(spark, SF).collect()}
+    assert set(got) == set(held)
+    for i, v in profiles.items():
+        assert got[i].held_out == held[i]
+        if v is None:
+            assert (got[i].lang_pred, got[i].score) == (UNKNOWN, 0.0)
+            continue
+        cosines = {k: float(u @ v / np.linalg.norm(v)) for k, u in unit.items()}
+        best = max(sorted(cosines), key=cosines.get)
+        assert got[i].score == pytest.approx(max(0.0, cosines[best]), abs=1e-4)
+        assert got[i].lang_pred == best or cosines[best] - cosines[got[i].lang_pred] < 1e-4
