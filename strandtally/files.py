@@ -30,6 +30,16 @@ def exists(uri: str) -> bool:
     return store.get_file_info(path).type == fs.FileType.File
 
 
+def delete(uri: str) -> None:
+    """Delete a file or a folder with all that is in it, if it is there."""
+    store, path = store_of(uri)
+    kind = store.get_file_info(path).type
+    if kind == fs.FileType.Directory:
+        store.delete_dir(path)
+    elif kind == fs.FileType.File:
+        store.delete_file(path)
+
+
 def size_of(uri: str) -> int:
     store, path = store_of(uri)
     info = store.get_file_info(path)

@@ -1,14 +1,23 @@
-"""Tables written to the folder that the driver and all executors share."""
+"""Tables written to the folder that the driver and all executors share.
+
+Results are lazy and read these tables, so they stay until their caller is done: ``scratch`` deletes what was
+written within it, ``discard`` all that this application has written.
+"""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandtally.files import delete
 
 _own: dict[str, str] = {}
+#: Paths handed out and not deleted yet.
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +38,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nobody has used yet."""
-    return f"{shared_dir(spark)}/strandtally/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/strandtally/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Delete, at the end, all that was written in the shared folder within; read what depends on it before."""
+    at = len(_made)
+    try:
+        yield
+    finally:
+        discard(at)
+
+
+def discard(first: int = 0) -> None:
+    """Delete what was written in the shared folder, from the path of this number on."""
+    while len(_made) > first:
+        delete(_made.pop())
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
