@@ -4,13 +4,14 @@ Both sides are cut into words. A window is ``window`` consecutive words of a ben
 item of fewer words is one window. Every window is represented by its smallest ``gram``-word
 hash. A document keeps a hash wherever it is the smallest of the ``window - gram + 1`` hashes of
 some window that lies inside the document, so any window that both sides share gives both the
-same fingerprint: no shared span of ``window`` words can be missed. Fingerprints are joined, and
-each hit is extended to the whole window and compared word by word.
+same fingerprint: no shared span of ``window`` words can be missed. Each fingerprint of a document is extended to the windows
+whose smallest hash it is; fingerprints are joined together with the hash of the whole window, so that a frequent
+fingerprint does not multiply, and each hit is compared word by word.
 
 Items shorter than a window are looked up under a hash of all their words instead.
 
-Before the join, documents drop fingerprints that no item can have, by a bitmap of fixed size
-(``2 ** filter_bits`` bits, whatever the size of the benchmark); it never drops a true hit.
+Before the join, documents drop fingerprints that no item can have, by a bitmap of sixteen bits for each window of the benchmark,
+and at least 2 ** 20 and at most 2 ** 28 bits (32 MB) in all; it never drops a true hit.
 
 Cases: null or empty text has no words; a null item id is skipped; rows with the same id count
 as versions of one document and share their hits; rows with a null ``doc_id`` stay and count as
@@ -28,7 +29,8 @@ from pyspark.sql.window import Window
 from strandtally.llm.textscan import ALNUM_WORDS, Words, mix, scan, take_turn
 from strandtally.shared import materialize
 
-_HITS = "array<struct<fp: long, at: int, from_word: int, context: array<string>>>"
+_HITS = "array<struct<fp: long, whole: long, start: int, words: array<string>>>"
+FILTER_BITS = (20, 28)
 
 
 def gram_hashes(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,18 +52,13 @@ def _sliding(values: np.ndarray, size: int, best) -> np.ndarray:
 
 
 def winnow(words: Words, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """First words of the kept grams, and their hashes."""
+    """First words of all windows inside a text, and the smallest gram hash of each, which is the fingerprint that is kept for it."""
     h, _ = gram_hashes(words, gram)
     span = window - gram + 1
     if len(h) < span:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    whole = words.text[window - 1 :] == words.text[: len(words.text) - window + 1]
-    lowest = np.where(whole, _sliding(h, span, np.minimum), np.uint64(0))
-    padded = np.zeros(len(lowest) + 2 * (span - 1), np.uint64)
-    padded[span - 1 : span - 1 + len(lowest)] = lowest
-    kept = np.flatnonzero(_sliding(padded, span, np.maximum) == h)
-    kept = kept[words.text[kept] == words.text[kept + gram - 1]]
-    return kept, h[kept]
+    inside = np.flatnonzero(words.text[window - 1 :] == words.text[: len(words.text) - window + 1])
+    return inside, _sliding(h, span, np.minimum)[inside]
 
 
 def _signed(h: np.ndarray) -> pa.Array:
@@ -69,13 +66,14 @@ def _signed(h: np.ndarray) -> pa.Array:
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, gram: int, window: int) -> DataFrame:
-    """One row per item and window: its fingerprint, where in the window that lies, and the words."""
+    """One row per item and window: its fingerprint, the hash of the whole window, and the words."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
             for words in scan(batch.column(1), ALNUM_WORDS):
-                h, _ = gram_hashes(words, gram)
+                at, lowest = winnow(words, gram, window)
+                fps, whole = dict(zip(at.tolist(), lowest.tolist(), strict=True)), gram_hashes(words, window)[0]
                 rows = []
                 for t in range(words.n_texts):
                     lo, hi = words.bounds[t], words.bounds[t + 1]
@@ -84,54 +82,56 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, gram:
                     item = ids[words.first + t].as_py()
                     if hi - lo < window:
                         fp = gram_hashes(words, int(hi - lo))[0][lo]
-                        rows.append((item, fp, 0, [words.word(i).decode() for i in range(lo, hi)]))
+                        rows.append((item, fp, fp, [words.word(i).decode() for i in range(lo, hi)]))
                         continue
                     for a in range(lo, hi - window + 1):
-                        off = int(np.argmin(h[a : a + window - gram + 1]))
-                        rows.append((item, h[a + off], off, [words.word(i).decode() for i in range(a, a + window)]))
+                        rows.append((item, fps[a], whole[a], [words.word(i).decode() for i in range(a, a + window)]))
                 if rows:
-                    item, fp, off, text = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(item, pa.string()), _signed(np.array(fp, np.uint64)), pa.array(off, pa.int32()), pa.array(text, pa.list_(pa.string()))], ["item_id", "fp", "off", "words"])
+                    item, fp, all_of_it, text = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(item, pa.string()), _signed(np.array(fp, np.uint64)), _signed(np.array(all_of_it, np.uint64)), pa.array(text, pa.list_(pa.string()))], ["item_id", "fp", "whole", "words"])
 
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null")
-    return items.mapInArrow(run, "item_id string, fp long, off int, words array<string>")
+    return items.mapInArrow(run, "item_id string, fp long, whole long, words array<string>")
 
 
-def scan_documents(docs: DataFrame, doc_col: str, text_col: str, gram: int, window: int, bitmap: bytes, filter_bits: int, short: list[int]) -> DataFrame:
-    """One row per document with its number of words and the fingerprints some item may share."""
+def scan_documents(docs: DataFrame, doc_col: str, text_col: str, gram: int, window: int, bitmap, filter_bits: int, short: list[int]) -> DataFrame:
+    """One row per document with its number of words and the windows whose fingerprint some item may share."""
     doc_type = docs.schema[doc_col].dataType.simpleString()
 
     def run(batches):
         take_turn("scan")
-        bits = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").astype(bool)
-        cut = np.uint64((1 << filter_bits) - 1)
+        bits, cut = np.frombuffer(bitmap.value, np.uint8), np.uint64((1 << filter_bits) - 1)
+
+        def known(h: np.ndarray) -> np.ndarray:
+            cell = (h & cut).astype(np.int64)
+            return np.flatnonzero(bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1)
+
         for batch in batches:
             ids = batch.column(0)
             for words in scan(batch.column(1), ALNUM_WORDS):
                 at, fp = winnow(words, gram, window)
-                near = bits[(fp & cut).astype(np.int64)]
-                found = [(at[near], fp[near])]
+                near = known(fp)
+                at, fp = at[near], fp[near]
+                found = [(at, fp, gram_hashes(words, window)[0][at] if len(at) else fp, np.full(len(at), window))]
                 for k in short:
                     h, inside = gram_hashes(words, k)
-                    near = np.flatnonzero(inside)
-                    near = near[bits[(h[near] & cut).astype(np.int64)]]
-                    found.append((near, h[near]))
-                at, fp = np.concatenate([a for a, _ in found]), np.concatenate([f for _, f in found])
+                    near = known(h)
+                    near = near[inside[near]]
+                    found.append((near, h[near], h[near], np.full(len(near), k)))
+                at, fp, whole, size = (np.concatenate(x) for x in zip(*found, strict=True))
                 hits: list[list] = [[] for _ in range(words.n_texts)]
-                for a, f in zip(at.tolist(), fp.view(np.int64).tolist(), strict=True):
+                for a, f, w, k in zip(at.tolist(), fp.view(np.int64).tolist(), whole.view(np.int64).tolist(), size.tolist(), strict=True):
                     t = int(words.text[a])
-                    first, last = int(words.bounds[t]), int(words.bounds[t + 1])
-                    lo, hi = max(first, a - window + gram), min(last, a + window)
-                    hits[t].append({"fp": f, "at": a - first, "from_word": lo - first, "context": [words.word(i).decode() for i in range(lo, hi)]})
+                    hits[t].append({"fp": f, "whole": w, "start": a - int(words.bounds[t]), "words": [words.word(i).decode() for i in range(a, a + k)]})
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(words.first, words.n_texts), pa.array(np.diff(words.bounds)), pa.array(hits, pa.list_(pa.struct([("fp", pa.int64()), ("at", pa.int32()), ("from_word", pa.int32()), ("context", pa.list_(pa.string()))])))],
+                    [ids.slice(words.first, words.n_texts), pa.array(np.diff(words.bounds)), pa.array(hits, pa.list_(pa.struct([("fp", pa.int64()), ("whole", pa.int64()), ("start", pa.int32()), ("words", pa.list_(pa.string()))])))],
                     ["doc_id", "n_words", "hits"],
                 )
 
     return docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {doc_type}, n_words long, hits {_HITS}")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, gram: int = 5, filter_bits: int = 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, gram: int = 5) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, items (sorted array of item ids as strings).
 
     ``n_hit`` counts the document's words inside any occurrence of any window.
@@ -140,20 +140,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_id"
         raise ValueError("gram must be between 1 and window")
     spark = docs.sparkSession
     occurrences = materialize(benchmark_windows(benchmark, item_col, item_text_col, gram, window).withColumn("win", F.sha2(F.concat_ws(" ", "words"), 256)), "bench-windows")
-    # 2 ** filter_bits bits, gathered in words of 64, and at most `window` lengths reach the driver
+    filter_bits = min(FILTER_BITS[1], max(FILTER_BITS[0], (16 * occurrences.count()).bit_length()))
+    # at most 2 ** filter_bits bits, gathered in words of 64, and at most `window` lengths reach the driver
     cells = occurrences.select(F.expr(f"fp & {(1 << filter_bits) - 1}").alias("cell"))
-    found = cells.groupBy(F.expr("shiftright(cell, 6)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(cell & 63 AS INT))")).alias("bits")).collect()
-    bitmap = np.zeros(max(1, (1 << filter_bits) // 64), np.int64)
-    for r in found:
-        bitmap[r.word] = r.bits
+    found = cells.groupBy(F.expr("shiftright(cell, 6)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(cell & 63 AS INT))")).alias("bits")).toArrow()
+    bitmap = np.zeros((1 << filter_bits) // 64, np.int64)
+    bitmap[found["word"].to_numpy()] = found["bits"].to_numpy()
     short = sorted(r[0] for r in occurrences.select(F.size("words").alias("n")).where(F.col("n") < window).distinct().collect())
-    scanned = materialize(scan_documents(docs, doc_col, text_col, gram, window, bitmap.tobytes(), filter_bits, short), "bench-hits")
+    scanned = materialize(scan_documents(docs, doc_col, text_col, gram, window, spark.sparkContext.broadcast(bitmap.tobytes()), filter_bits, short), "bench-hits")
 
-    windows = occurrences.select("fp", "off", "words", "win").dropDuplicates(["win"])
+    windows = occurrences.select(F.col("fp").alias("fp2"), F.col("whole").alias("whole2"), F.col("words").alias("words2"), "win").dropDuplicates(["win"])
     hits = scanned.where("doc_id is not null and size(hits) > 0").select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
-    start = F.col("at") - F.col("off")
-    same = F.expr("slice(context, greatest(at - off - from_word, 0) + 1, size(words)) = words")
-    spans = hits.join(windows, "fp").where((start >= F.col("from_word")) & same).select("doc_id", start.alias("start"), (start + F.size("words")).alias("end"), "win").distinct()
+    spans = hits.join(windows, (F.col("fp") == F.col("fp2")) & (F.col("whole") == F.col("whole2")) & (F.col("words") == F.col("words2")))
+    spans = spans.select("doc_id", "start", (F.col("start") + F.size("words")).alias("end"), "win").distinct()
     spans = materialize(spans, "bench-spans")
 
     before = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
