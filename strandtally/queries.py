@@ -9,6 +9,7 @@ compressor, so results give members by their number in the file.
 from __future__ import annotations
 
 import json
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from strandtally.functions.flags import COUNTERS, FAILED, NAMES, PASSED
 from strandtally.operators import coverage as cover
 from strandtally.operators import flagstat as ops
 from strandtally.plans import spans as plans
-from strandtally.shared import new_path
+from strandtally.shared import materialize, new_path
 from strandtally.sources import datasource
 from strandtally.sources.bam import write_bam
 from strandtally.streaming.flagstat import stream_totals
@@ -69,32 +70,39 @@ class _Files:
     def by_ref(self, rows: DataFrame, column: str = "file_id") -> DataFrame:
         return rows.withColumn(column, F.regexp_extract(column, r"/ref-(-?\d+)-[^/]*$", 1).cast("int"))
 
+    @cached_property
     def numbers(self) -> DataFrame:
-        return cover.member_numbers(cover.members(self.spark, self.paths))
+        return materialize(cover.member_numbers(cover.members(self.spark, self.paths)), "members")
 
+    @cached_property
     def members(self) -> DataFrame:
-        rows = self.numbers().where("not is_eof").select("file_id", F.col("member").alias("compressed_offset"), F.col("uncompressed_len").cast("long").alias("uncompressed_len"))
-        return self.by_ref(plans.member_positions(rows))
+        rows = self.numbers.where("not is_eof").select("file_id", F.col("member").alias("compressed_offset"), F.col("uncompressed_len").cast("long").alias("uncompressed_len"))
+        return materialize(self.by_ref(plans.member_positions(rows)), "members")
 
+    @cached_property
     def entries(self) -> DataFrame:
-        return self.by_ref(cover.numbered(cover.entries(self.spark, self.paths), "packed", self.numbers()))
+        return materialize(self.by_ref(cover.numbered(cover.entries(self.spark, self.paths), "packed", self.numbers)), "entries")
 
+    @cached_property
     def ends(self) -> DataFrame:
         rows = cover.ends(self.spark, self.paths)
         for column in ("first_record", "data_end"):
-            rows = cover.numbered(rows, column, self.numbers())
+            rows = cover.numbered(rows, column, self.numbers)
         return self.by_ref(rows)
 
+    @cached_property
     def anchors(self) -> DataFrame:
-        return plans.anchors(self.ends().drop("reference_count"), self.entries())
+        return materialize(plans.anchors(self.ends.drop("reference_count"), self.entries), "anchors")
 
+    @cached_property
     def placed(self) -> DataFrame:
-        return plans.anchor_members(self.anchors(), self.members()).select("file_id", "position").distinct()
+        return materialize(plans.anchor_members(self.anchors, self.members).select("file_id", "position").distinct(), "placed")
 
+    @cached_property
     def block_map(self) -> DataFrame:
-        placed = self.placed()
+        placed = self.placed
         last = placed.groupBy("file_id").agg(F.max("position").alias("data_end"))
-        return plans.block_map(plans.batch_plan(placed, CAP), self.members(), last)
+        return plans.block_map(plans.batch_plan(placed, CAP), self.members, last)
 
 
 def _read(spark: SparkSession, sf_dir: str, source: str = "bam") -> DataFrame:
@@ -173,24 +181,24 @@ def _span_status(s, d):
 
 def _span_windows(s, d):
     files = _Files(s, d)
-    return plans.span_windows(plans.span_bounds(files.anchors()), files.entries())
+    return plans.span_windows(plans.span_bounds(files.anchors), files.entries)
 
 
 def _span_checks(s, d):
     """Per file: its spans, and those that are empty or leave a gap."""
-    spans = plans.span_bounds(_Files(s, d).anchors())
+    spans = plans.span_bounds(_Files(s, d).anchors)
     bad = plans.check_spans(spans).groupBy("file_id").agg(F.count("*").alias("bad"))
     return spans.groupBy("file_id").agg(F.count("*").alias("spans")).join(bad, "file_id", "left").select("file_id", "spans", F.coalesce("bad", F.lit(0).cast("long")).alias("bad"))
 
 
 def _anchor_member_join(s, d):
     files = _Files(s, d)
-    return plans.anchor_members(files.anchors(), files.members())
+    return plans.anchor_members(files.anchors, files.members)
 
 
 def _translate(s, d):
     files = _Files(s, d)
-    return plans.translate(files.anchors(), files.block_map())
+    return plans.translate(files.anchors, files.block_map)
 
 
 def _prefix(s, d):
@@ -224,19 +232,19 @@ def _record_framing(s, d):
 
 
 def _bam_header(s, d):
-    return _Files(s, d).ends()
+    return _Files(s, d).ends
 
 
 def _bai_linear_index(s, d):
     """Every entry of every index, with the member and the place in it."""
-    return _Files(s, d).entries()
+    return _Files(s, d).entries
 
 
 def _physical_endpoints(s, d):
     """Per file: its end, its index entries, and those that do not lie between its first record and its end."""
     files = _Files(s, d)
     inside = (F.col("packed") >= F.col("first_record")) & (F.col("packed") < F.col("data_end"))
-    return files.entries().join(files.ends(), "file_id").groupBy("file_id", "data_end").agg(F.count("*").alias("entries"), F.count_if(~inside).alias("outside"))
+    return files.entries.join(files.ends, "file_id").groupBy("file_id", "data_end").agg(F.count("*").alias("entries"), F.count_if(~inside).alias("outside"))
 
 
 def _bgzf_members(s, d):
@@ -289,13 +297,13 @@ QUERIES = {
     "capacity_classes": _capacity_classes,
     "timestamp_delta": _timestamp_delta,
     "span_status": _span_status,
-    "anchors": lambda s, d: _Files(s, d).anchors(),
-    "span_bounds": lambda s, d: plans.span_bounds(_Files(s, d).anchors()),
+    "anchors": lambda s, d: _Files(s, d).anchors,
+    "span_bounds": lambda s, d: plans.span_bounds(_Files(s, d).anchors),
     "span_checks": _span_checks,
     "span_windows": _span_windows,
     "anchor_member_join": _anchor_member_join,
-    "batch_plan": lambda s, d: plans.batch_plan(_Files(s, d).placed(), CAP),
-    "block_map": lambda s, d: _Files(s, d).block_map(),
+    "batch_plan": lambda s, d: plans.batch_plan(_Files(s, d).placed, CAP),
+    "block_map": lambda s, d: _Files(s, d).block_map,
     "translate_offsets": _translate,
     "bgzf_prefix": _prefix,
     "vector_add": _vector_add,
