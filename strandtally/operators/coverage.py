@@ -74,12 +74,12 @@ def check_coverage(covered: DataFrame) -> None:
 
 
 def throughput(logical_bytes: Column, seconds: Column) -> Column:
-    """GB a second."""
-    return F.when(seconds > 0, logical_bytes / (seconds * 1e9))
+    """GB a second; null for no time."""
+    return F.try_divide(logical_bytes, seconds * 1e9)
 
 
 def campaign(runs: DataFrame) -> DataFrame:
     """Median, least and most seconds of repeated runs (name, seconds, logical_bytes), GB a second, and time against the fastest name."""
     by_name = runs.groupBy("name").agg(F.count("*").alias("runs"), F.median("seconds").alias("median_s"), F.min("seconds").alias("min_s"), F.max("seconds").alias("max_s"), F.max("logical_bytes").alias("logical_bytes"))
     best = Window.partitionBy(F.lit(0))  # a row a name
-    return by_name.select("name", "runs", "median_s", "min_s", "max_s", throughput(F.col("logical_bytes"), F.col("median_s")).alias("gb_per_s"), (F.col("median_s") / F.min("median_s").over(best)).alias("ratio"))
+    return by_name.select("name", "runs", "median_s", "min_s", "max_s", throughput(F.col("logical_bytes"), F.col("median_s")).alias("gb_per_s"), F.try_divide("median_s", F.min("median_s").over(best)).alias("ratio"))
