@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SCAN_BYTES = 1 << 19
+SPACE = 32
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -57,10 +58,10 @@ _BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659
 
 
 def byte_map(separators: bytes) -> np.ndarray:
-    """Byte to byte: A-Z lower-cased, separators to 0, all others themselves."""
+    """Byte to byte: A-Z lower-cased, separators (of which the space is one) to the space, all others themselves."""
     out = np.arange(256, dtype=np.uint8)
     out[65:91] += 32
-    out[np.frombuffer(separators, np.uint8)] = 0
+    out[np.frombuffer(separators, np.uint8)] = SPACE
     return out
 
 
@@ -120,7 +121,7 @@ def scan(column: pa.Array, table: np.ndarray) -> Iterator[Words]:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SCAN_BYTES, side="right")) - 1)
         bounds = offsets[at : to + 1] - offsets[at]
         data = table[raw[offsets[at] : offsets[to]]]
-        inside = data != 0
+        inside = data != SPACE
         cut = np.zeros(len(data) + 1, dtype=bool)
         cut[bounds] = True
         before, after = np.ones(len(data), dtype=bool), np.ones(len(data), dtype=bool)
