@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandtally.llm import backoff_lm, decontam, language_id, line_dedup, line_frequency, packing, simhash, token_align, token_files, url_filter, warc
+from strandtally.llm import backoff_lm, collocations, decontam, language_id, line_dedup, line_frequency, packing, simhash, token_align, token_files, url_filter, warc
 
 QUERIES = {
     "op1_warc_chunks": warc.op1_warc_chunks,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_winnowing": decontam.op9_winnowing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op12_token_align": token_align.op12_token_align,
+    "op13_collocations": collocations.op13_collocations,
 }
 SQL = {
     "op1_warc_chunks": warc.SQL,
@@ -23,4 +24,5 @@ SQL = {
     "op5_url_globs": url_filter.SQL,
     "op9_winnowing": decontam.SQL,
     "op10_line_dedup": line_dedup.SQL,
+    "op13_collocations": collocations.SQL,
 }

@@ -93,6 +93,7 @@ class Words:
     end: np.ndarray
     text: np.ndarray  #: index of each word's text, from 0
     bounds: np.ndarray  #: word range of each text, n_texts + 1 values
+    raw: np.ndarray  #: the bytes as they are in the column
     _hash: np.ndarray | None = None
 
     @property
@@ -132,5 +133,5 @@ def scan(column: pa.Array, table: np.ndarray) -> Iterator[Words]:
         end = np.flatnonzero(inside & (after | cut[1:])) + 1
         ranges = np.searchsorted(start, bounds)
         text = np.repeat(np.arange(to - at), np.diff(ranges))
-        yield Words(at, to - at, data, start, end, text, ranges)
+        yield Words(at, to - at, data, start, end, text, ranges, raw[offsets[at] : offsets[to]])
         at = to
