@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandtally.llm.bitmaps import FILTER_BITS, Bitmap, bitmap_of
 from strandtally.llm.textscan import byte_map, give_back, mix, scan, take_turn
 from strandtally.shared import materialize
 
@@ -38,7 +39,6 @@ CONTAINED = 80  #: per cent of a phrase's occurrences that a longer one has if i
 BURST, LIMIT = 4096, 600_000
 #: Phrases that are put into a trie together, and words that a task numbers before it begins anew.
 PENDING, VOCABULARY = 1 << 19, 400_000
-FILTER_BITS = (20, 28)
 SALTS = 16
 _ID = 21  #: bits of a word's id
 _LOW = (1 << _ID) - 1
@@ -160,21 +160,9 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(mix(a) + b)
 
 
-class Bitmap:
-    """Which hashes may be frequent; sent to workers."""
-
-    def __init__(self, data, bits: int):
-        self.data, self.bits = data, bits
-
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        cell = (h & np.uint64((1 << self.bits) - 1)).astype(np.int64)
-        return np.frombuffer(self.data.value, np.uint8)[cell >> 3] >> (cell & 7).astype(np.uint8) & 1 == 1
-
-
 def bitmap(table: DataFrame, words: int) -> Bitmap:
     """The bitmap of all (lang, phrase) of so many words in a table."""
     rows = table.where(F.col("words") == words).select("lang", "phrase")
-    bits = min(FILTER_BITS[1], max(FILTER_BITS[0], (16 * rows.count()).bit_length()))
 
     def run(batches):
         for batch in batches:
@@ -183,12 +171,9 @@ def bitmap(table: DataFrame, words: int) -> Bitmap:
                 for found in scan(phrases.filter(pc.equal(langs, lang)), _JOINED):
                     h = found.hash ^ _seed(lang)
                     h = h if words == 1 else pair_hash(h[::2], h[1::2])
-                    yield pa.RecordBatch.from_arrays([pa.array((h & np.uint64((1 << bits) - 1)).astype(np.int64))], ["cell"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
-    cells = rows.mapInArrow(run, "cell long").groupBy(F.expr("shiftright(cell, 6)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(cell & 63 AS INT))")).alias("bits")).toArrow()
-    out = np.zeros((1 << bits) // 64, np.int64)
-    out[cells["word"].to_numpy()] = cells["bits"].to_numpy()
-    return Bitmap(table.sparkSession.sparkContext.broadcast(out.tobytes()), bits)
+    return bitmap_of(rows.mapInArrow(run, "h long"), rows.count(), FILTER_BITS)
 
 
 def _spelt(found, used: np.ndarray) -> pa.DictionaryArray:

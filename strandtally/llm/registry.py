@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandtally.llm import backoff_lm, collocations, decontam, language_id, line_dedup, line_frequency, packing, simhash, token_align, token_files, url_filter, warc
+from strandtally.llm import backoff_lm, collocations, decontam, language_id, line_dedup, line_frequency, packing, secret_scan, simhash, token_align, token_files, url_filter, warc
 
 QUERIES = {
     "op1_warc_chunks": warc.op1_warc_chunks,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_winnowing": decontam.op9_winnowing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_secret_scan": secret_scan.op11_secret_scan,
     "op12_token_align": token_align.op12_token_align,
     "op13_collocations": collocations.op13_collocations,
 }
