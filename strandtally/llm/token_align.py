@@ -353,7 +353,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, doc_col: str = "doc_id", te
     counts = materialize(pair_counts(postings).select("a", "b", "documents"), "align-counts")
     top = counts.groupBy("a").agg(F.max("documents").alias("top"))
     scored = counts.join(top, "a").select("a", "b", "documents", (F.col("documents") == F.col("top")).alias("best"))
-    met = postings.select("block", "a", "b", "docs", "bits", "planes").join(scored, ["a", "b"]).drop("a", "b")
+    # the scores grow with the corpus, so they are never broadcast
+    met = postings.select("block", "a", "b", "docs", "bits", "planes").join(scored.hint("merge"), ["a", "b"]).drop("a", "b")
     given = met.repartition("block").sortWithinPartitions("block").mapInArrow(_return_scores, "block long, slot long, n_best long, count_sum long")
     own = scanned.where("a is null").select(*_DOC)
     zero = F.lit(0).cast("long")
