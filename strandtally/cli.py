@@ -8,10 +8,11 @@ import time
 
 from pyspark.sql import SparkSession
 
-from strandtally.files import list_files
-from strandtally.operators.coverage import check_coverage, file_coverage
+from strandtally.operators.coverage import check_coverage, metrics_coverage, stage_times
 from strandtally.operators.flagstat import ENGINES, check_engines, flagstat, report_text
+from strandtally.shared import new_path
 from strandtally.sources import datasource
+from strandtally.sources.datasource import scan_metrics
 
 PROGRAM = "strandtally"
 
@@ -50,8 +51,10 @@ def parser() -> argparse.ArgumentParser:
 
 def run(args: argparse.Namespace, spark: SparkSession) -> str:
     datasource.register(spark)
-    read = spark.read.format("bam").option("maxUncompressedBytes", args.max_uncompressed_bytes)
-    records = (read.option("bai", args.bai) if args.bai else read).load(args.input)
+    options = {"maxUncompressedBytes": args.max_uncompressed_bytes} | ({"bai": args.bai} if args.bai else {})
+    folder = new_path(spark, "metrics") if args.benchmark else None
+    load = lambda **more: spark.read.format("bam").options(**options, **more).load(args.input)
+    records = load(metrics=folder) if folder else load()
     took: dict[str, float] = {}
 
     def timed(stage: str, work):
@@ -61,19 +64,23 @@ def run(args: argparse.Namespace, spark: SparkSession) -> str:
         return out
 
     if args.validate:
-        timed("validation", lambda: check_engines(records))
+        timed("validation", lambda: check_engines(load()))
     out = timed("scan and totals", lambda: report_text(flagstat(records, args.engine)))
     if args.benchmark:
-        files = list_files(args.input, ".bam")
-        covered = file_coverage(spark, records, files, {args.input: args.bai} if args.bai else None)
-        rows = timed("coverage", covered.collect)
+        metrics = scan_metrics(spark, folder).cache()
+        covered = metrics_coverage(metrics)
         check_coverage(covered)
+        rows = covered.collect()
         total = lambda name: sum(r[name] for r in rows)
         print(f"master {spark.sparkContext.master}, parallelism {spark.sparkContext.defaultParallelism}, engine {args.engine}", file=sys.stderr)
-        print(f"files {len(rows)}, anchors {total('anchors')}, spans {total('spans')}, members {total('members')}", file=sys.stderr)
-        print(f"records {total('records')}, record bytes {total('record_bytes')}, inflated bytes {total('inflated_bytes')}, compressed bytes {total('compressed_bytes')}", file=sys.stderr)
-        print("seconds: " + ", ".join(f"{k} {v:.3f}" for k, v in took.items()) + "; each reads the input anew, and starts of sessions are in the first", file=sys.stderr)
+        print(f"files {len(rows)}, splits {total('splits')}, index reads {total('index_reads')}, anchors {total('anchors')}, spans {total('spans')}, members {total('members')}", file=sys.stderr)
+        print(f"records {total('records')}, inflated bytes {total('inflated_bytes')}, compressed bytes {total('compressed_bytes')}", file=sys.stderr)
+        print("seconds: " + ", ".join(f"{k} {v:.3f}" for k, v in took.items()) + "; starts of sessions are in the first", file=sys.stderr)
+        by_stage = {r.stage: r for r in stage_times(metrics).collect()}
+        for stage in datasource.STAGES:
+            print(f"stage {stage}: {by_stage[stage].total_s:.3f} s in all splits, {by_stage[stage].longest_s:.3f} s in the longest", file=sys.stderr)
         print(f"throughput {total('inflated_bytes') / max(took['scan and totals'], 1e-9) / 1e9:.3f} GB/s of inflated bytes", file=sys.stderr)
+        metrics.unpersist()
         if args.validate:
             print("validation: all engines agree", file=sys.stderr)
     return out

@@ -73,6 +73,19 @@ def check_coverage(covered: DataFrame) -> None:
         raise ValueError(f"spans do not cover: {', '.join(bad)}")
 
 
+def metrics_coverage(metrics: DataFrame) -> DataFrame:
+    """Per file, from a scan's own metrics: records, spans, anchors, members, bytes, and whether the spans cover it."""
+    sums = [F.sum(c).alias(c) for c in ("records", "spans", "members", "compressed_bytes", "inflated_bytes", "index_reads")]
+    found = metrics.groupBy(F.col("path").alias("file_id")).agg(F.count("*").alias("splits"), F.max("anchors").alias("anchors"), *sums)
+    return found.withColumn("complete", F.col("spans") + 1 == F.col("anchors"))
+
+
+def stage_times(metrics: DataFrame) -> DataFrame:
+    """(stage, total_s, longest_s, splits): what the stages of a scan took over all its splits."""
+    stages = F.array(*[F.struct(F.lit(s).alias("stage"), F.col(f"{s}_s").alias("s")) for s in datasource.STAGES])
+    return metrics.select(F.explode(stages).alias("t")).groupBy("t.stage").agg(F.sum("t.s").alias("total_s"), F.max("t.s").alias("longest_s"), F.count("*").alias("splits"))
+
+
 def throughput(logical_bytes: Column, seconds: Column) -> Column:
     """GB a second; null for no time."""
     return F.try_divide(logical_bytes, seconds * 1e9)

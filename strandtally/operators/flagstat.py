@@ -5,6 +5,7 @@ Records have integer columns flag, mapq, ref_id and next_ref_id.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
@@ -27,9 +28,9 @@ def _sums(weight: str | None = None) -> list[Column]:
     ]
 
 
-def counters(records: DataFrame, *keys: str | Column) -> DataFrame:
-    """The 32 totals, of all records or for each combination of keys, in one pass."""
-    return records.groupBy(*keys).agg(*_sums())
+def counters(records: DataFrame, *keys: str | Column, also: Sequence[Column] = ()) -> DataFrame:
+    """The 32 totals, and other aggregates, of all records or for each combination of keys, in one pass."""
+    return records.groupBy(*keys).agg(*_sums(), *also)
 
 
 def merge(partials: DataFrame, *keys: str) -> DataFrame:

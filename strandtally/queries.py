@@ -11,18 +11,21 @@ from __future__ import annotations
 import json
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandtally.files import create, open_file
 from strandtally.functions import codecs
 from strandtally.functions.flags import COUNTERS, FAILED, NAMES, PASSED
+from strandtally.operators import batches
 from strandtally.operators import coverage as cover
 from strandtally.operators import flagstat as ops
 from strandtally.plans import spans as plans
 from strandtally.shared import materialize, new_path
 from strandtally.sources import datasource
 from strandtally.sources.bam import write_bam
-from strandtally.streaming.flagstat import stream_totals
+from strandtally.streaming.flagstat import drain, drained, stream_totals
 
 REFERENCES = 25
 _FIELDS = {
@@ -46,6 +49,10 @@ z AS (SELECT file_id, 65536::BIGINT AS first_record, (1 + n) << 16 AS data_end F
 n AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY packed) - 1 AS anchor_id, packed FROM (SELECT e.file_id, packed FROM e JOIN z USING (file_id) WHERE packed > first_record AND packed < data_end UNION SELECT file_id, first_record FROM z UNION SELECT file_id, data_end FROM z))"""
 CAP = 20_000
 PREFIX = 40_000
+#: References and positions of the region query.
+REGION = (3, 7, 20), (100_000_000, 250_000_000)
+#: Some windows have records whose sizes are too small, too large, or off by one.
+_FALSE_SIZE = "CASE (pos // 16384) % 97 WHEN 3 THEN 7 WHEN 5 THEN 1048576 WHEN 11 THEN 32 ELSE 33 END"
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,10 +62,10 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 class _Files:
     """Derived records as a folder of files, and what they hold, with references for files and numbers for members."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, records: DataFrame | None = None, by_reference: bool = True):
         datasource.register(spark)
         self.spark = spark
-        self.manifest = write_bam(alignments(spark, sf_dir), new_path(spark, "bam"), REFERENCES, MEMBER_BYTES, by_reference=True)
+        self.manifest = write_bam(alignments(spark, sf_dir) if records is None else records, new_path(spark, "bam"), REFERENCES, MEMBER_BYTES, by_reference)
         self.paths = [r.path for r in self.manifest.select("path").collect()]
 
     def read(self, source: str = "bam", **options) -> DataFrame:
@@ -266,6 +273,99 @@ def _scan_coverage(s, d):
     return covered.join(written, "file_id")
 
 
+def _region(s, d):
+    """Records of one reference between two positions, of files that hold several references; the index chooses what is read."""
+    rows = _Files(s, d, by_reference=False).read().where(F.col("ref_id").isin(*REGION[0]) & F.col("pos").between(*REGION[1]))
+    return rows.select("ref_id", "pos", "flag", "mapq", "next_ref_id")
+
+
+def _file_spans(s, d):
+    """The totals of every span of every file."""
+    files = _Files(s, d)
+    return files.by_ref(batches.by_span(files.read()))
+
+
+def _file_batches(s, d):
+    """The totals of batches of consecutive spans of at most CAP bytes."""
+    files = _Files(s, d)
+    return files.by_ref(batches.by_batch(files.read(), CAP))
+
+
+def _field_decode_from_bam(s, d):
+    """Fields decoded by column expressions from the bytes of the records of files."""
+    raw = F.col("record")
+    return _Files(s, d).read(record="true").select(codecs.le_int(raw, 4, 4).cast("int").alias("ref_id"), codecs.le_int(raw, 8, 4).cast("int").alias("pos"), codecs.le_uint(raw, 13, 1).cast("int").alias("mapq"), codecs.le_uint(raw, 18, 2).cast("int").alias("flag"), codecs.le_int(raw, 24, 4).cast("int").alias("next_ref_id"))
+
+
+def _span_status_from_bam(s, d):
+    """Files some of whose windows have records of false sizes: the first broken span of each, and the totals of its good ones."""
+    rows = alignments(s, d).withColumn("block_size", F.expr(_FALSE_SIZE.replace("//", "div")).cast("int"))
+    files = _Files(s, d, rows)
+    read = files.read(mode="permissive")
+    good = ops.counters(read.where("status = 0"), F.col("path").alias("file_id")).select("file_id", "n_reads_pass", "n_reads_fail", "n_dup_pass", "n_diffchr_pass")
+    return files.by_ref(good.join(batches.first_broken(read), "file_id", "left"))
+
+
+def damaged(spark: SparkSession, places: DataFrame) -> DataFrame:
+    """Copies of files and their indexes with bytes inverted: (path, at) become (file_id, path) of the copies."""
+    folder = new_path(spark, "damaged")
+
+    def run(rows):
+        made = []
+        for batch in rows:
+            for path, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                copy = f"{folder}/{path.rsplit('/', 1)[1]}"
+                for source, target, spots in ((path, copy, sorted(places)), (path + ".bai", copy + ".bai", [])):
+                    with open_file(source) as old, create(target) as new:
+                        at = 0
+                        while part := bytearray(old.read(1 << 20)):
+                            for spot in spots:
+                                if at <= spot < at + len(part):
+                                    part[spot - at] ^= 255
+                            new.write(bytes(part))
+                            at += len(part)
+                made.append((path, copy))
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*made, strict=True)], ["file_id", "path"])
+
+    return materialize(places.groupBy("path").agg(F.collect_list("at").alias("places")).mapInArrow(run, "file_id string, path string"), "damaged")
+
+
+def _integrity_scan(s, d):
+    """One member of each file is damaged in its frame, its checksum or its stated size: which, how, and where the scan goes on."""
+    files = _Files(s, d)
+    members = files.by_ref(files.numbers.withColumn("ref", F.col("file_id")), "ref").where("member > 0 AND NOT is_eof")
+    # the members of a file are few: their number decides which one it is
+    chosen = members.join(members.groupBy("file_id").agg(F.count("*").alias("n")), "file_id").where("member = 1 + (ref * 7) % n")
+    spot = F.expr("CASE ref % 3 WHEN 0 THEN compressed_offset WHEN 1 THEN compressed_offset + compressed_len - 8 ELSE compressed_offset + compressed_len - 1 END")
+    copies = damaged(s, chosen.select(F.col("file_id").alias("path"), spot.alias("at")))
+    found = s.read.format("bgzf").option("mode", "integrity").option("paths", json.dumps([r.path for r in copies.select("path").collect()])).load()
+    own = found.join(copies, "path").select("file_id", "compressed_offset", "resumes", F.regexp_extract("reason", "no gzip member|incorrect data check|incorrect length check|more than 65536", 0).alias("reason"))
+    places = files.numbers.select("file_id", "compressed_offset", "member")
+    named = own.join(places, ["file_id", "compressed_offset"]).join(places.withColumnsRenamed({"compressed_offset": "resumes", "member": "resumes_at"}), ["file_id", "resumes"], "left")
+    return files.by_ref(named.select("file_id", "member", "reason", "resumes_at"))
+
+
+def _scan_metrics(s, d):
+    """Per file: what the tasks of a scan say that they read."""
+    files = _Files(s, d)
+    folder = new_path(s, "metrics")
+    files.read(metrics=folder).agg(F.count("*")).collect()
+    covered = files.by_ref(cover.metrics_coverage(datasource.scan_metrics(s, folder)))
+    return covered.select("file_id", "records", "spans", "anchors", "inflated_bytes", "complete")
+
+
+def _file_stream(s, d):
+    """The totals of a stream over a folder that grows between its runs."""
+    datasource.register(s)
+    folder, log, kept, state = (new_path(s, x) for x in ("growing", "growing-log", "growing-totals", "growing-state"))
+    for part in ("ref_id < 12", "ref_id >= 12"):
+        write_bam(alignments(s, d).where(part), folder, REFERENCES, MEMBER_BYTES)
+        stream = s.readStream.format("bam").options(streaming="files", fileLog=log, maxSplitsPerTrigger=20).load(folder)
+        drain(stream, kept, state)
+    return drained(s, kept)
+
+
 def _flagstat_stream(s, d):
     return stream_totals(_Files(s, d).stream())
 
@@ -318,10 +418,24 @@ QUERIES = {
     "bgzf_members": _bgzf_members,
     "bgzf_inflate_stats": _bgzf_inflate_stats,
     "scan_coverage": _scan_coverage,
+    "region_scan": _region,
+    "flagstat_by_file_span": _file_spans,
+    "flagstat_by_file_batch": _file_batches,
+    "field_decode_from_bam": _field_decode_from_bam,
+    "span_status_from_bam": _span_status_from_bam,
+    "integrity_scan": _integrity_scan,
+    "scan_metrics": _scan_metrics,
+    "flagstat_file_stream": _file_stream,
     "flagstat_stream": _flagstat_stream,
     "flagstat_lineitem_stream": _lineitem_stream,
 }
 
+_SPANS = f"""sp AS (SELECT ref_id AS file_id, CAST(dense_rank() OVER (PARTITION BY ref_id ORDER BY pos // 16384) - 1 AS BIGINT) AS span_id, a.* EXCLUDE (span_id, batch_id) FROM a),
+sz AS (SELECT file_id, span_id, CAST(count(*) * {RECORD} AS BIGINT) AS bytes FROM sp GROUP BY ALL)"""
+_FILE_BATCHES = f"""cu AS (SELECT *, CAST(sum(bytes) OVER (PARTITION BY file_id ORDER BY span_id) AS BIGINT) AS z FROM sz),
+nx AS (SELECT c.file_id, c.z - c.bytes AS z0, max(x.z) AS z1 FROM cu c JOIN cu x ON x.file_id = c.file_id AND x.z > c.z - c.bytes AND x.z <= c.z - c.bytes + {CAP} GROUP BY ALL),
+ba AS (SELECT file_id, 0::BIGINT AS z0, 0::BIGINT AS batch_id FROM (SELECT DISTINCT file_id FROM cu) UNION ALL SELECT ba.file_id, nx.z1, batch_id + 1 FROM ba JOIN nx USING (file_id, z0) WHERE EXISTS (SELECT 1 FROM nx n2 WHERE n2.file_id = ba.file_id AND n2.z0 = nx.z1)),
+bs AS (SELECT cu.file_id, span_id, bytes, max(batch_id) AS batch_id FROM cu JOIN ba ON ba.file_id = cu.file_id AND ba.z0 <= cu.z - cu.bytes GROUP BY ALL)"""
 _PLACED = "q AS (SELECT DISTINCT n.file_id, p.position + (packed & 65535) AS position FROM n JOIN p ON n.file_id = p.file_id AND (packed >> 16) = p.compressed_offset AND (packed & 65535) <= p.uncompressed_len)"
 _BATCHES = f"""ends AS (SELECT file_id, min(position) AS a, max(position) AS z FROM q GROUP BY file_id),
 steps AS (SELECT file_id, position, max(position) OVER (PARTITION BY file_id ORDER BY position RANGE BETWEEN CURRENT ROW AND {CAP} FOLLOWING) AS next FROM q),
@@ -331,7 +445,7 @@ mp AS (SELECT p.file_id, batch_start, compressed_offset, CAST(greatest(0, batch_
 _CLASS = "CASE WHEN l_partkey - 5 <= 0 OR l_partkey - 5 > 1500 THEN NULL ELSE least(1500, CAST(pow(2, ceil(log2(l_partkey - 5))) AS BIGINT)) END"
 
 SQL = {
-    **{k: _TOTALS for k in ("flagstat_counters", "flagstat_merge", "flagstat_preagg", "flagstat_arrow", "flagstat_from_bam", "flagstat_stream", "flagstat_lineitem_stream")},
+    **{k: _TOTALS for k in ("flagstat_counters", "flagstat_merge", "flagstat_preagg", "flagstat_arrow", "flagstat_from_bam", "flagstat_stream", "flagstat_lineitem_stream", "flagstat_file_stream")},
     "flagstat_report": _report_sql(),
     "flagstat_report_from_bam": _report_sql(),
     "flagstat_by_qc": f"WITH {_A}, t AS ({_totals_sql()}) " + " UNION ALL ".join(f"SELECT '{q}' AS category, " + ", ".join(f"{n}_{q} AS {n}" for n in NAMES) + " FROM t" for q in ("pass", "fail")),
@@ -362,6 +476,19 @@ SQL = {
     "vector_add": "SELECT l_orderkey, l_partkey, CAST(l_orderkey % 1000 AS FLOAT) + CAST((l_partkey // 10) % 1000 AS FLOAT) AS total FROM lineitem",
     "field_decode": f"WITH {_A} SELECT ref_id, mapq, flag, next_ref_id FROM a",
     "alignments_scan": f"WITH {_A} SELECT flag, mapq, ref_id, next_ref_id FROM a",
+    "region_scan": f"WITH {_A} SELECT ref_id, pos, flag, mapq, next_ref_id FROM a WHERE ref_id IN {REGION[0]} AND pos BETWEEN {REGION[1][0]} AND {REGION[1][1]}",
+    "flagstat_by_file_span": f"WITH {_A}, {_SPANS}, t AS ({_totals_sql('sp', 'file_id, span_id')}) SELECT t.*, bytes FROM t JOIN sz USING (file_id, span_id)",
+    "flagstat_by_file_batch": f"WITH RECURSIVE {_A}, {_SPANS}, {_FILE_BATCHES}, rb AS (SELECT sp.*, batch_id FROM sp JOIN bs USING (file_id, span_id)), t AS ({_totals_sql('rb', 'file_id, batch_id')}), n AS (SELECT file_id, batch_id, count(*) AS spans, CAST(sum(bytes) AS BIGINT) AS bytes FROM bs GROUP BY ALL) SELECT t.*, spans, bytes FROM t JOIN n USING (file_id, batch_id)",
+    "field_decode_from_bam": f"WITH {_A} SELECT ref_id, pos, mapq, flag, next_ref_id FROM a",
+    "span_status_from_bam": f"""WITH {_A}, {_SPANS}, st AS (SELECT file_id, span_id, CASE any_value(pos // 16384) % 97 WHEN 3 THEN 2 WHEN 5 THEN 3 WHEN 11 THEN CASE WHEN count(*) = 1 THEN 1 ELSE 3 END ELSE 0 END AS status FROM sp GROUP BY ALL),
+t AS ({_totals_sql('(SELECT sp.* FROM sp JOIN st USING (file_id, span_id) WHERE status = 0) AS g', 'file_id')}),
+b AS (SELECT file_id, count(*) AS broken, min(span_id) AS span_id, CAST(min_by(status, span_id) AS INT) AS status FROM st WHERE status <> 0 GROUP BY file_id)
+SELECT t.file_id, n_reads_pass, n_reads_fail, n_dup_pass, n_diffchr_pass, broken, span_id, status, CASE status """
+    + " ".join(f"WHEN {k} THEN '{v}'" for k, v in codecs.STATUS.items())
+    + " END AS description FROM t LEFT JOIN b USING (file_id)",
+    "integrity_scan": f"""WITH {_MEMBERS}, m AS (SELECT file_id, 1 + (file_id * 7) % n AS member, n FROM c), x AS (SELECT DISTINCT file_id, packed >> 16 AS place FROM e)
+SELECT m.file_id, CAST(member AS BIGINT) AS member, ['no gzip member', 'incorrect data check', 'more than 65536'][1 + m.file_id % 3] AS reason, CAST(CASE WHEN m.file_id % 3 = 0 THEN (SELECT min(place) FROM x WHERE x.file_id = m.file_id AND place > member) ELSE member + 1 END AS BIGINT) AS resumes_at FROM m""",
+    "scan_metrics": f"WITH {_MEMBERS}, s AS (SELECT file_id, count(*) AS spans FROM e GROUP BY file_id) SELECT file_id, bytes // {RECORD} AS records, spans, spans + 1 AS anchors, bytes AS inflated_bytes, TRUE AS complete FROM c JOIN s USING (file_id)",
     "record_framing": f"WITH {_MEMBERS}, s AS (SELECT file_id, count(*) AS spans FROM e GROUP BY file_id) SELECT file_id, bytes // {RECORD} AS records, bytes, spans, 0::BIGINT AS gaps FROM c JOIN s USING (file_id)",
     "bam_header": f"WITH {_MEMBERS} SELECT file_id, {REFERENCES} AS reference_count, first_record, data_end FROM z",
     "bai_linear_index": f"WITH {_MEMBERS} SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY window_start) - 1 AS ordinal, packed, ref_id, window_start FROM e",

@@ -179,13 +179,13 @@ def record_offsets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
 
 
 def decode(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """The five fields of the records at these offsets."""
+    """The fields of the records at these offsets."""
 
     def little(at: int, size: int) -> np.ndarray:
         return sum(data[offsets + at + i].astype(np.int64) << 8 * i for i in range(size))
 
     signed = lambda x: np.where(x >= 1 << 31, x - (1 << 32), x)
-    return {"block_size": little(0, 4), "ref_id": signed(little(4, 4)), "mapq": little(13, 1), "flag": little(18, 2), "next_ref_id": signed(little(24, 4))}
+    return {"block_size": little(0, 4), "ref_id": signed(little(4, 4)), "pos": signed(little(8, 4)), "mapq": little(13, 1), "flag": little(18, 2), "next_ref_id": signed(little(24, 4))}
 
 
 class _Windows:
@@ -221,8 +221,8 @@ class _Windows:
 class BamWriter:
     """Writes one file member by member, as records come; holds one member and the index."""
 
-    def __init__(self, path: str, references: int, member_bytes: int):
-        self.path, self.references, self.member_bytes = path, references, member_bytes
+    def __init__(self, path: str, references: int, member_bytes: int, record: np.dtype = _RECORD):
+        self.path, self.references, self.member_bytes, self.size = path, references, member_bytes, record.itemsize
         self.out, self.at, self.buffer, self.windows = create(path), 0, bytearray(), _Windows()
         self.records = self.bytes = 0
         head = b"BAM\1" + struct.pack("<ii", 0, references)
@@ -236,13 +236,13 @@ class BamWriter:
         self.at += len(raw)
 
     def add(self, rows: np.ndarray) -> None:
-        """Records in order, as an array of _RECORD."""
+        """Records in order, as an array of the writer's record type."""
         done = 0
         while done < len(rows):
             # the records that begin in the member at hand
-            room = -(-(self.member_bytes - len(self.buffer)) // _RECORD.itemsize)
+            room = -(-(self.member_bytes - len(self.buffer)) // self.size)
             part = rows[done : done + room]
-            begins = np.uint64(self.at << 16) | (len(self.buffer) + np.arange(len(part)) * _RECORD.itemsize).astype(np.uint64)
+            begins = np.uint64(self.at << 16) | (len(self.buffer) + np.arange(len(part)) * self.size).astype(np.uint64)
             self.windows.add(part["ref_id"], part["pos"], begins)
             self.buffer += part.tobytes()
             done += len(part)
@@ -262,21 +262,27 @@ class BamWriter:
         return self.path, self.records, self.bytes
 
 
-def write_bam(records: DataFrame, folder: str, references: int, member_bytes: int = MAX_MEMBER, by_reference: bool = False) -> DataFrame:
+def write_bam(records: DataFrame, folder: str, references: int, member_bytes: int = MAX_MEMBER, by_reference: bool = False, payload: int = 0) -> DataFrame:
     """Write records (flag, mapq, ref_id, next_ref_id, pos) as a folder of indexed files, one for each range of positions.
 
     Gives (path, records, bytes) of each file. With ``by_reference`` there is one file for each reference instead, named
-    ``ref-<id>-...``. A task that runs again writes another file; readers take the paths from here.
+    ``ref-<id>-...``, which one task writes: for few records. A task that runs again writes another file; readers take the paths from here.
+    Each record has ``payload`` bytes of symbols more. A column ``block_size`` takes the place of the true size in what is
+    written, for files that are broken on purpose.
     """
-    if not _RECORD.itemsize <= member_bytes <= MAX_MEMBER:
-        raise ValueError(f"member_bytes must be between {_RECORD.itemsize} and {MAX_MEMBER}")
+    record = np.dtype([*_RECORD.descr, ("payload", "u1", (payload,))]) if payload else _RECORD
+    if not record.itemsize <= member_bytes <= MAX_MEMBER:
+        raise ValueError(f"member_bytes must be between {record.itemsize} and {MAX_MEMBER}")
+    given = "block_size" in records.columns
 
     def run(batches):
-        writer, ref, made = None, None, []
+        writer, ref, made, symbols = None, None, [], np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
             columns = {n: c.to_numpy(zero_copy_only=False) for n, c in zip(batch.schema.names, batch.columns, strict=True)}
-            rows = np.zeros(batch.num_rows, _RECORD)
-            rows["block_size"], rows["name_len"] = _RECORD.itemsize - 4, 1
+            rows = np.zeros(batch.num_rows, record)
+            rows["block_size"], rows["name_len"] = columns["block_size"] if given else record.itemsize - 4, 1
+            if payload:
+                rows["payload"] = symbols.integers(0, 16, (len(rows), payload), np.uint8)
             for n in ("flag", "mapq", "ref_id", "next_ref_id", "pos"):
                 rows[n] = columns[n]
             cuts = [0, *(np.flatnonzero(rows["ref_id"][1:] != rows["ref_id"][:-1]) + 1).tolist(), len(rows)] if by_reference else [0, len(rows)]
@@ -286,14 +292,14 @@ def write_bam(records: DataFrame, folder: str, references: int, member_bytes: in
                         made.append(writer.close())
                     ref = int(rows["ref_id"][a])
                     name = f"ref-{ref}" if by_reference else f"{TaskContext.get().partitionId():06d}"
-                    writer = BamWriter(f"{folder}/{name}-{uuid.uuid4().hex}.bam", references, member_bytes)
+                    writer = BamWriter(f"{folder}/{name}-{uuid.uuid4().hex}.bam", references, member_bytes, record)
                 if b > a:
                     writer.add(rows[a:b])
         if writer:
             made.append(writer.close())
             yield pa.RecordBatch.from_pydict(dict(zip(("path", "records", "bytes"), map(list, zip(*made, strict=True)), strict=True)))
 
-    columns = records.select("flag", "mapq", "ref_id", "next_ref_id", "pos")
+    columns = records.select("flag", "mapq", "ref_id", "next_ref_id", "pos", *(["block_size"] if given else []))
     dealt = columns.repartition("ref_id") if by_reference else columns.repartitionByRange("ref_id", "pos")
     # records without a place come last, as in any sorted file
     ordered = dealt.sortWithinPartitions(F.col("ref_id") < 0, "ref_id", "pos", "flag", "mapq", "next_ref_id")

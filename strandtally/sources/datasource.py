@@ -3,31 +3,47 @@
 ``spark.read.format("bam").load(path)`` takes a file or a folder of files, each with its index
 beside it (``.bam.bai``); the option ``paths``, a JSON list, takes several. The index's offsets are where records
 begin, so they cut each file into spans. Files are cut into splits of ``maxCompressedBytes`` (default 16 MiB) by
-size alone, so planning opens no file; each task reads its file's header and index and takes the
-spans that begin in its split. Splits cover each record exactly once. A span that inflates to more than
-``maxUncompressedBytes`` (default 256 MiB) is an error, as are records that break their span.
-
-``bgzf`` gives the members of files, in splits too where there is an index. With the option
-``mode=prefix`` it gives those members of each file's front that inflate to at most ``maxUncompressedBytes`` together,
-up to an end marker; a file whose first member is larger, or without members, is an error.
+size alone, so planning opens no file; each task takes the spans that begin in its split. Splits cover each record
+exactly once. A span that inflates to more than ``maxUncompressedBytes`` (default 256 MiB) is an error, as are records that
+break their span. A worker keeps the headers and indexes that it has read, up to ``INDEX_BYTES``.
+
+Comparisons of integer columns with constants are taken over by the source (``register`` turns that on). Those of ``ref_id`` and
+``pos`` choose spans by the index, as its files are sorted by place: only these are inflated, and a task stops where
+its records lie beyond the positions asked for. All other predicates stay with Spark.
+
+Options of ``bam``: ``mode=permissive`` adds a column ``status``, 0 for records; a span whose records break it gives one row with
+the reason's number and nulls instead of its records. ``record=true`` adds a column with each record's bytes.
+``metrics=FOLDER`` writes what each split took, by stage, for ``scan_metrics``.
+
+``bgzf`` gives the members of files, in splits too where there is an index. With ``mode=prefix`` it gives those members of
+each file's front that inflate to at most ``maxUncompressedBytes`` together, up to an end marker; a file whose first
+member is larger, or without members, is an error. With ``mode=integrity`` all members are inflated, and those that fail are given with the
+reason; where members can no longer be told apart, the scan goes on at the next offset of the index.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import time
+from collections import OrderedDict
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import datasource as api
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from strandtally.files import exists, list_files, open_file, size_of
+from strandtally.files import create, exists, list_files, open_file, size_of
+from strandtally.functions.codecs import WINDOW
 from strandtally.sources.bam import decode, read_header, read_index, record_offsets
 from strandtally.sources.bgzf import FormatError, data_end, read_member
 
-ALIGNMENTS = "path string, span_id long, record_offset long, block_size long, ref_id int, mapq int, flag int, next_ref_id int"
+FIELDS = {"block_size": pa.int64(), "ref_id": pa.int32(), "pos": pa.int32(), "mapq": pa.int32(), "flag": pa.int32(), "next_ref_id": pa.int32()}
+ALIGNMENTS = "path string, span_id long, record_offset long, block_size long, ref_id int, pos int, mapq int, flag int, next_ref_id int"
 CHUNK_BYTES = 16 << 20  #: a batch is passed on when its spans reach this size
+INDEX_BYTES = 64 << 20  #: headers and indexes that a worker keeps
 
 
 @dataclass
@@ -39,22 +55,99 @@ class Range(InputPartition):
     anchors: tuple[int, ...]
 
 
+@dataclass
+class Metrics:
+    """What one split took."""
+
+    path: str
+    begin: int
+    index_reads: int = 0
+    anchors: int = 0
+    spans: int = 0
+    records: int = 0
+    members: int = 0
+    compressed_bytes: int = 0
+    inflated_bytes: int = 0
+    index_s: float = 0.0
+    frame_s: float = 0.0
+    inflate_s: float = 0.0
+    walk_s: float = 0.0
+    decode_s: float = 0.0
+
+    def timed(self, stage: str, work, *args):
+        began = time.perf_counter()
+        out = work(*args)
+        setattr(self, f"{stage}_s", getattr(self, f"{stage}_s") + time.perf_counter() - began)
+        return out
+
+    def write(self, folder: str) -> None:
+        """A split that runs again writes the same file."""
+        with create(f"{folder}/{hashlib.sha1(self.path.encode()).hexdigest()}-{self.begin}.json") as out:
+            out.write(json.dumps(vars(self)).encode())
+
+
+STAGES = ("index", "frame", "inflate", "walk", "decode")
+METRICS = "path string, begin long, index_reads long, anchors long, spans long, records long, members long, compressed_bytes long, inflated_bytes long, " + ", ".join(f"{s}_s double" for s in STAGES)
+
+
+def scan_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each split that a scan with ``metrics=folder`` has read."""
+    return spark.read.schema(METRICS).json(folder)
+
+
 def default_index(path: str) -> str:
     return path + ".bai"
 
 
+@dataclass
+class Index:
+    """A file's spans and index entries."""
+
+    anchors: np.ndarray  #: where spans begin, and the end of the data
+    rows: np.ndarray  #: (ordinal, ref_id, window_start, virtual offset)
+
+    @property
+    def nbytes(self) -> int:
+        return self.anchors.nbytes + self.rows.nbytes
+
+
+_kept: OrderedDict[tuple, Index | np.ndarray] = OrderedDict()
+
+
+def _keep(what: str, path: str, index: str, read):
+    """What ``read`` gives for a file and its index, and whether it had to be called; this worker keeps what it used last."""
+    key = what, path, index, size_of(path), size_of(index)
+    fresh = key not in _kept
+    if fresh:
+        _kept[key] = read()
+        while len(_kept) > 1 and sum(x.nbytes for x in _kept.values()) > INDEX_BYTES:
+            _kept.popitem(last=False)
+    _kept.move_to_end(key)
+    return _kept[key], fresh
+
+
+def index_of(path: str, index: str | None = None) -> tuple[Index, bool]:
+    """A file's index, and whether it had to be read."""
+    index = index or default_index(path)
+
+    def read() -> Index:
+        header = read_header(path)
+        references, rows = read_index(index)
+        if references != len(header.references):
+            raise FormatError(f"{path}: the index has {references} references, the file {len(header.references)}")
+        with open_file(path) as file:
+            end = data_end(file) << 16
+        if header.first_record >= end:
+            raise FormatError(f"{path}: there are no records")
+        inner = rows[:, 3]
+        return Index(np.unique(np.concatenate([[header.first_record], inner[(inner > header.first_record) & (inner < end)], [end]])), rows)
+
+    return _keep("spans", path, index, read)
+
+
 def anchors(path: str, index: str | None = None) -> np.ndarray:
     """Where spans begin, and the end of the data: first record, the index's offsets between, end; each once."""
-    header = read_header(path)
-    references, rows = read_index(index or default_index(path))
-    if references != len(header.references):
-        raise FormatError(f"{path}: the index has {references} references, the file {len(header.references)}")
-    with open_file(path) as file:
-        end = data_end(file) << 16
-    if header.first_record >= end:
-        raise FormatError(f"{path}: there are no records")
-    inner = rows[:, 3]
-    return np.unique(np.concatenate([[header.first_record], inner[(inner > header.first_record) & (inner < end)], [end]]))
+    return index_of(path, index)[0].anchors
 
 
 @dataclass
@@ -72,16 +165,117 @@ def splits(path: str, max_compressed: int) -> list[Split]:
     return [Split(path, at, at + step) for at in range(0, max(1, size_of(path)), step)]
 
 
-def spans_of(split: Split, index: str | None = None) -> Range | None:
-    """The spans that begin in a split."""
-    at = anchors(split.path, index)
+class Predicates:
+    """Comparisons of a record's integers with constants, all of which must hold."""
+
+    def __init__(self):
+        self.tests: list[tuple[str, str, object]] = []
+
+    _NAMES = {api.EqualTo: "eq", api.GreaterThan: "gt", api.GreaterThanOrEqual: "ge", api.LessThan: "lt", api.LessThanOrEqual: "le", api.In: "in"}
+
+    def take(self, predicate) -> bool:
+        """Take a predicate over, if it is of this kind."""
+        name = predicate.attribute[0] if len(getattr(predicate, "attribute", ())) == 1 else None
+        if name not in FIELDS:
+            return False
+        if isinstance(predicate, api.IsNotNull):
+            return True
+        op = self._NAMES.get(type(predicate))
+        values = list(predicate.value) if op == "in" else [getattr(predicate, "value", None)]
+        if op is None or not all(isinstance(v, int) and not isinstance(v, bool) for v in values):
+            return False
+        self.tests.append((name, op, values if op == "in" else values[0]))
+        return True
+
+    def mask(self, fields: dict[str, np.ndarray]) -> np.ndarray | None:
+        """Which records pass; None for all."""
+        out = None
+        for name, op, value in self.tests:
+            x = fields[name]
+            one = {"eq": lambda: x == value, "gt": lambda: x > value, "ge": lambda: x >= value, "lt": lambda: x < value, "le": lambda: x <= value, "in": lambda: np.isin(x, value)}[op]()
+            out = one if out is None else out & one
+        return out
+
+    def bounds(self, name: str) -> tuple[float, float]:
+        """Least and greatest value that a column can have."""
+        low, high = float("-inf"), float("inf")
+        for n, op, v in self.tests:
+            if n != name:
+                continue
+            least = {"eq": v, "ge": v, "gt": v + 1}.get(op) if op != "in" else min(v, default=high)
+            most = {"eq": v, "le": v, "lt": v - 1}.get(op) if op != "in" else max(v, default=low)
+            low, high = low if least is None else max(low, least), high if most is None else min(high, most)
+        return low, high
+
+    def offsets(self, index: Index) -> list[tuple[int, int]] | None:
+        """Ranges of virtual offsets that hold all records which can pass; None for the whole file.
+
+        Files are sorted by reference and position, records without a reference last. Records of a reference
+        begin after the last entry of those before it, and those at a position not before the entry of its window.
+        """
+        low, high = self.bounds("ref_id")
+        if low == float("-inf") and high == float("inf"):
+            return None
+        ref, start, packed = index.rows[:, 1], index.rows[:, 2], index.rows[:, 3]
+        end = int(index.anchors[-1])
+        named = [set(v if op == "in" else [v]) for n, op, v in self.tests if n == "ref_id" and op in ("eq", "in")]
+        refs = sorted(set.intersection(*named)) if named else None
+        ranges: list[tuple[int, int]] = []
+
+        def between(a: float, b: float) -> tuple[int, int]:
+            before, after = packed[ref < a], packed[ref > b]
+            return int(before.max()) if len(before) else 0, int(after.min()) if len(after) else end
+
+        for a, b in [(r, r) for r in refs if low <= r <= high] if refs is not None else [(max(low, 0), high)]:
+            if b < max(a, 0):
+                continue
+            begin, stop = between(a, b)
+            least = self.bounds("pos")[0]
+            if a == b and least > 0:
+                own = packed[(ref == a) & (start >= least // WINDOW * WINDOW)]
+                if not len(own):
+                    continue
+                begin = max(begin, int(own.min()))
+            ranges.append((begin, stop))
+        if low <= -1 <= high and (refs is None or -1 in refs):
+            ranges.append((int(packed.max()) if len(packed) else 0, end))
+        return ranges
+
+    def beyond(self, fields: dict[str, np.ndarray]) -> bool:
+        """Whether the first of some records lies after all that can pass, in the order of the file."""
+        ref, (low, high), most = int(fields["ref_id"][0]), self.bounds("ref_id"), self.bounds("pos")[1]
+        if low < 0:
+            return False  # records without a reference come last
+        return ref < 0 or ref > high or (ref == high and int(fields["pos"][0]) > most)
+
+
+def spans_of(split: Split, index: str | None = None, wanted: Predicates | None = None, metrics: Metrics | None = None) -> list[Range]:
+    """The spans that begin in a split and can hold records that are wanted, in runs of consecutive ones."""
+    began = time.perf_counter()
+    found, read = index_of(split.path, index)
+    at = found.anchors
     begins = at[:-1] >> 16
     a, b = np.searchsorted(begins, [split.begin, split.end])
-    return Range(split.path, int(a), tuple(at[a : b + 1].tolist())) if b > a else None
-
-
-def inflate_spans(file, part: Range, max_uncompressed: int):
-    """(number of first span, data, span starts, span ends) of spans that hold CHUNK_BYTES together, or one larger span."""
+    keep = np.zeros(len(at), bool)
+    keep[a:b] = True
+    ranges = wanted.offsets(found) if wanted else None
+    if ranges is not None:
+        near = np.zeros(len(at), bool)
+        for low, high in ranges:
+            near[max(0, np.searchsorted(at, low, side="right") - 1) : np.searchsorted(at, high)] = True
+        keep &= near
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], keep.astype(np.int8), [0]])))
+    if metrics:
+        metrics.index_reads, metrics.anchors = int(read), len(at)
+        metrics.index_s += time.perf_counter() - began
+    return [Range(split.path, int(i), tuple(at[i : j + 1].tolist())) for i, j in zip(edges[::2], edges[1::2], strict=True)]
+
+
+def inflate_spans(file, part: Range, max_uncompressed: int, chunk: int, metrics: Metrics):
+    """(number of first span, data, span starts, span ends) of spans that hold ``chunk`` bytes together, or one larger span.
+
+    The chunk grows to CHUNK_BYTES, from a single span where it is 0.
+    """
     todo, data, starts, first = list(part.anchors), bytearray(), [], part.first
     file.seek(todo[0] >> 16)
     while True:
@@ -90,20 +284,24 @@ def inflate_spans(file, part: Range, max_uncompressed: int):
         while todo and todo[0] >> 16 == at and todo[0] & 65535 == 0:
             starts.append(len(data))
             todo.pop(0)
-        if starts and (not todo or starts[-1] > CHUNK_BYTES):
+        if starts and (not todo or starts[-1] > chunk):
             whole = starts[:-1] if len(starts) > 1 else []
             if whole:
                 yield first, np.frombuffer(bytes(data[: starts[-1]]), np.uint8), np.array(whole), np.array(starts[1:])
                 first += len(whole)
+                chunk = min(CHUNK_BYTES, 4 * max(chunk, 1 << 14))
             data, starts = data[starts[-1] :], [0]
         if not todo:
             return
         if todo[0] >> 16 < at:
             raise FormatError(f"{part.path}: offset {todo[0]} is not at a member's begin")
-        member = read_member(file, part.path)
+        member = metrics.timed("frame", read_member, file, part.path)
         if member is None or member.is_eof:
             raise FormatError(f"{part.path}: the data ends before offset {todo[0]}")
-        raw, base = member.inflate(part.path), len(data)
+        raw, base = metrics.timed("inflate", member.inflate, part.path), len(data)
+        metrics.members += 1
+        metrics.compressed_bytes += len(member.raw)
+        metrics.inflated_bytes += len(raw)
         skip = 0
         if not starts:
             skip = todo[0] & 65535
@@ -119,20 +317,54 @@ def inflate_spans(file, part: Range, max_uncompressed: int):
             raise FormatError(f"{part.path}: a span exceeds the configured {max_uncompressed} bytes")
 
 
-def read_range(part: Range, max_uncompressed: int, strict: bool = True):
+def read_range(part: Range, max_uncompressed: int, wanted: Predicates, metrics: Metrics, permissive: bool = False, whole: bool = False):
+    bounded = wanted.bounds("ref_id")[1] != float("inf")
     with open_file(part.path) as file:
-        for first, data, starts, ends in inflate_spans(file, part, max_uncompressed):
+        for first, data, starts, ends in inflate_spans(file, part, max_uncompressed, 0 if bounded else CHUNK_BYTES, metrics):
             if (ends <= starts).any():
                 raise FormatError(f"{part.path}: span {first + int(np.argmax(ends <= starts))} is empty")
-            offsets, spans, status = record_offsets(data, starts, ends)
+            offsets, spans, status = metrics.timed("walk", record_offsets, data, starts, ends)
+            metrics.spans += len(starts)
             bad = np.flatnonzero(status)
-            if strict and len(bad):
+            if len(bad) and not permissive:
                 what = {1: "has trailing bytes", 2: "has a record that is too short", 3: "has a record that extends past it"}[int(status[bad[0]])]
                 raise FormatError(f"{part.path}: span {first + int(bad[0])} {what}")
-            fields = decode(data, offsets)
-            columns = [pa.array([part.path] * len(offsets), pa.string()), pa.array(first + spans), pa.array(offsets - starts[spans]), pa.array(fields["block_size"])]
-            columns += [pa.array(fields[n].astype(np.int32)) for n in ("ref_id", "mapq", "flag", "next_ref_id")]
-            yield pa.RecordBatch.from_arrays(columns, ["path", "span_id", "record_offset", "block_size", "ref_id", "mapq", "flag", "next_ref_id"])
+            if len(bad):
+                good = status[spans] == 0
+                offsets, spans = offsets[good], spans[good]
+            fields = metrics.timed("decode", decode, data, offsets)
+            metrics.records += len(offsets)
+            last = bounded and len(offsets) > 0 and wanted.beyond(fields)
+            keep = wanted.mask(fields)
+            if keep is not None and not keep.all():
+                offsets, spans, fields = offsets[keep], spans[keep], {k: v[keep] for k, v in fields.items()}
+            yield _records(part.path, first, data, starts, offsets, spans, fields, permissive, whole)
+            if len(bad) and not wanted.tests:
+                yield _broken(part.path, first + bad, status[bad], whole)
+            if last:
+                return
+
+
+def _names(permissive: bool, whole: bool) -> list[str]:
+    return ["path", "span_id", "record_offset", *FIELDS, *(["status"] if permissive else []), *(["record"] if whole else [])]
+
+
+def _records(path, first, data, starts, offsets, spans, fields, permissive, whole) -> pa.RecordBatch:
+    columns = [pa.array([path], pa.string()).take(pa.array(np.zeros(len(offsets), np.int32))), pa.array(first + spans), pa.array(offsets - starts[spans])]
+    columns += [pa.array(fields[n]).cast(t) for n, t in FIELDS.items()]
+    if permissive:
+        columns.append(pa.array(np.zeros(len(offsets), np.int32)))
+    if whole:
+        raw = memoryview(data)
+        columns.append(pa.array([raw[a:b] for a, b in zip(offsets.tolist(), (offsets + 4 + fields["block_size"]).tolist(), strict=True)], pa.binary()))
+    return pa.RecordBatch.from_arrays(columns, _names(permissive, whole))
+
+
+def _broken(path: str, spans: np.ndarray, status: np.ndarray, whole: bool) -> pa.RecordBatch:
+    """A row for each span that its records break."""
+    n = len(spans)
+    columns = [pa.array([path] * n), pa.array(spans), pa.nulls(n, pa.int64()), *[pa.nulls(n, t) for t in FIELDS.values()], pa.array(status.astype(np.int32)), *([pa.nulls(n, pa.binary())] if whole else [])]
+    return pa.RecordBatch.from_arrays(columns, _names(True, whole))
 
 
 def _files(options: dict, suffix: str) -> list[str]:
@@ -140,6 +372,13 @@ def _files(options: dict, suffix: str) -> list[str]:
     return [f for p in named for f in list_files(p, suffix)]
 
 
+def _switch(options: dict, name: str) -> bool:
+    value = options.get(name, "false").lower()
+    if value not in ("true", "false"):
+        raise ValueError(f"{name} must be true or false")
+    return value == "true"
+
+
 class _Options:
     def __init__(self, options: dict):
         self.files = _files(options, ".bam")
@@ -148,19 +387,30 @@ class _Options:
         self.uncompressed = int(options.get("maxuncompressedbytes", 256 << 20))
         if not 0 < self.uncompressed < 1 << 32:
             raise ValueError("maxUncompressedBytes must be between 1 and 4294967295")
+        self.permissive, self.whole, self.metrics = options.get("mode") == "permissive", _switch(options, "record"), options.get("metrics")
+        self.wanted = Predicates()
 
     def splits(self) -> list[Split]:
         return [s for f in self.files for s in splits(f, self.compressed)]
 
     def read(self, split: Split):
-        part = spans_of(split, self.index)
-        if part:
-            yield from read_range(part, self.uncompressed)
+        metrics = Metrics(split.path, split.begin)
+        for part in spans_of(split, self.index, self.wanted, metrics):
+            yield from read_range(part, self.uncompressed, self.wanted, metrics, self.permissive, self.whole)
+        if self.metrics:
+            metrics.write(self.metrics)
 
 
 class BamReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = _Options(options)
+        if options.get("mode", "failfast") not in ("failfast", "permissive"):
+            raise ValueError(f"unknown mode {options['mode']!r}; there are failfast, permissive")
+
+    def pushFilters(self, filters):
+        for one in filters:
+            if not self.options.wanted.take(one):
+                yield one
 
     def partitions(self):
         return self.options.splits()
@@ -171,7 +421,8 @@ class BamReader(DataSourceReader):
 
 class BamStreamReader(DataSourceStreamReader):
     """A stream of splits. ``streaming=all`` offers all at once and suits any trigger; ``bounded`` offers one split a
-    batch, and must run with the default trigger until the offset reaches the number of splits."""
+    batch, and must run with the default trigger until the offset reaches the number of splits. Both read the files that are
+    there when they start; ``files`` is ``FileStreamReader``."""
 
     def __init__(self, options: dict):
         self.options = _Options(options)
@@ -193,19 +444,84 @@ class BamStreamReader(DataSourceStreamReader):
         yield from self.options.read(partition)
 
 
+class FileStreamReader(DataSourceStreamReader):
+    """A stream of the splits of files that appear in folders, in the order in which they are found.
+
+    Found files are logged in the folder ``fileLog`` with their sizes, so a split's number never changes, and a query that goes on
+    from its checkpoint reads none twice. A file counts once its index is there; files must not change after that. At most
+    ``maxSplitsPerTrigger`` splits are offered at a time. What was offered is logged as well, so that holds for each run
+    with ``availableNow`` too, which asks only once; ``streaming.flagstat.drain`` runs it until all is read.
+    """
+
+    def __init__(self, options: dict):
+        if "filelog" not in options:
+            raise ValueError("streaming=files needs the option fileLog, a folder of its own")
+        self.raw, self.log = options, options["filelog"].rstrip("/")
+        self.most = int(options.get("maxsplitspertrigger", 1 << 30))
+        if self.most < 1:
+            raise ValueError("maxSplitsPerTrigger must be at least 1")
+        self.options = _Options(options)
+        self.planned: list[Split] = []
+        self.known: set[str] = set()
+        self.entries = 0
+        self._recall()
+        offered = [int(f.rsplit("-", 1)[1]) for f in list_files(self.log, "") if "/offered-" in f] if self.entries else []
+        self.at = max(offered, default=0)
+
+    def _recall(self) -> None:
+        """Read the log's entries that are not known yet, in order."""
+        while exists(name := f"{self.log}/files-{self.entries:09d}.json"):
+            with open_file(name) as file:
+                for path, size in json.loads(file.read()):
+                    self.known.add(path)
+                    self.planned += [Split(path, at, at + self.options.compressed) for at in range(0, max(1, size), self.options.compressed)]
+            self.entries += 1
+
+    def _discover(self) -> None:
+        self._recall()
+        found = [f for f in _files(self.raw, ".bam") if f not in self.known and exists(default_index(f))]
+        if found:
+            with create(f"{self.log}/files-{self.entries:09d}.json") as out:
+                out.write(json.dumps([(f, size_of(f)) for f in found]).encode())
+            self._recall()
+
+    def initialOffset(self):
+        return {"split": 0}
+
+    def latestOffset(self):
+        self._discover()
+        at = min(len(self.planned), self.at + self.most)
+        if at > self.at:
+            create(f"{self.log}/offered-{at}").close()
+            self.at = at
+        return {"split": self.at}
+
+    def partitions(self, start, end):
+        self._recall()
+        return self.planned[start["split"] : end["split"]]
+
+    def read(self, partition):
+        yield from self.options.read(partition)
+
+
 class BamSource(DataSource):
     @classmethod
     def name(cls):
         return "bam"
 
     def schema(self):
-        return ALIGNMENTS
+        more = (", status int" if self.options.get("mode") == "permissive" else "") + (", record binary" if _switch(self.options, "record") else "")
+        return ALIGNMENTS + more
 
     def reader(self, schema):
         return BamReader(self.options)
 
     def streamReader(self, schema):
-        return BamStreamReader(self.options)
+        kinds = {"all": BamStreamReader, "bounded": BamStreamReader, "files": FileStreamReader}
+        kind = self.options.get("streaming", "all")
+        if kind not in kinds:
+            raise ValueError(f"unknown streaming {kind!r}; there are {', '.join(kinds)}")
+        return kinds[kind](self.options)
 
 
 class _PerFile(DataSourceReader):
@@ -223,17 +539,20 @@ class _PerFile(DataSourceReader):
 
 class BgzfReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.options, self.prefix = _Options(options), options.get("mode") == "prefix"
-        if options.get("mode", "all") not in ("all", "prefix"):
-            raise ValueError(f"unknown mode {options['mode']!r}; there are all, prefix")
+        self.options, self.mode = _Options(options), options.get("mode", "all")
+        if self.mode not in ("all", "prefix", "integrity"):
+            raise ValueError(f"unknown mode {self.mode!r}; there are all, prefix, integrity")
 
     def partitions(self):
-        if self.prefix:
+        if self.mode == "prefix":
             return [Split(f, 0, 1) for f in self.options.files]
         return self.options.splits()
 
     def read(self, partition):
-        yield from prefix_rows(partition.path, self.options.uncompressed) if self.prefix else member_rows(partition, self.options.index)
+        if self.mode == "prefix":
+            yield from prefix_rows(partition.path, self.options.uncompressed)
+        else:
+            yield from (failing_members if self.mode == "integrity" else member_rows)(partition, self.options.index)
 
 
 def index_rows(path: str):
@@ -243,23 +562,60 @@ def index_rows(path: str):
 
 
 def _member_row(path: str, member) -> tuple:
-    return path, member.offset, len(member.raw), len(member.inflate(path)), member.is_eof
+    return path, member.offset, len(member.raw), member.size, member.is_eof
+
+
+def _places(split: Split, index: str | None) -> tuple[list[int], int | None]:
+    """Offsets at which members are known to begin in a split, the file's begin among them, and where the scan of it ends.
+
+    Without an index a file is read by its first split; others have no places.
+    """
+    index = index or default_index(split.path)
+    starts = _keep("members", split.path, index, lambda: np.unique(read_index(index)[1][:, 3] >> 16))[0] if exists(index) else np.zeros(0, np.int64)
+    after = starts[starts >= split.end]
+    inside = starts[(starts >= max(1, split.begin)) & (starts < split.end)].tolist()
+    return inside if split.begin else [0, *inside], int(after[0]) if len(after) else None
 
 
 def member_rows(split: Split, index: str | None = None):
-    """Members that begin in a split. An index says where members begin; a file without is read by its first split."""
-    path, begin, end = split.path, split.begin, split.end
-    index = index or default_index(path)
-    starts = np.unique(read_index(index)[1][:, 3] >> 16) if exists(index) else np.zeros(0, np.int64)
-    after = starts[starts >= end]
-    inside = starts[(starts >= begin) & (starts < end)]
-    if begin and not len(inside):
+    """Members that begin in a split, with the size that each one's trailer states."""
+    places, stop = _places(split, index)
+    if not places:
         return
-    with open_file(path) as file:
-        file.seek(int(inside[0]) if begin else 0)
-        stop = int(after[0]) if len(after) else None
-        while (stop is None or file.tell() < stop) and (member := read_member(file, path)) is not None:
-            yield _member_row(path, member)
+    with open_file(split.path) as file:
+        file.seek(places[0])
+        while (stop is None or file.tell() < stop) and (member := read_member(file, split.path)) is not None:
+            yield _member_row(split.path, member)
+
+
+def failing_members(split: Split, index: str | None = None):
+    """(path, compressed_offset, reason, resumes) of members in a split that cannot be read.
+
+    A member whose frame holds but whose data do not costs itself alone. Where the frame is broken, all up to the next offset that the index
+    names cannot be told apart; ``resumes`` says where the scan went on, null at the end of what can be read.
+    """
+    places, stop = _places(split, index)
+    if not places:
+        return
+    known = [*places, *([stop] if stop is not None else [])]
+    with open_file(split.path) as file:
+        at = places[0]
+        while at is not None and (stop is None or at < stop):
+            file.seek(at)
+            try:
+                member = read_member(file, split.path)
+            except FormatError as e:
+                onward = next((p for p in known if p > at), None)
+                yield split.path, at, str(e).removeprefix(f"{split.path}: "), onward
+                at = onward
+                continue
+            if member is None:
+                return
+            at = file.tell()
+            try:
+                member.inflate(split.path)
+            except FormatError as e:
+                yield split.path, member.offset, str(e).removeprefix(f"{split.path}: "), at
 
 
 def prefix_rows(path: str, cap: int):
@@ -296,6 +652,8 @@ class BgzfSource(DataSource):
         return "bgzf"
 
     def schema(self):
+        if self.options.get("mode") == "integrity":
+            return "path string, compressed_offset long, reason string, resumes long"
         return "path string, compressed_offset long, compressed_len int, uncompressed_len int, is_eof boolean"
 
     def reader(self, schema):
@@ -306,5 +664,7 @@ HeaderSource = _source("bam_header", ".bam", "path string, reference_count int,
 
 
 def register(spark: SparkSession) -> None:
+    """Make the sources known to a session, and let it hand predicates to them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (BamSource, BaiSource, BgzfSource, HeaderSource):
         spark.dataSource.register(source)

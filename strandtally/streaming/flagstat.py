@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from strandtally.operators.flagstat import counters
+from strandtally.operators.flagstat import counters, merge
 from strandtally.shared import new_path
 
 
@@ -26,3 +26,31 @@ def stream_totals(records: DataFrame) -> DataFrame:
     finally:
         query.stop()
     return records.sparkSession.table(name)
+
+
+def drain(records: DataFrame, folder: str, checkpoint: str) -> int:
+    """Read all that a stream has now, in runs with ``availableNow``, and keep each batch's totals under ``folder``; gives the number of batches.
+
+    A source that limits what it offers at a time is asked again until it has no more. A batch that runs again writes
+    the same place, so ``drained`` counts each record once; a later call with the same checkpoint goes on from there.
+    """
+    done = 0
+
+    def keep(batch: DataFrame, number: int) -> None:
+        counters(batch).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    while True:
+        query = records.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        try:
+            query.awaitTermination()
+        finally:
+            query.stop()
+        batches = sum(p.numInputRows > 0 for p in query.recentProgress)
+        if not batches:
+            return done
+        done += batches
+
+
+def drained(spark: SparkSession, folder: str) -> DataFrame:
+    """The totals of all batches that ``drain`` has kept."""
+    return merge(spark.read.parquet(folder))
