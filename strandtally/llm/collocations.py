@@ -38,7 +38,7 @@ CONTAINED = 80  #: per cent of a phrase's occurrences that a longer one has if i
 #: Phrases in a container before it bursts, and in a task's tries before subtrees are spilled.
 BURST, LIMIT = 4096, 600_000
 #: Phrases that are put into a trie together, and words that a task numbers before it begins anew.
-PENDING, VOCABULARY = 1 << 19, 400_000
+PENDING, VOCABULARY = 1 << 18, 400_000
 SALTS = 16
 _ID = 21  #: bits of a word's id
 _LOW = (1 << _ID) - 1
@@ -272,8 +272,12 @@ def count_phrases(texts: DataFrame, level: int, likely: Bitmap | None = None) ->
 
 def merge_runs(partial: DataFrame, least: int) -> DataFrame:
     """Sums by phrase of at least ``least``, and numbers of all words; runs meet by language and first three words."""
-    runs = partial.withColumn("prefix", F.substring_index("phrase", " ", 3)).repartition("lang", "prefix")
-    return runs.groupBy("lang", "prefix", "words", "phrase").agg(F.sum("a").alias("a")).where((F.col("a") >= least) | F.col("phrase").isNull()).drop("prefix")
+    head = F.substring_index("phrase", " ", 3)
+    fourth = F.when(F.col("words") == 4, F.substring_index("phrase", " ", -1))
+    runs = partial.select("lang", head.alias("prefix"), fourth.alias("fourth"), "a").repartition("lang", "prefix")
+    sums = runs.groupBy("lang", "prefix", "fourth").agg(F.sum("a").alias("a")).where((F.col("a") >= least) | F.col("prefix").isNull())
+    phrase = F.when(F.col("prefix").isNotNull(), F.concat_ws(" ", "prefix", "fourth"))
+    return sums.select("lang", F.coalesce(F.size(F.split(phrase, " ")), F.lit(1)).alias("words"), phrase.alias("phrase"), "a")
 
 
 def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = MIN_COUNT) -> DataFrame:
