@@ -11,38 +11,44 @@ with weight ``fail(u)``, which is what the arcs' discounted counts leave. Probab
 state sum to one. ``states`` and ``arcs`` keep only those that make up such a share of the corpus, for
 callers that want a smaller model; without them nothing is dropped.
 
-Counts of words and pairs grow with the corpus and are never collected. Texts are taken in blocks.
-Each block sends its distinct words and pairs, packed, to shards: a word's pairs go to the shard of
-the word, those of the few words that are a fixed share of the corpus to shards of their own. Shards
-add up, and give each block the counts of its own words and pairs back, in the order in which it
-sent them, so keys travel once; a block that no task saw as a whole gets them with the keys.
+Counts of words and pairs grow with the corpus and are never collected. Each task cuts its texts into blocks of
+BLOCK_BYTES, numbers a block's distinct words and pairs, writes the texts as these numbers to a file in the shared folder, and
+sends words and pairs, packed, to shards: a word's pairs go to the shard of the word. Shards add up, and give each block the
+counts of its own words and pairs back, in the order in which it sent them. Texts are read twice, once to
+count cells of words, and never shuffled.
+
+The pairs of a word that could crowd a shard are dealt out over all shards by pair. Which words do is told by a bitmap of
+CELLS cells of 256 KB at most, whose cells have more tokens than a fourth of a shard; another word in such a cell is only dealt out
+as well. How many arcs these words have is added up in a table, and looked up for each block under sixteen salts.
 
 Words and pairs are known by 64-bit hashes. Cases: null text is the end alone; without training texts
 every probability is one; rows of equal id are scored each; null ids are training texts; extra columns
-are ignored.
+are ignored; all characters but the six separators belong to words, U+0000 too.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandtally.files import create, open_file
 from strandtally.llm.language_id import held_out
-from strandtally.llm.textscan import SPACE_WORDS, mix, scan
-from strandtally.shared import materialize
+from strandtally.llm.textscan import SPACE_WORDS, give_back, mix, scan
+from strandtally.shared import materialize, new_path
 
 D = 0.75
-#: Words that make up one HOT-th of the tokens have their pairs spread over all shards.
-HOT = 2000
-BLOCK_ROWS = 2048
-#: Longer texts are blocks of their own, so a block has at most BLOCK_ROWS times so many characters.
-LONG_CHARS = 1 << 17
+BLOCK_BYTES = 8 << 20
 SHARD_TOKENS = 2_000_000
+CELLS, CHUNKS = 1 << 21, 256
+SALTS = 16
 #: What stands for the end and the begin of a text among the word hashes.
 END, BEGIN = np.uint64(0x0E0D0E0D0E0D0E0D), np.uint64(0x0B0E0B0E0B0E0B0E)
-_FLUSH = 1 << 21
+_FLUSH = 1 << 20
 
 
 def _tokens(column: pa.Array):
@@ -54,35 +60,55 @@ def _tokens(column: pa.Array):
         yield words.first, words.n_texts, out, bounds
 
 
-def frequent(rows: DataFrame, share: int | None) -> tuple[int, np.ndarray]:
-    """The number of training tokens, and the sorted words that make up one ``share``-th of them.
-
-    Without a share, words of about one HOT-th: rare words of each part are left out of the sum then.
-    """
+def crowded_cells(rows: DataFrame) -> tuple[int, bytes]:
+    """The number of training tokens, and a bitmap of the cells that have more than a fourth of a shard."""
 
     def run(batches):
-        parts, held = [], 0
+        cells, parts, held = np.zeros(CELLS, np.int64), [], 0
 
-        def flush():
-            h, c = np.unique(np.concatenate(parts), return_counts=True)
-            often = c * (4 * HOT) >= held if share is None else c > 0
-            return pa.RecordBatch.from_arrays([pa.array([None, *h[often].view(np.int64).tolist()], pa.int64()), pa.array([held, *c[often].tolist()], pa.int64())], ["h", "c"])
+        def settle():
+            np.add(cells, np.bincount((np.concatenate(parts) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), out=cells)
 
         for batch in batches:
             for _, _, tokens, _ in _tokens(batch.column(0)):
                 parts.append(tokens)
                 held += len(tokens)
                 if held > _FLUSH:
-                    yield flush()
+                    settle()
                     parts, held = [], 0
-        if held:
-            yield flush()
+        if parts:
+            settle()
+        if cells.any():
+            split = np.split(cells, CHUNKS)
+            used = [i for i, x in enumerate(split) if x.any()]
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([_pack(split[i]) for i in used], pa.binary())], ["chunk", "counts"])
+
+    def total(table: pa.Table) -> pa.Table:
+        cells = np.zeros(CELLS // CHUNKS, np.int64)
+        for counts in table["counts"]:
+            cells += _unpack(counts.as_py(), len(cells))
+        return pa.table({"chunk": table["chunk"][:1], "n": [int(cells.sum())], "bits": [np.packbits(cells > limit, bitorder="little").tobytes()]})
+
+    limit = SHARD_TOKENS // 4
+    # the counts of all tasks meet chunk by chunk; a row for each of CHUNKS reaches the driver
+    sums = rows.where("train").select("text").mapInArrow(run, "chunk long, counts binary").groupBy("chunk").applyInArrow(total, "chunk long, n long, bits binary").collect()
+    bits = np.zeros((CHUNKS, CELLS // CHUNKS // 8), np.uint8)
+    for r in sums:
+        bits[r.chunk] = np.frombuffer(r.bits, np.uint8)
+    return sum(r.n for r in sums), bits.tobytes()
+
+
+def frequent(rows: DataFrame, share: int, n: int) -> np.ndarray:
+    """The sorted words that make up one ``share``-th of the tokens each; there are at most so many."""
 
-    sums = materialize(rows.where("train").select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "lm-frequent")
-    total = sums.where("h is null").first()
-    n = total.c if total else 0
-    top = sums.where(F.col("h").isNotNull() & (F.col("c") * (2 * HOT if share is None else share) >= n)).select("h").collect()
-    return n, np.sort(np.array([r.h for r in top], np.int64).view(np.uint64))
+    def run(batches):
+        for batch in batches:
+            for _, _, tokens, _ in _tokens(batch.column(0)):
+                h, c = np.unique(tokens, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+
+    sums = rows.where("train").select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return np.sort(np.array([r.h for r in sums.where(F.col("c") * share >= n).select("h").collect()], np.int64).view(np.uint64))
 
 
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -101,26 +127,44 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, f"<u{len(data) // n}" if n else np.uint8).astype(np.int64)
 
 
+class Spread:
+    """Which words have their pairs dealt out over all shards; ``data`` is a broadcast of the bitmap, and of the states of a limited model."""
+
+    def __init__(self, data):
+        self.data = data
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        bits, states = self.data.value
+        if states is not None:
+            return (h == BEGIN) | _among(h, states)
+        cell = (h & np.uint64(CELLS - 1)).astype(np.int64)
+        return (h == BEGIN) | (np.frombuffer(bits, np.uint8)[cell >> 3] >> (cell & 7).astype(np.uint8) & 1 == 1)
+
+    def keep(self, before: np.ndarray, tokens: np.ndarray) -> np.ndarray | None:
+        """Which pairs a limited model may have as arcs; None for all."""
+        states = self.data.value[1]
+        return None if states is None else ((before == BEGIN) | _among(before, states)) & _among(tokens, states)
+
+
 class Tally:
     """The distinct words and pairs of a block in the order in which they are sent.
 
     ``h``, ``c``, ``run``: an entry for each word in its shard, and for each spread word in the shards
     of its pairs; its training count (in its own shard), and how many pairs follow. ``p``, ``k``: hash
-    and training count of each pair, by entry.
+    and training count of each pair, by entry. ``word``, ``pair``: the entry of each token's word and its pair, -1 for none; ``begin``:
+    the entry of the begin of texts.
     """
 
-    def __init__(self, tokens: np.ndarray, bounds: np.ndarray, train: np.ndarray, hot: np.ndarray, shards: int, limited: bool):
+    def __init__(self, tokens: np.ndarray, bounds: np.ndarray, train: np.ndarray, spread: Spread, shards: int):
         trained = np.repeat(train, np.diff(bounds))
         word, at = np.unique(np.concatenate([tokens, np.full(len(train), BEGIN)]), return_inverse=True)
         count = np.bincount(at, weights=np.concatenate([trained, train]), minlength=len(word)).astype(np.int64)
         before = histories(tokens, bounds)
-        pair = pair_hash(before, tokens)
-        if limited:
-            both = ((before == BEGIN) | _among(before, hot)) & _among(tokens, hot)
-            before, pair, trained = before[both], pair[both], trained[both]
-        pair, first, at = np.unique(pair, return_index=True, return_inverse=True)
-        k, u = np.bincount(at, weights=trained, minlength=len(pair)).astype(np.int64), before[first]
-        home = np.where((u == BEGIN) | _among(u, hot), pair, u) % np.uint64(shards)
+        pair, kept = pair_hash(before, tokens), spread.keep(before, tokens)
+        which = np.arange(len(tokens)) if kept is None else np.flatnonzero(kept)
+        pair, first, to = np.unique(pair[which], return_index=True, return_inverse=True)
+        k, u = np.bincount(to, weights=trained[which], minlength=len(pair)).astype(np.int64), before[which][first]
+        home = np.where(spread(u), pair, u) % np.uint64(shards)
         shard, h = np.concatenate([word % np.uint64(shards), home]), np.concatenate([word, u])
         order = np.lexsort((h, shard))
         new = np.ones(len(order), bool)
@@ -132,6 +176,11 @@ class Tally:
         self.c[entry[: len(word)]] = count
         order = np.lexsort((pair, entry[len(word) :]))
         self.p, self.k = pair[order], k[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.word, self.pair = entry[at[: len(tokens)]], np.full(len(tokens), -1)
+        self.pair[which] = place[to]
+        self.begin = int(entry[at[len(tokens)]])
 
 
 def histories(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -151,57 +200,72 @@ def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return np.concatenate([t for t, _ in parts]), np.concatenate([[0], np.cumsum(lengths)])
 
 
-_SENT = "shard long, block long, whole boolean, h binary, c binary, run binary, p binary, k binary"
+_SENT = "shard long, block long, texts string, h binary, c binary, run binary, p binary, k binary"
 
 
-def slices(rows: DataFrame, hot: np.ndarray, shards: int, limited: bool) -> DataFrame:
-    """What each block sends to each shard; ``whole`` if it is all of the block."""
+def slices(rows: DataFrame, spread: Spread, shards: int, folder: str) -> DataFrame:
+    """What each block sends to each shard; ``texts`` says where its texts are: file, begin, bytes."""
 
     def run(batches):
-        block, parts, trains, size = None, [], [], 0
+        count, path, out, at = 0, f"{folder}/{uuid.uuid4().hex}", None, 0
+        task = TaskContext.get().partitionId() << 32
+        parts, trains, ids, held = [], [], [], 0
 
         def flush():
-            train = np.concatenate(trains)
-            t = Tally(*_joined(parts), train, hot, shards, limited)
-            ids, starts = np.unique(t.shard, return_index=True)
-            ends, pairs = [*starts[1:], len(t.h)], np.concatenate([[0], np.cumsum(t.run)])
-            out = []
-            for i, a, b in zip(ids.tolist(), starts.tolist(), ends, strict=True):
+            nonlocal out, at
+            tokens, bounds = _joined(parts)
+            t = Tally(tokens, bounds, np.concatenate(trains), spread, shards)
+            hot = np.flatnonzero(spread(t.h) & (t.h % np.uint64(shards) == t.shard.astype(np.uint64)))
+            shard_ids, starts = np.unique(t.shard, return_index=True)
+            ends, pairs = [*starts[1:].tolist(), len(t.h)], np.concatenate([[0], np.cumsum(t.run)])
+            sizes = np.array([(b - a, pairs[b] - pairs[a]) for a, b in zip(starts.tolist(), ends, strict=True)], np.int64)
+            own = pa.concat_arrays(ids)
+            columns = {"train": np.concatenate(trains).tobytes(), "bounds": bounds.tobytes(), "word": _pack(t.word), "pair": _pack(t.pair + 1), "begin": np.int64(t.begin).tobytes(), "hot": hot.tobytes(), "hot_h": t.h[hot].tobytes(), "sizes": sizes.tobytes()}
+            batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), *[pa.array([v], pa.binary()) for v in columns.values()]], ["doc_id", *columns])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(batch)
+            raw = sink.getvalue()
+            if out is None:
+                out = create(path)
+            out.write(raw)
+            where, at = f"{path} {at} {raw.size}", at + raw.size
+            sent = []
+            for i, a, b in zip(shard_ids.tolist(), starts.tolist(), ends, strict=True):
                 x, y = int(pairs[a]), int(pairs[b])
-                out.append((i, int(block), len(train) == size, t.h[a:b].tobytes(), _pack(t.c[a:b]), _pack(t.run[a:b]), t.p[x:y].tobytes(), _pack(t.k[x:y])))
-            types = [pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * 5]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["shard", "block", "whole", "h", "c", "run", "p", "k"])
+                sent.append((i, task | count, where, t.h[a:b].tobytes(), _pack(t.c[a:b]), _pack(t.run[a:b]), t.p[x:y].tobytes(), _pack(t.k[x:y])))
+            types = [pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * 5]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*sent, strict=True), types, strict=True)], [f.split()[0] for f in _SENT.split(", ")])
 
         for batch in batches:
-            blocks, train, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()
-            edges = np.concatenate([[0], np.flatnonzero(blocks[1:] != blocks[:-1]) + 1, [len(blocks)]])
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if b > a and parts and (blocks[a] != block or sum(len(t) for t, _ in parts) > _FLUSH):
+            train = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+            for first, n, tokens, bounds in _tokens(batch.column(1)):
+                if parts and held + 8 * len(tokens) > BLOCK_BYTES:
                     yield flush()
-                    parts, trains = [], []
-                for first, n, tokens, bounds in _tokens(batch.column(2).slice(a, b - a)):
-                    block, size = blocks[a], sizes[a]
-                    parts.append((tokens, bounds))
-                    trains.append(train[a + first : a + first + n].astype(bool))
+                    parts, trains, ids, held, count = [], [], [], 0, count + 1
+                parts.append((tokens, bounds))
+                trains.append(train[first : first + n])
+                ids.append(batch.column(2).slice(first, n))
+                held += 8 * len(tokens)
         if parts:
             yield flush()
+        if out is not None:
+            out.close()
+        give_back()
 
-    sizes = rows.groupBy(F.col("block").alias("of")).agg(F.count("*").alias("size"))
-    sized = rows.join(F.broadcast(sizes), F.col("block") == F.col("of")).select("block", "train", "text", "size")
-    return sized.mapInArrow(run, _SENT)
+    return rows.select("train", "text", "doc_id").mapInArrow(run, _SENT)
 
 
-_GIVEN = "block long, shard long, whole boolean, h binary, c binary, n binary, s binary, p binary, k binary, word long, followers long, followed long, v long"
+_GIVEN = "block long, shard long, texts string, c binary, n binary, s binary, k binary, word long, followers long, followed long, v long"
 
 
-def totals(sent: DataFrame, n: int, hot: np.ndarray, arcs: int | None) -> DataFrame:
+def totals(sent: DataFrame, n: int, spread: Spread, shards: int, arcs: int | None) -> DataFrame:
     """The sums, in the order of what was sent.
 
     By entry: the word's count, and number and summed counts of its arcs (``n``, ``s``); by pair: the
-    arc's count, 0 if it is none. Rows without a block have the share of a spread word's arcs that a
-    shard has (``word``, ``followers``, ``followed``), or the number of its training words (``v``).
+    arc's count, 0 if it is none. Other rows have a block and a spread word that it holds, a spread word and the arcs of it that a
+    shard has (``word``, ``followers``, ``followed``), or the number of a shard's training words (``v``).
     """
-    spread = np.union1d(hot, [BEGIN])
 
     def run(table: pa.Table) -> pa.Table:
         got = {k: table[k].to_pylist() for k in table.column_names}
@@ -219,97 +283,76 @@ def totals(sent: DataFrame, n: int, hot: np.ndarray, arcs: int | None) -> DataFr
         u = np.repeat(at, follow)[first]
         followers = np.bincount(u[arc > 0], minlength=len(word))
         followed = np.bincount(u, weights=arc, minlength=len(word)).astype(np.int64)
+        hot, shard = spread(word), got["shard"][0]
+        own = hot & (word % np.uint64(shards) == np.uint64(shard))
         out, e, x = [], 0, 0
         for i, (m, size) in enumerate(zip(lengths, sizes, strict=True)):
-            own, whole = at[e : e + m], got["whole"][i]
-            out.append((got["block"][i], got["shard"][i], whole, None if whole else got["h"][i], _pack(count[own]), _pack(followers[own]), _pack(followed[own]), None if whole else got["p"][i], _pack(arc[to[x : x + size]]), None, None, None, None))
+            here = at[e : e + m]
+            out.append((got["block"][i], shard, got["texts"][i], _pack(count[here]), _pack(followers[here]), _pack(followed[here]), _pack(arc[to[x : x + size]]), None, None, None, None))
+            out += [(got["block"][i], *[None] * 6, int(w), None, None, None) for w in word[here[own[here]]].view(np.int64)]
             e, x = e + m, x + size
-        for i in np.flatnonzero(_among(word, spread) & (followers > 0)):
-            out.append((*[None] * 9, int(word[i].astype(np.int64)), int(followers[i]), int(followed[i]), 0))
-        out.append((*[None] * 12, int(np.count_nonzero(count[word != BEGIN]))))
-        types = [pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * 6, *[pa.int64()] * 4]
+        out += [(*[None] * 7, int(word[i].astype(np.int64)), int(followers[i]), int(followed[i]), None) for i in np.flatnonzero(hot & (followers > 0))]
+        out.append((*[None] * 10, int(np.count_nonzero(count[word != BEGIN]))))
+        types = [pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * 4, *[pa.int64()] * 4]
         names = [f.split()[0] for f in _GIVEN.split(", ")]
         return pa.table({name: pa.array(col, t) for name, col, t in zip(names, zip(*out, strict=True), types, strict=True)})
 
     return sent.groupBy("shard").applyInArrow(run, _GIVEN)
 
 
-class Counts:
-    """The counts of a block's words and pairs, from what the shards gave back."""
-
-    def __init__(self, given: pa.Table, tally: Tally, shards: int):
-        got = sorted(given.select(["shard", "whole", "h", "c", "n", "s", "p", "k"]).to_pylist(), key=lambda r: r["shard"])
-        if all(r["whole"] for r in got):
-            lengths = np.bincount(tally.shard, minlength=shards)
-            sizes = np.bincount(tally.shard, weights=tally.run, minlength=shards).astype(np.int64)
-            lengths, sizes = ([int(x[r["shard"]]) for r in got] for x in (lengths, sizes))
-            h, p, shard = tally.h, tally.p, tally.shard
-            if sum(lengths) != len(h):
-                raise ValueError("a block's texts are not those whose words were counted")
-        else:
-            lengths, sizes = [len(r["h"]) // 8 for r in got], [len(r["p"]) // 8 for r in got]
-            h, p = (np.frombuffer(b"".join([r[k] for r in got]), np.uint64) for k in ("h", "p"))
-            shard = np.repeat([r["shard"] for r in got], lengths)
-        columns = [np.concatenate([_unpack(r[k], m) for r, m in zip(got, lengths, strict=True)]) for k in ("c", "n", "s")]
-        own = np.flatnonzero(h % np.uint64(shards) == shard.astype(np.uint64))
-        self.h, at = np.unique(h[own], return_index=True)
-        self.c, self.n, self.s = (x[own][at] for x in columns)
-        self.p, at = np.unique(p, return_index=True)
-        self.k = np.concatenate([_unpack(r["k"], m) for r, m in zip(got, sizes, strict=True)])[at]
-
-
-def train_and_score(docs: DataFrame, train: Column, block: Column | None = None, doc_col: str = "doc_id", text_col: str = "text", states: int | None = None, arcs: int | None = None) -> DataFrame:
-    """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) of every row.
-
-    ``block`` groups a few thousand rows; rows of a block are best stored together. A text of more than
-    LONG_CHARS characters is taken out of its block.
-    """
-    if block is None:
-        block = F.pmod(F.xxhash64(doc_col), F.lit(docs.count() // BLOCK_ROWS + 1))
-    block = F.when(F.length(text_col) > LONG_CHARS, F.xxhash64(block, F.xxhash64(text_col))).otherwise(block)
-    rows = docs.select(block.cast("long").alias("block"), train.alias("train"), F.col(text_col).cast("string").alias("text"), F.col(doc_col).alias("doc_id"))
-    n, hot = frequent(rows, states)
-    shards, limited = n // SHARD_TOKENS + 1, states is not None
-    given = materialize(totals(slices(rows, hot, shards, limited), n, hot, arcs), "lm-counts")
-    spread = given.where("block is null").groupBy("word").agg(F.sum("followers").alias("n"), F.sum("followed").alias("s"), F.sum("v").alias("v")).collect()
-    v = sum(r.v for r in spread)
-    arcs_of = sorted((int(np.int64(r.word).astype(np.uint64)), r.n, r.s) for r in spread if r.word is not None)
-    sent = docs.sparkSession.sparkContext.broadcast((np.array([x[0] for x in arcs_of], np.uint64), *[np.array([x[i] for x in arcs_of], np.int64) for i in (1, 2)], hot))
-
-    def score(texts: pa.Table, given: pa.Table) -> pa.Table:
-        often, often_n, often_s, hot = sent.value
-        tokens, bounds = _joined([(t, b) for _, _, t, b in _tokens(texts["text"].combine_chunks())])
-        trained = texts["train"].to_numpy().astype(bool)
-        counts = Counts(given, Tally(tokens, bounds, trained, hot, shards, limited), shards)
-        before = histories(tokens, bounds)
-        at, u = np.searchsorted(counts.h, tokens), np.searchsorted(counts.h, before)
-        count, history, followers, followed = counts.c[at], counts.c[u], counts.n[u], counts.s[u]
-        if len(often):
-            to, spread = np.minimum(np.searchsorted(often, before), len(often) - 1), _among(before, often)
-            followers, followed = np.where(spread, often_n[to], followers), np.where(spread, often_s[to], followed)
-        pair, arc = pair_hash(before, tokens), np.zeros(len(tokens), np.int64)
-        if len(counts.p):
-            arc = np.where(_among(pair, counts.p), counts.k[np.minimum(np.searchsorted(counts.p, pair), len(counts.p) - 1)], 0)
-        weight = np.where(count > 0, count - D, D * v) / n if n else np.ones(len(tokens))
-        some = np.maximum(history, 1)
-        fail = np.maximum(1 - (followed - D * followers) / some, 1e-12)
-        total = np.log10(np.where(arc > 0, (arc - D) / some, 0) + fail * weight)
-        known = np.add.reduceat((count > 0).astype(np.int64), bounds[:-1])
-        base = np.add.reduceat(np.log10((count + 1) / (n + v + 1)), bounds[:-1])
-        return pa.table({"doc_id": texts["doc_id"], "train": texts["train"], "n_tokens": np.diff(bounds), "n_known": known, "train_tokens": np.full(texts.num_rows, n), "base_score": base, "score": np.add.reduceat(total, bounds[:-1])})
-
-    def scored(texts: pa.Table, given: pa.Table) -> pa.Table:
-        out = score(texts, given) if texts.num_rows else pa.table({k: [] for k in ("doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
-        return out.cast(pa.schema([("doc_id", texts.schema.field("doc_id").type), ("train", pa.bool_()), *[(k, pa.int64()) for k in ("n_tokens", "n_known", "train_tokens")], ("base_score", pa.float64()), ("score", pa.float64())]))
-
-    out = f"doc_id {docs.schema[doc_col].dataType.simpleString()}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    back = given.where("block is not null").select("block", "shard", "whole", "h", "c", "n", "s", "p", "k")
-    return rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(scored, out)
+def _block_scores(given: pa.Table, n: int, v: int) -> pa.Table:
+    """Scores of the texts of a block, from what the shards gave back for it."""
+    rows = given.to_pylist()
+    got = sorted((r for r in rows if r["texts"]), key=lambda r: r["shard"])
+    path, begin, size = got[0]["texts"].rsplit(" ", 2)
+    with open_file(path) as file:
+        file.seek(int(begin))
+        texts = pa.ipc.open_stream(file.read(int(size))).read_all()
+    raw = {name: texts[name][0].as_py() for name in texts.column_names if name != "doc_id"}
+    bounds, train = np.frombuffer(raw["bounds"], np.int64), np.frombuffer(raw["train"], bool)
+    word, pair = _unpack(raw["word"], int(bounds[-1])), _unpack(raw["pair"], int(bounds[-1])) - 1
+    # a shard's entries and pairs are as many as it was sent
+    each = lambda name, sizes: np.concatenate([_unpack(r[name], m) for r, m in zip(got, sizes, strict=True)])
+    entries, pairs = np.frombuffer(raw["sizes"], np.int64).reshape(-1, 2).T.tolist()
+    count, followers, followed, arcs = each("c", entries), each("n", entries), each("s", entries), each("k", pairs)
+    if len(hot := np.frombuffer(raw["hot"], np.int64)):
+        of = {r["word"]: (r["followers"], r["followed"]) for r in rows if r["word"] is not None}
+        sums = np.array([of.get(w, (0, 0)) for w in np.frombuffer(raw["hot_h"], np.int64).tolist()], np.int64)
+        followers[hot], followed[hot] = sums[:, 0], sums[:, 1]
+    history = np.roll(word, 1)
+    history[bounds[:-1]] = np.frombuffer(raw["begin"], np.int64)[0]
+    arc = np.where(pair >= 0, np.append(arcs, 0)[pair], 0)
+    own, some = count[word], np.maximum(count[history], 1)
+    weight = np.where(own > 0, own - D, D * v) / n if n else np.ones(len(word))
+    fail = np.maximum(1 - (followed[history] - D * followers[history]) / some, 1e-12)
+    total = np.log10(np.where(arc > 0, (arc - D) / some, 0) + fail * weight)
+    at = bounds[:-1]
+    known, base = np.add.reduceat((own > 0).astype(np.int64), at), np.add.reduceat(np.log10((own + 1) / (n + v + 1)), at)
+    ids = texts["doc_id"].combine_chunks().flatten()
+    return pa.table({"doc_id": ids, "train": pa.array(train), "n_tokens": np.diff(bounds), "n_known": known, "train_tokens": np.full(len(ids), n), "base_score": base, "score": np.add.reduceat(total, at)})
+
+
+def train_and_score(docs: DataFrame, train: Column, doc_col: str = "doc_id", text_col: str = "text", states: int | None = None, arcs: int | None = None) -> DataFrame:
+    """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+    spark = docs.sparkSession
+    rows = docs.select(train.alias("train"), F.col(text_col).cast("string").alias("text"), F.col(doc_col).alias("doc_id"))
+    n, bits = crowded_cells(rows)
+    spread = Spread(spark.sparkContext.broadcast((bits, None if states is None else frequent(rows, states, n))))
+    shards = n // SHARD_TOKENS + 1
+    given = materialize(totals(slices(rows, spread, shards, new_path(spark, "lm-texts")), n, spread, shards, arcs), "lm-counts")
+    v = given.agg(F.sum("v")).first()[0] or 0
+    sums = given.where("block is null and word is not null").groupBy("word").agg(F.sum("followers").alias("followers"), F.sum("followed").alias("followed"))
+    salt = F.pmod("block", F.lit(SALTS)).alias("salt")
+    held = given.where("block is not null and word is not null").select("block", "word", salt)
+    known = held.select("word", "salt").distinct().join(sums, "word")
+    back = given.where("texts is not null").select("block", "shard", "texts", "c", "n", "s", "k")
+    everything = back.unionByName(held.join(known, ["word", "salt"]).drop("salt"), allowMissingColumns=True)
+    kind = docs.schema[doc_col].dataType.simpleString()
+    out = f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return everything.groupBy("block").applyInArrow(lambda table: _block_scores(table, n, v), out)
 
 
 def op7_backoff_lm(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    block = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BLOCK_ROWS))
-    docs = docs.select("doc_id", "text", block.alias("file_block"))
-    out = train_and_score(docs, ~held_out("doc_id", 7, 2), F.col("file_block"))
+    out = train_and_score(docs, ~held_out("doc_id", 7, 2))
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -5,6 +5,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from strandtally import shared
+from strandtally.llm import backoff_lm
 from strandtally.llm.backoff_lm import D, op7_backoff_lm, train_and_score
 from strandtally.llm.language_id import held_out
 from tests.conftest import SF
@@ -48,13 +50,14 @@ def plain_model(texts, states, arcs):
     return score, mass
 
 
-@pytest.mark.parametrize("by_block", [False, True])
-def test_against_the_definition(spark, nasty, by_block):
+@pytest.mark.parametrize("block_bytes", [backoff_lm.BLOCK_BYTES, 2000])
+def test_against_the_definition(spark, nasty, monkeypatch, block_bytes):
+    monkeypatch.setattr(backoff_lm, "BLOCK_BYTES", block_bytes)
     docs = nasty.select("doc_id", "text").union(spark.createDataFrame([(100 + i, rng_text(i, 200)) for i in range(30)], "doc_id long, text string"))
     train = ~held_out("doc_id", 7, 2)
     rows = docs.select("text", train.alias("t")).collect()
     score, mass = plain_model([r.text for r in rows if r.t], 50, 400)
-    out = train_and_score(docs, train, F.lit(3) if by_block else None, states=50, arcs=400)
+    out = train_and_score(docs, train, states=50, arcs=400)
     got = sorted((r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in out.collect())
     want = sorted((a, b, n, round(x, 6), round(y, 6)) for a, b, n, x, y in (score(r.text) for r in rows))
     assert len(got) == len(want)
@@ -66,32 +69,49 @@ def test_against_the_definition(spark, nasty, by_block):
         assert mass(u) == pytest.approx(1)
 
 
-@pytest.mark.parametrize("by_block", [False, True])
-def test_no_pair_is_dropped(spark, monkeypatch, by_block):
-    """With many tokens a pair seen once is still an arc, whether a task sees whole blocks or not."""
-    from strandtally.llm import backoff_lm
-
-    monkeypatch.setattr(backoff_lm, "SHARD_TOKENS", 20_000)
-    monkeypatch.setattr(backoff_lm, "HOT", 200)
-    texts = [rng_text(i, 3000, 3000) for i in range(80)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+@pytest.mark.parametrize(("shard_tokens", "block_bytes"), [(20_000, backoff_lm.BLOCK_BYTES), (2_000, 100_000), (100, 4_000)])
+def test_no_pair_is_dropped(spark, monkeypatch, shard_tokens, block_bytes):
+    """A pair seen once is an arc with one shard or thousands, and with words just above and below what is dealt out."""
+    monkeypatch.setattr(backoff_lm, "SHARD_TOKENS", shard_tokens)
+    monkeypatch.setattr(backoff_lm, "BLOCK_BYTES", block_bytes)
+    texts = [rng_text(i, 3000, 3000) for i in range(80 if shard_tokens > 100 else 8)]
+    docs = spark.createDataFrame([(i, t, "clash", "clash", "clash", "clash") for i, t in enumerate(texts)], "doc_id long, text string, block string, word string, h string, c string").repartition(3)
     train = F.col("doc_id") % 10 != 0
-    out = {r.doc_id: r for r in train_and_score(docs, train, F.floor(F.col("doc_id") / 40) if by_block else F.spark_partition_id()).collect()}
-    score, _ = plain_model([t for i, t in enumerate(texts) if i % 10], 10**9, 10**9)
-    assert out[0].train_tokens > 200_000
+    out = {r.doc_id: r for r in train_and_score(docs, train).collect()}
+    training = [t for i, t in enumerate(texts) if i % 10]
+    score, _ = plain_model(training, 10**9, 10**9)
+    counts = Counter(w for t in training for w in tokens(t)).values()
+    assert any(c > shard_tokens // 4 for c in counts) and any(shard_tokens // 8 < c <= shard_tokens // 4 for c in counts)
     for i, t in enumerate(texts):
         assert out[i].score == pytest.approx(score(t)[4], abs=1e-4)
 
 
-def test_long_texts_are_blocks_of_their_own(spark, monkeypatch):
-    from strandtally.llm import backoff_lm
-
-    monkeypatch.setattr(backoff_lm, "LONG_CHARS", 500)
-    texts = [rng_text(i, 20 if i % 3 else 400, 300) for i in range(30)] + [None]
-    docs = spark.createDataFrame([(i, t, "clash", "clash", "clash", "clash") for i, t in enumerate(texts)], "doc_id long, text string, block string, train string, h string, c string")
-    out = {r.doc_id: r for r in train_and_score(docs, F.col("doc_id") != 3, F.lit(1)).collect()}
-    score, _ = plain_model([t for i, t in enumerate(texts) if i != 3], 10**9, 10**9)
-    assert all(out[i].score == pytest.approx(score(t)[4], abs=1e-4) for i, t in enumerate(texts))
+def test_shards_are_even(spark, monkeypatch):
+    """A word in most places does not fill one shard: its pairs are dealt out."""
+    monkeypatch.setattr(backoff_lm, "SHARD_TOKENS", 4_000)
+    monkeypatch.setattr(backoff_lm, "BLOCK_BYTES", 40_000)
+    texts = [" the ".join(f"u{i}x{j}" for j in range(400)) for i in range(100)]
+    rows = spark.createDataFrame([(True, t, i) for i, t in enumerate(texts)], "train boolean, text string, doc_id long")
+    n, bits = backoff_lm.crowded_cells(rows)
+    assert n == 100 * 800
+    spread = backoff_lm.Spread(spark.sparkContext.broadcast((bits, None)))
+    shards = n // 4_000 + 1
+    sent = backoff_lm.slices(rows, spread, shards, f"{shared.shared_dir(spark)}/even")
+    sizes = [r[1] for r in sent.groupBy("shard").agg(F.sum(F.length("p") / 8)).collect()]
+    assert len(sizes) == shards
+    assert max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
+def test_nul_is_part_of_words(spark):
+    texts = ["\x00 nul \x00", "a\x00b a\x00b \x00", "nul\x00", None, "plain words nul"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in train_and_score(docs, F.col("doc_id") != 4).collect()}
+    score, _ = plain_model(texts[:4], 10**9, 10**9)
+    for i, t in enumerate(texts):
+        want = score(t)
+        assert (out[i].n_tokens, out[i].n_known, out[i].train_tokens) == want[:3]
+        assert (out[i].base_score, out[i].score) == (pytest.approx(want[3]), pytest.approx(want[4], abs=1e-4))
+    assert out[0].n_tokens == 4
 
 
 def test_query_against_brute_force(spark):
