@@ -182,6 +182,11 @@ class Tally:
         self.pair[which] = place[to]
         self.begin = int(entry[at[len(tokens)]])
 
+    def parts(self) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
+        """The shards, where each one's entries begin and end, and where the pairs of each entry begin."""
+        shards, starts = np.unique(self.shard, return_index=True)
+        return shards, starts, [*starts[1:].tolist(), len(self.h)], np.concatenate([[0], np.cumsum(self.run)])
+
 
 def histories(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """What stands before each token."""
@@ -215,13 +220,14 @@ def slices(rows: DataFrame, spread: Spread, shards: int, folder: str) -> DataFra
             nonlocal out, at
             tokens, bounds = _joined(parts)
             t = Tally(tokens, bounds, np.concatenate(trains), spread, shards)
-            hot = np.flatnonzero(spread(t.h) & (t.h % np.uint64(shards) == t.shard.astype(np.uint64)))
-            shard_ids, starts = np.unique(t.shard, return_index=True)
-            ends, pairs = [*starts[1:].tolist(), len(t.h)], np.concatenate([[0], np.cumsum(t.run)])
-            sizes = np.array([(b - a, pairs[b] - pairs[a]) for a, b in zip(starts.tolist(), ends, strict=True)], np.int64)
-            own = pa.concat_arrays(ids)
-            columns = {"train": np.concatenate(trains).tobytes(), "bounds": bounds.tobytes(), "word": _pack(t.word), "pair": _pack(t.pair + 1), "begin": np.int64(t.begin).tobytes(), "hot": hot.tobytes(), "hot_h": t.h[hot].tobytes(), "sizes": sizes.tobytes()}
-            batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), *[pa.array([v], pa.binary()) for v in columns.values()]], ["doc_id", *columns])
+            own, at_word, times = np.unique(tokens, return_inverse=True, return_counts=True)
+            rank = np.argsort(-times, kind="stable")
+            number = np.empty(len(rank), np.int64)
+            number[rank] = np.arange(len(rank))
+            # frequent words have small numbers, which pack better
+            columns = {"train": np.concatenate(trains).tobytes(), "bounds": bounds.tobytes(), "words": own[rank].tobytes(), "tokens": _pack(number[at_word])}
+            texts = pa.concat_arrays(ids)
+            batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), *[pa.array([v], pa.binary()) for v in columns.values()]], ["doc_id", *columns])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 writer.write_batch(batch)
@@ -230,6 +236,7 @@ def slices(rows: DataFrame, spread: Spread, shards: int, folder: str) -> DataFra
                 out = create(path)
             out.write(raw)
             where, at = f"{path} {at} {raw.size}", at + raw.size
+            shard_ids, starts, ends, pairs = t.parts()
             sent = []
             for i, a, b in zip(shard_ids.tolist(), starts.tolist(), ends, strict=True):
                 x, y = int(pairs[a]), int(pairs[b])
@@ -300,7 +307,7 @@ def totals(sent: DataFrame, n: int, spread: Spread, shards: int, arcs: int | Non
     return sent.groupBy("shard").applyInArrow(run, _GIVEN)
 
 
-def _block_scores(given: pa.Table, n: int, v: int) -> pa.Table:
+def _block_scores(given: pa.Table, spread: Spread, shards: int, n: int, v: int) -> pa.Table:
     """Scores of the texts of a block, from what the shards gave back for it."""
     rows = given.to_pylist()
     got = sorted((r for r in rows if r["texts"]), key=lambda r: r["shard"])
@@ -310,26 +317,30 @@ def _block_scores(given: pa.Table, n: int, v: int) -> pa.Table:
         texts = pa.ipc.open_stream(file.read(int(size))).read_all()
     raw = {name: texts[name][0].as_py() for name in texts.column_names if name != "doc_id"}
     bounds, train = np.frombuffer(raw["bounds"], np.int64), np.frombuffer(raw["train"], bool)
-    word, pair = _unpack(raw["word"], int(bounds[-1])), _unpack(raw["pair"], int(bounds[-1])) - 1
-    # a shard's entries and pairs are as many as it was sent
+    t = Tally(np.frombuffer(raw["words"], np.uint64)[_unpack(raw["tokens"], int(bounds[-1]))], bounds, train, spread, shards)
+    ids, starts, ends, pairs = t.parts()
+    if ids.tolist() != [r["shard"] for r in got]:
+        raise ValueError("a block did not get back what it sent")
     each = lambda name, sizes: np.concatenate([_unpack(r[name], m) for r, m in zip(got, sizes, strict=True)])
-    entries, pairs = np.frombuffer(raw["sizes"], np.int64).reshape(-1, 2).T.tolist()
-    count, followers, followed, arcs = each("c", entries), each("n", entries), each("s", entries), each("k", pairs)
-    if len(hot := np.frombuffer(raw["hot"], np.int64)):
-        of = {r["word"]: (r["followers"], r["followed"]) for r in rows if r["word"] is not None}
-        sums = np.array([of.get(w, (0, 0)) for w in np.frombuffer(raw["hot_h"], np.int64).tolist()], np.int64)
+    entries = [b - a for a, b in zip(starts.tolist(), ends, strict=True)]
+    count, followers, followed = (each(k, entries) for k in ("c", "n", "s"))
+    arcs = each("k", [int(pairs[b] - pairs[a]) for a, b in zip(starts.tolist(), ends, strict=True)])
+    hot = np.flatnonzero(spread(t.h) & (t.h % np.uint64(shards) == t.shard.astype(np.uint64)))
+    of = {r["word"]: (r["followers"], r["followed"]) for r in rows if r["word"] is not None}
+    if of:
+        sums = np.array([of.get(w, (0, 0)) for w in t.h[hot].view(np.int64).tolist()], np.int64)
         followers[hot], followed[hot] = sums[:, 0], sums[:, 1]
-    history = np.roll(word, 1)
-    history[bounds[:-1]] = np.frombuffer(raw["begin"], np.int64)[0]
-    arc = np.where(pair >= 0, np.append(arcs, 0)[pair], 0)
-    own, some = count[word], np.maximum(count[history], 1)
-    weight = np.where(own > 0, own - D, D * v) / n if n else np.ones(len(word))
+    history = np.roll(t.word, 1)
+    history[bounds[:-1]] = t.begin
+    arc = np.where(t.pair >= 0, np.append(arcs, 0)[t.pair], 0)
+    own, some = count[t.word], np.maximum(count[history], 1)
+    weight = np.where(own > 0, own - D, D * v) / n if n else np.ones(len(own))
     fail = np.maximum(1 - (followed[history] - D * followers[history]) / some, 1e-12)
     total = np.log10(np.where(arc > 0, (arc - D) / some, 0) + fail * weight)
     at = bounds[:-1]
     known, base = np.add.reduceat((own > 0).astype(np.int64), at), np.add.reduceat(np.log10((own + 1) / (n + v + 1)), at)
-    ids = texts["doc_id"].combine_chunks().flatten()
-    return pa.table({"doc_id": ids, "train": pa.array(train), "n_tokens": np.diff(bounds), "n_known": known, "train_tokens": np.full(len(ids), n), "base_score": base, "score": np.add.reduceat(total, at)})
+    docs = texts["doc_id"].combine_chunks().flatten()
+    return pa.table({"doc_id": docs, "train": pa.array(train), "n_tokens": np.diff(bounds), "n_known": known, "train_tokens": np.full(len(docs), n), "base_score": base, "score": np.add.reduceat(total, at)})
 
 
 def train_and_score(docs: DataFrame, train: Column, doc_col: str = "doc_id", text_col: str = "text", states: int | None = None, arcs: int | None = None) -> DataFrame:
@@ -349,7 +360,7 @@ def train_and_score(docs: DataFrame, train: Column, doc_col: str = "doc_id", tex
     everything = back.unionByName(held.join(known, ["word", "salt"]).drop("salt"), allowMissingColumns=True)
     kind = docs.schema[doc_col].dataType.simpleString()
     out = f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return everything.groupBy("block").applyInArrow(lambda table: _block_scores(table, n, v), out)
+    return everything.groupBy("block").applyInArrow(lambda table: _block_scores(table, spread, shards, n, v), out)
 
 
 def op7_backoff_lm(spark, sf_dir: str) -> DataFrame:
