@@ -23,6 +23,25 @@ def with_group_min(rows: DataFrame, key: str, value: str, out: str) -> DataFrame
     return salted.join(least, (F.col(key) == F.col("__key")) & (F.col("__salt") == F.col("__slot"))).drop("__salt", "__key", "__slot")
 
 
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], by: str, seen: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with a small part of ``table`` for each key; the rows of a hot key are dealt out over SALTS tasks by ``by``.
+
+    The table's rows meet the (key, salt) pairs that occur first. These are taken from ``seen``, if given, which has all the keys
+    and ``by`` of ``rows`` and is cheaper to read.
+    """
+    salt = F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int").alias("__salt")
+    few = (rows if seen is None else seen).select(*keys, salt).distinct().join(table, keys)
+    return rows.select("*", salt).join(few, [*keys, "__salt"]).drop("__salt")
+
+
+def with_group_count(rows: DataFrame, key: str, by: str, out: str) -> DataFrame:
+    """``rows`` with the number of rows of each ``key``, counted by salt first."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    part = salted.groupBy(key, "__salt").agg(F.count("*").alias("__n"))
+    total = part.select(key, "__salt", F.sum("__n").over(Window.partitionBy(key)).alias(out))
+    return salted.join(total, [key, "__salt"]).drop("__salt")
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Large star: tie each larger neighbour to the smallest of a node's neighbourhood. Small star: tie the node and its smaller neighbours to the smallest of these."""
     if large:

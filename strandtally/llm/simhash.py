@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandtally.llm.components import SALTS, connected_components, with_group_min
+from strandtally.llm.components import SALTS, connected_components, salted_join, with_group_min
 from strandtally.llm.line_dedup import LOWER
 from strandtally.shared import materialize
 
@@ -120,7 +120,7 @@ def near_pivots(d: str, e: str, radius: int) -> Column:
 def meetings(keyed: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (fp, d, fp2, d2) that meet, and the classes (fp) of crowded cells; ``keyed`` has (k, bits, fp, d)."""
     shared = materialize(keyed.groupBy("k", "bits").agg(F.count("*").alias("n")).where("n > 1"), "simhash-shared")
-    met = keyed.join(shared, ["k", "bits"])
+    met = salted_join(keyed, shared, ["k", "bits"], "fp")
     few = materialize(met.where(F.col("n") <= FEW).drop("n"), "simhash-few")
     other = few.select("k", "bits", F.col("fp").alias("fp2"), F.col("d").alias("d2"))
     pairs = few.join(other, ["k", "bits"]).where("fp < fp2").select("fp", "d", "fp2", "d2")
@@ -128,10 +128,9 @@ def meetings(keyed: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
     many = met.where(F.col("n") > FEW).select("k", "bits", "fp", "d")
     homes = many.withColumn("cell", cell_of(F.col("d"), radius))
     lived = materialize(homes.groupBy("k", "bits", "cell").agg(F.count("*").alias("lived")), "simhash-cells")
-    visits = many.withColumn("cell", F.explode(visited_cells(F.col("d"), radius))).join(lived, ["k", "bits", "cell"])
-    visits = materialize(visits, "simhash-visits")
+    visits = materialize(salted_join(many.withColumn("cell", F.explode(visited_cells(F.col("d"), radius))), lived, ["k", "bits", "cell"], "fp"), "simhash-visits")
     crowd = CROWD if radius == 2 else 1 << 62
-    lives = homes.join(lived, ["k", "bits", "cell"]).where(F.col("lived") <= crowd).select("k", "bits", "cell", F.col("fp").alias("fp2"), F.col("d").alias("d2"))
+    lives = salted_join(homes, lived, ["k", "bits", "cell"], "fp").where(F.col("lived") <= crowd).select("k", "bits", "cell", F.col("fp").alias("fp2"), F.col("d").alias("d2"))
     others = visits.where(F.col("lived") <= crowd).join(lives, ["k", "bits", "cell"]).where("fp < fp2").select("fp", "d", "fp2", "d2")
     # whoever lives in a cell visits it too
     return pairs.union(others), visits.where(F.col("lived") > crowd).select("fp").distinct()
