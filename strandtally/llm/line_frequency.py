@@ -6,7 +6,7 @@ once for each document. Lines that more than ``max_docs`` documents of a host ha
 and a document that has less than ``min_left`` of its words after that is depleted.
 
 Only (hash, words) pairs of lines are ever moved, never texts. A line that very many documents
-share is counted by partial sums, and the lines over the limit are joined in a table of their own.
+share is counted by partial sums, and the lines over the limit are joined in a table of their own, by salt.
 
 Cases: null text has no words and fails; a null host is a host; rows of equal id count as documents
 each; extra columns are ignored.
@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandtally.llm.components import salted_join
 from strandtally.shared import materialize
 
 WHITE = r"[\x20\x09-\x0D]"
@@ -83,7 +84,7 @@ def quality(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", ho
     lines = base.select("uid", F.explode("lines").alias("l")).groupBy("uid", F.col("l.key").alias("key")).agg(F.sum("l.words").alias("words"))
     lines = materialize(lines, "line-keys")
     frequent = materialize(lines.groupBy("key").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).select("key"), "line-frequent")
-    removed = lines.join(frequent, "key").groupBy("uid").agg(F.sum("words").alias("removed_words"))
+    removed = salted_join(lines, frequent, ["key"], "uid").groupBy("uid").agg(F.sum("words").alias("removed_words"))
     out = base.drop("lines").join(removed, "uid", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     depleted = F.col("n_words") - F.col("removed_words") < F.lit(min_left) * F.col("n_words")
