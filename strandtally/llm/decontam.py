@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandtally.llm.components import salted_join
 from strandtally.llm.textscan import ALNUM_WORDS, Words, mix, scan, take_turn
 from strandtally.shared import materialize
 
@@ -149,9 +150,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_id"
     short = sorted(r[0] for r in occurrences.select(F.size("words").alias("n")).where(F.col("n") < window).distinct().collect())
     scanned = materialize(scan_documents(docs, doc_col, text_col, gram, window, spark.sparkContext.broadcast(bitmap.tobytes()), filter_bits, short), "bench-hits")
 
-    windows = occurrences.select(F.col("fp").alias("fp2"), F.col("whole").alias("whole2"), F.col("words").alias("words2"), "win").dropDuplicates(["win"])
+    windows = occurrences.select("fp", "whole", "words", "win").dropDuplicates(["win"])
     hits = scanned.where("doc_id is not null and size(hits) > 0").select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
-    spans = hits.join(windows, (F.col("fp") == F.col("fp2")) & (F.col("whole") == F.col("whole2")) & (F.col("words") == F.col("words2")))
+    # a window that very many documents have is dealt out by document, here and below
+    spans = salted_join(hits, windows, ["fp", "whole", "words"], "doc_id")
     spans = spans.select("doc_id", "start", (F.col("start") + F.size("words")).alias("end"), "win").distinct()
     spans = materialize(spans, "bench-spans")
 
@@ -161,7 +163,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_id"
         .withColumn("reached", F.coalesce(F.max("end").over(before), F.lit(0)))
         .groupBy("doc_id").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "reached"))).cast("long").alias("n_hit"))
     )
-    items = spans.select("doc_id", "win").distinct().join(occurrences.select("win", "item_id").distinct(), "win").groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    items = salted_join(spans.select("doc_id", "win").distinct(), occurrences.select("win", "item_id").distinct(), ["win"], "doc_id", seen=spans).groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     return (
         scanned.select("doc_id", "n_words").join(covered, "doc_id", "left").join(items, "doc_id", "left")
         .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
