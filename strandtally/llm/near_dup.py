@@ -13,9 +13,11 @@ a probability of 0.9998, and 6.6 of the 16 keys on average; texts with little in
 3. What is left of a split group is its largest part that is connected, and a minority. A minority of up to ``MINORITY`` classes is compared with
    the whole group in blocks: the pivot table discards pairs with a coordinate difference over the radius, the sets decide.
    That takes a bounded number of comparisons a class, and gives links only, no pairs.
-4. Groups with a larger minority meet again under pairs of these groups' keys, so under twice as many minima,
-   with pivots for each new group, and so on. What still is together after ``LEVELS``
-   steps is compared as in step 3, whatever the size of the minority, in as many blocks as it takes.
+4. Classes of groups with a larger minority meet again, by the rarest of their shingles, in an order by how many of these
+   classes have them. Of two sets that are similar enough, the larger one's first n - 0.8 n + 1 shingles hold one of the smaller one's
+   first n - 0.89 n + 1, its leads. So a class has fewer keys than shingles, keys without a lead are none, and what nearly all
+   have is no lead of classes with some shingles that fewer have. Keys with the same classes are one. In each group its leads, or its minority if that is
+   smaller, are compared with the whole group as in step 3, in as many blocks as it takes.
 
 The radius is four standard errors above the distance expected at the similarity asked for. No group
 is cut off and no pair is judged by an estimate.
@@ -36,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandtally.llm.components import SALTS, connected_components, with_group_min
+from strandtally.llm.components import SALTS, connected_components, salted_join, with_group_count, with_group_min
 from strandtally.llm.decontam import gram_hashes
 from strandtally.llm.textscan import SPACE_WORDS, Words, give_back, mix, scan, take_turn
 from strandtally.shared import materialize
@@ -47,7 +49,6 @@ PIVOTS = 8
 MINORITY = 512
 #: Classes of the minority and of the whole group in a block.
 TILE, CHUNK = 128, 512
-LEVELS = 4
 #: Sets below this size are too small for the estimate and are always compared themselves.
 ESTIMATED = 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -184,10 +185,10 @@ def pivot_pairs(led: DataFrame, similarity: float) -> DataFrame:
     return own.where(_likely("centre", "own", similarity)).select(F.col("centre.id").alias("u"), F.col("own.id").alias("v")).distinct()
 
 
-def not_connected(rows: DataFrame) -> DataFrame:
+def not_connected(rows: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """Rows (key, id, n, root, ...) of groups with more than one root, with their group's ``size`` and ``least`` n."""
     split = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("size"), F.min("n").alias("least")).where("a <> b")
-    return rows.drop("size", "least").join(split.select("key", "size", "least"), "key")
+    return salted_join(rows.drop("size", "least"), split.select("key", "size", "least"), ["key"], "id", seen)
 
 
 def may_link(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -205,7 +206,7 @@ def with_minority(apart: DataFrame) -> DataFrame:
     parts = apart.groupBy("key", "root").agg(F.count("*").alias("part"), F.first("size").alias("size"))
     most = parts.groupBy("key").agg(F.max(F.struct("part", "root")).alias("main"), F.first("size").alias("all"))
     main = most.select("key", F.col("main.root").alias("main_root"), (F.col("all") - F.col("main.part")).alias("minority"))
-    return apart.join(main, "key").withColumn("minor", F.col("root") != F.col("main_root")).drop("main_root")
+    return salted_join(apart, main, ["key"], "id").withColumn("minor", F.col("root") != F.col("main_root")).drop("main_root")
 
 
 def _block_links(similarity: float):
@@ -257,16 +258,35 @@ def block_links(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     return placed.groupBy("key", "tile", "chunk").applyInArrow(_block_links(similarity), f"u {kind}, v {kind}")
 
 
-def finer(rows: DataFrame) -> DataFrame:
-    """(key, id): each class under all pairs of the keys (column key) that it has here."""
-    keys = rows.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys")).where("size(keys) > 1")
-    return keys.select("id", F.explode(F.expr("flatten(transform(sequence(1, size(keys) - 1), i -> transform(slice(keys, i + 1, size(keys)), k -> xxhash64(keys[i - 1], k))))")).alias("key")).select("key", "id")
+def prefix_keys(classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, id, lead): each class (column id) under its rarest shingles, so that of two similar sets the smaller has one as a lead that the larger has too."""
+    own = sets.join(classes, "id").select("id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    counted = with_group_count(own, "gram", "id", "held")
+    ranked = counted.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("held", "gram"))).alias("order"))
+    first = lambda share: (F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9) + 1).cast("int")
+    rows = ranked.select("id", first(2 * similarity / (1 + similarity)).alias("leads"), F.posexplode(F.slice("order", F.lit(1), first(similarity))).alias("at", "o"))
+    return rows.where("o.held > 1").select(F.col("o.gram").alias("key"), "id", (F.col("at") < F.col("leads")).alias("lead"))
+
+
+def rare_groups(large: DataFrame, sets: DataFrame, known: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Groups of classes (column id) under their rarest shingles, as ``block_links`` takes them; those that are compared with all are ``minor``."""
+    keyed = materialize(prefix_keys(large, sets, similarity), "near-prefixes")
+    same = [F.bit_xor(F.xxhash64("id", "lead", F.lit(i))).alias(f"s{i}") for i in range(2)]
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.count_if("lead").alias("leads"), *same).where("size > 1 and leads > 0")
+    shared = materialize(shared.groupBy("size", "leads", "s0", "s1").agg(F.min("key").alias("key")).select("key", "leads"), "near-rare")
+    met = salted_join(keyed, shared, ["key"], "id").join(known.select("id", "n"), "id").join(roots, F.col("id") == F.col("node"), "left")
+    met = materialize(met.select("key", "id", "n", F.array(F.lit(0)).alias("d"), F.coalesce("root", "id").alias("root"), "lead", "leads"), "near-met")
+    split = with_minority(materialize(not_connected(met), "near-open"))
+    few = F.col("leads") < F.col("minority")
+    return split.withColumn("minor", F.when(few, F.col("lead")).otherwise(F.col("minor"))).withColumn("minority", F.least("leads", "minority"))
 
 
 def met_under(keyed: DataFrame, known: DataFrame) -> DataFrame:
-    """(key, id, n, fp) of the rows (key, id) whose key several classes share."""
-    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "near-shared")
-    return materialize(keyed.join(shared.select("key"), "key").join(known.select("id", "n", "fp"), "id").select("key", "id", "n", "fp"), "near-met")
+    """(key, id, n, fp) of the rows (key, id) whose key several classes share; of keys with the same classes the smallest."""
+    same = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"s{i}") for i in range(2)]
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), *same).where("size > 1")
+    shared = materialize(shared.groupBy("size", "s0", "s1").agg(F.min("key").alias("key")).select("key"), "near-shared")
+    return materialize(salted_join(keyed, shared, ["key"], "id").join(known.select("id", "n", "fp"), "id").select("key", "id", "n", "fp"), "near-met")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -279,9 +299,9 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(common * (1 + similarity) >= similarity * (F.size("a") + F.size("b")) - 1e-9).select("u", "v")
 
 
-def _connected(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+def _connected(roots: DataFrame, links: DataFrame) -> DataFrame:
     """(node, root) of the components so far with more links."""
-    return connected_components(links if roots is None else links.union(roots.select("node", "root")))
+    return connected_components(links.union(roots.select("node", "root")))
 
 
 def near_duplicate_groups(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -300,21 +320,17 @@ def near_duplicate_groups(docs: DataFrame, doc_col: str = "doc_id", text_col: st
     sets = shingle_sets(texts, shingle).join(asked, (F.col("doc_id") == F.col("id")) & (F.col("same") == F.col("same1")))
     sets = materialize(sets.select("id", "grams"), "near-sets")
 
-    roots, level, found = None, 1, None
-    while True:
-        led = materialize(with_pivots(met), "near-pivots")
-        links = verified(pivot_pairs(led, similarity), sets, similarity)
-        roots = _connected(roots, links if found is None else links.union(found))
-        rooted = led.drop("centre").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", "fp", "d", F.coalesce("root", "id").alias("root"))
-        # groups whose classes are all connected are done
-        apart = materialize(not_connected(rooted), "near-split")
-        apart = materialize(with_minority(not_connected(may_link(apart, sets, similarity))), "near-apart")
-        last = level == LEVELS
-        found = materialize(block_links(apart if last else apart.where(F.col("minority") <= MINORITY), sets, similarity), "near-found")
-        large = apart.where(F.col("minority") > MINORITY)
-        if last or large.limit(1).count() == 0:
-            break
-        met, level = met_under(finer(large.select("key", "id")), reps), level + 1
+    led = materialize(with_pivots(met), "near-pivots")
+    roots = connected_components(verified(pivot_pairs(led, similarity), sets, similarity))
+    rooted = led.drop("centre").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", "fp", "d", F.coalesce("root", "id").alias("root"))
+    # groups whose classes are all connected are done
+    apart = materialize(not_connected(rooted, seen=led), "near-split")
+    apart = materialize(with_minority(materialize(not_connected(may_link(apart, sets, similarity)), "near-open")), "near-apart")
+    found = materialize(block_links(apart.where(F.col("minority") <= MINORITY), sets, similarity), "near-found")
+    large = materialize(apart.where(F.col("minority") > MINORITY).select("id").distinct(), "near-large")
+    if large.limit(1).count():
+        roots = _connected(roots, found)
+        found = materialize(block_links(materialize(rare_groups(large, sets, reps, roots, similarity), "near-rare-groups"), sets, similarity), "near-found")
     if found.limit(1).count():
         roots = _connected(roots, found)
     rooted = reps.select("id").join(roots, F.col("id") == F.col("node"), "left").select(F.col("id").alias("id2"), F.coalesce("root", "id").alias("component_id"))

@@ -146,6 +146,83 @@ def test_recall_of_links_in_a_crowd(spark):
     assert not [i for i in got if got[i] != i and want[i] == i]
 
 
+def matrix_links(sets, similarity=0.8):
+    """All pairs of sets that are similar enough, by one product of matrices."""
+    number = {g: i for i, g in enumerate(set().union(*sets.values()))}
+    held = np.zeros((len(sets), len(number)), np.float32)
+    for i, s in enumerate(sets.values()):
+        held[i, [number[g] for g in s]] = 1
+    common, ids = held @ held.T, list(sets)
+    size = held.sum(axis=1)
+    u, v = np.nonzero(np.triu(common >= similarity * (size[:, None] + size - common) - 1e-6, 1))
+    return {(ids[a], ids[b]) for a, b in zip(u.tolist(), v.tolist(), strict=True)}
+
+
+def template_pages(n, pool):
+    """Pages of one template with four sentences of a pool each: 0.7 to 0.79 alike; each tenth has a near copy."""
+    rng = np.random.default_rng(n)
+    template, sentences = rng_text(8, 160, 10**6), [rng_text(70_000 + i, 6, 10**6) for i in range(pool)]
+    texts = [" ".join([template, *(sentences[j] for j in rng.choice(pool, 4, replace=False))]) for _ in range(n)]
+    return texts + [spaced_edits(t, 1 + i % 3, f"t{i}x") for i, t in enumerate(texts[::10])]
+
+
+def test_template_pages(spark, n=1000, pool=100):
+    """No link of pages that share nearly all is lost, and none below the similarity is made."""
+    rows = list(enumerate(template_pages(n, pool)))
+    sets = plain_sets(rows)
+    links = matrix_links(sets)
+    want = groups(links, sets)
+    below = [(a, b) for a, b in itertools.pairwise(range(0, n, 2)) if 0.68 <= len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 0.8]
+    assert len(below) > 200
+    assert len(links) >= n // 10
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_prefix_keys_are_few(spark):
+    """A class has fewer keys than a fifth of its shingles and one more, and they grow with the classes; similar sets share one."""
+    made = {}
+    for n in (300, 600):
+        sets = plain_sets(list(enumerate(template_pages(n, n // 10))))
+        number = {g: i for i, g in enumerate(sorted(set().union(*sets.values())))}
+        frame = spark.createDataFrame([(i, [number[g] for g in x]) for i, x in sets.items()], "id long, grams array<long>")
+        keys = defaultdict(set)
+        leads = defaultdict(set)
+        for r in near_dup.prefix_keys(frame.select("id"), frame, 0.8).collect():
+            keys[r.id].add(r.key)
+            if r.lead:
+                leads[r.id].add(r.key)
+        assert all(len(k) <= len(sets[i]) - math.ceil(0.8 * len(sets[i]) - 1e-9) + 1 for i, k in keys.items())
+        smaller = lambda a, b: (a, b) if len(sets[a]) <= len(sets[b]) else (b, a)
+        assert all(leads[x] & keys[y] for x, y in (smaller(a, b) for a, b in matrix_links(sets)))
+        assert max(Counter(g for x in leads.values() for g in x).values()) < n / 2  # the template leads none
+        made[n] = sum(map(len, keys.values()))
+    assert made[600] < 2.5 * made[300]
+
+
+def test_keys_with_the_same_classes_are_one(spark):
+    keyed = spark.createDataFrame([(k, i) for k, ids in ((1, (1, 2, 3)), (2, (1, 2, 3)), (3, (1, 2)), (4, (5,)), (5, (2, 3))) for i in ids], "key long, id long")
+    known = spark.createDataFrame([(i, 10, [0, 0, 0, 0]) for i in range(6)], "id long, n long, fp array<long>")
+    assert sorted((r.key, r.id) for r in near_dup.met_under(keyed, known).collect()) == [(1, 1), (1, 2), (1, 3), (3, 1), (3, 2), (5, 2), (5, 3)]
+
+
+def test_hot_keys_are_dealt_out(spark):
+    """Joins and counts of a key that most rows have give the plain result, from tasks of like size."""
+    from pyspark.sql import functions as F
+
+    from strandtally.llm.components import SALTS, salted_join, with_group_count
+
+    rows = spark.range(20_000).select(F.when(F.col("id") % 10 > 0, 7).otherwise(F.col("id")).alias("key"), "id")
+    table = spark.createDataFrame([(7, "hot"), (10, "ten"), (10, "again"), (99_999, "none")], "key long, name string")
+    joined = salted_join(rows, table, ["key"], "id")
+    assert sorted(map(tuple, joined.groupBy("name").count().collect())) == [("again", 1), ("hot", 18_000), ("ten", 1)]
+    parts = rows.where("key = 7").groupBy(F.pmod(F.xxhash64("id"), F.lit(SALTS))).count().collect()
+    assert max(r["count"] for r in parts) < 2 * 18_000 / SALTS
+    counted = with_group_count(rows, "key", "id", "n")
+    assert counted.where("key = 7").agg(F.min("n"), F.max("n"), F.count("*")).first()[:] == (18_000, 18_000, 18_000)
+    assert counted.where("key <> 7").agg(F.max("n")).first()[0] == 1
+
+
 def test_pivots_find_the_centre(spark):
     """Copies of one text with many or few edits: the text itself is nearest to the pivots, whatever they are."""
     base = rng_text(5, 150, vocabulary=10**6)
