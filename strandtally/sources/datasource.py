@@ -588,10 +588,18 @@ def member_rows(split: Split, index: str | None = None):
             yield _member_row(split.path, member)
 
 
+def _begins_member(file, path: str, at: int) -> bool:
+    file.seek(at)
+    try:
+        return read_member(file, path) is not None
+    except FormatError:
+        return False
+
+
 def failing_members(split: Split, index: str | None = None):
     """(path, compressed_offset, reason, resumes) of members in a split that cannot be read.
 
-    A member whose frame holds but whose data do not costs itself alone. Where the frame is broken, all up to the next offset that the index
+    A member whose frame holds but whose data or stated size do not costs itself alone. Where the frame is broken, all up to the next offset that the index
     names cannot be told apart; ``resumes`` says where the scan went on, null at the end of what can be read.
     """
     places, stop = _places(split, index)
@@ -605,7 +613,9 @@ def failing_members(split: Split, index: str | None = None):
             try:
                 member = read_member(file, split.path)
             except FormatError as e:
-                onward = next((p for p in known if p > at), None)
+                # behind the whole member, if another begins there: then only what it states is wrong
+                after = file.tell()
+                onward = after if _begins_member(file, split.path, after) else next((p for p in known if p > at), None)
                 yield split.path, at, str(e).removeprefix(f"{split.path}: "), onward
                 at = onward
                 continue

@@ -200,6 +200,7 @@ def test_damage_is_found_where_it_is(spark, files):
         assert [r.compressed_offset for r in rows] == [a.compressed_offset, b.compressed_offset, c.compressed_offset]
         assert rows[0].resumes == found[4].compressed_offset
         assert rows[1].resumes == onward(b.compressed_offset)
+        assert rows[2].resumes == found[21].compressed_offset
         for r, says in zip(rows, ("incorrect data check", "no gzip member", "more than 65536"), strict=True):
             assert says in r.reason
     assert spark.read.format("bgzf").option("mode", "integrity").option("paths", json.dumps(paths)).load().count() == 0
