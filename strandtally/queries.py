@@ -50,7 +50,7 @@ n AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY packed) -
 CAP = 20_000
 PREFIX = 40_000
 #: References and positions of the region query.
-REGION = (3, 7, 20), (100_000_000, 250_000_000)
+REGION = (3, 7, 20), (500_000, 9_000_000)
 #: Some windows have records whose sizes are too small, too large, or off by one.
 _FALSE_SIZE = "CASE (pos // 16384) % 97 WHEN 3 THEN 7 WHEN 5 THEN 1048576 WHEN 11 THEN 32 ELSE 33 END"
 
