@@ -4,9 +4,10 @@ A line's key is the line with white space stripped at both ends and A-Z lower-ca
 tables hold the state: ``references`` (key, doc_id: each document that holds a key, once),
 ``counts`` (key, docs, last_doc: how many documents hold it, and the largest id), and ``filters``
 (shard, path: a file in the shared folder with a cuckoo filter of the keys that ``min_docs`` or more documents hold). Inserting
-documents adds references, deleting takes theirs away; either way only the keys concerned are
-counted anew, and only keys that cross ``min_docs`` enter or leave their shard's filter, so an
-insertion followed by its deletion gives the state before. When the number of shared keys outgrows the
+documents adds references, deleting takes theirs away; an insertion followed by its deletion gives the state before.
+References and counts are kept in layers: a change writes its own rows as a new one, the counts of the keys concerned
+follow from those before, and only where a key loses its largest document is the next one looked up in the references. Only keys
+that cross ``min_docs`` enter or leave their shard's filter; other shards keep their files. When the number of shared keys outgrows the
 shards, all filters are built anew over more of them.
 
 Lines whose key is shared lose all copies but those of the largest doc_id. The filters screen
@@ -21,8 +22,10 @@ count nor lose lines; other columns pass through unchanged.
 
 from __future__ import annotations
 
+import functools
 import uuid
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -190,12 +193,59 @@ def _updated(filters: DataFrame, crossed: DataFrame) -> DataFrame:
     return materialize(filters.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInArrow(run, _FILTERS), "line-filters")
 
 
+class Layers:
+    """A table that grows by layers, each written once and more than twice as large as the one after it.
+
+    A new layer takes in those before it that are no larger than that, so rows are written a number of times that is
+    logarithmic in the table, whatever the sizes of the changes. ``merge`` gets the rows of the layers that become one.
+    """
+
+    def __init__(self, parts: tuple[tuple[DataFrame, int], ...], label: str):
+        self.parts, self.label = parts, label
+
+    @property
+    def rows(self) -> int:
+        return sum(n for _, n in self.parts)
+
+    def read(self) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, [p for p, _ in self.parts])
+
+    def added(self, new: DataFrame, merge: Callable[[DataFrame, bool], DataFrame]) -> Layers:
+        """With the rows of ``new``, a written table; ``merge`` is told whether its layers are all there are."""
+        rows = new.count()
+        if not rows and self.parts:
+            return self
+        first, total = len(self.parts), rows
+        while first and self.parts[first - 1][1] <= 2 * total:
+            first -= 1
+            total += self.parts[first][1]
+        old, young = self.parts[:first], self.parts[first:]
+        if young:
+            new = materialize(merge(Layers((*young, (new, rows)), "").read(), first == 0), self.label)
+            rows = new.count()
+        return Layers((*old, (new, rows)), self.label)
+
+
+def _newest(counts: DataFrame) -> DataFrame:
+    best = counts.groupBy("key").agg(F.max(F.struct("seq", "docs", "last_doc")).alias("best"))
+    return best.select("key", "best.docs", "best.last_doc", "best.seq")
+
+
 @dataclass
 class LineIndex:
-    """The state of an incremental line deduplication; every change gives a new one."""
-
-    references: DataFrame
-    counts: DataFrame
+    """The state of an incremental line deduplication; every change gives a new one, and writes in proportion to itself.
+
+    A change has a number. References carry that of their insertion, ``deleted`` (doc_id, seq) that of a document's
+    last deletion, which ends all references before it; of a key's counts the last hold. References that
+    have ended are left out as layers merge, and all layers are written anew once they are more than half.
+    """
+
+    held: Layers
+    counted: Layers
+    deleted: Layers | None
+    ended: int
+    seq: int
+    shared: int
     filters: DataFrame
     shards: int
     min_docs: int
@@ -205,38 +255,80 @@ class LineIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", min_docs: int = 5, min_chars: int = 40) -> LineIndex:
-        references = materialize(line_references(docs, doc_col, text_col, min_chars), "line-references")
-        counts = materialize(_count(references), "line-counts")
-        shards = _shards(counts, min_docs)
-        return cls(references, counts, _filters(counts, min_docs, shards), shards, min_docs, min_chars, doc_col, text_col)
+        references = materialize(line_references(docs, doc_col, text_col, min_chars).withColumn("seq", F.lit(0)), "line-references")
+        counts = materialize(references.groupBy("key").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last_doc")).withColumn("seq", F.lit(0)), "line-counts")
+        shared = counts.where(F.col("docs") >= min_docs).count()
+        held, counted = (Layers(((t, t.count()),), name) for t, name in ((references, "line-references"), (counts, "line-counts")))
+        return cls(held, counted, None, 0, 0, shared, _filters(counts, min_docs, _shards(shared)), _shards(shared), min_docs, min_chars, doc_col, text_col)
+
+    def _live(self, references: DataFrame) -> DataFrame:
+        """References that no later deletion has ended."""
+        if self.deleted is None:
+            return references
+        ends = self.deleted.read().groupBy(F.col("doc_id").alias("gone")).agg(F.max("seq").alias("end"))
+        return references.join(ends, F.col("doc_id") == F.col("gone"), "left").where("end is null or seq > end").drop("gone", "end")
+
+    @property
+    def references(self) -> DataFrame:
+        return self._live(self.held.read()).select("key", "doc_id")
+
+    @property
+    def counts(self) -> DataFrame:
+        rows = self.counted.read()
+        return (_newest(rows).where("docs > 0") if len(self.counted.parts) > 1 else rows).select("key", "docs", "last_doc")
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        """The state with these documents in as well."""
-        new = line_references(docs, self.doc_col, self.text_col, self.min_chars).join(self.references, ["key", "doc_id"], "left_anti")
-        new = materialize(new, "line-references")
-        return self._changed(self.references.unionByName(new), new.select("key").distinct())
+        """The state with these documents in as well; what is there already is not added again."""
+        new = materialize(line_references(docs, self.doc_col, self.text_col, self.min_chars), "line-new")
+        known = self.references.join(new, ["key", "doc_id"], "left_semi")
+        new = materialize(new.join(known, ["key", "doc_id"], "left_anti").withColumn("seq", F.lit(self.seq + 1)), "line-references")
+        touched = self._with_counts(new).selectExpr("key", "was", "was + n as docs", "greatest(last_was, last_new) as last_doc")
+        held = self.held.added(new, lambda rows, _: self._live(rows))
+        ended = self.ended - (self.held.rows + new.count() - held.rows)
+        return self._changed(touched, held=held, ended=ended)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
-        """The state without the documents of these ids (first column)."""
-        gone = doc_ids.select(F.col(doc_ids.columns[0]).alias("doc_id")).distinct()
-        left = self.references.join(gone, "doc_id", "left_anti").select("key", "doc_id")
-        return self._changed(left, self.references.join(gone, "doc_id", "left_semi").select("key").distinct())
-
-    def _changed(self, references: DataFrame, keys: DataFrame) -> LineIndex:
-        references, keys = materialize(references, "line-references"), materialize(keys, "line-keys")
-        recount = _count(references.join(keys, "key", "left_semi"))
-        counts = materialize(self.counts.join(keys, "key", "left_anti").unionByName(recount), "line-counts")
-        shared = lambda c, name: c.where(F.col("docs") >= self.min_docs).select("key", F.lit(True).alias(name))
-        crossed = keys.join(shared(self.counts, "was"), "key", "left").join(shared(counts, "is"), "key", "left").where("(was is null) <> (is is null)")
-        needed, shards = _shards(counts, self.min_docs), self.shards
-        if shards // 4 < needed <= 2 * shards:
-            filters = _updated(self.filters, _with_shard(crossed.select("key", F.expr("is is not null").alias("added")), shards))
-            full = filters.where("path is null").limit(1).count() > 0
+        """The state without the documents of these ids (first column); ids that it has not, and nulls, change nothing."""
+        ids = materialize(doc_ids.select(F.col(doc_ids.columns[0]).alias("doc_id")).where("doc_id is not null").distinct(), "line-ids")
+        gone = materialize(self.references.join(ids, "doc_id", "left_semi").select("key", "doc_id"), "line-gone")
+        less = materialize(self._with_counts(gone), "line-less")
+        # only keys that lose their largest document look for the next one
+        headless = less.where("last_new = last_was and was > n").select("key")
+        left = self.references.join(headless, "key", "left_semi").join(ids, "doc_id", "left_anti")
+        heads = left.groupBy("key").agg(F.max("doc_id").alias("head"))
+        touched = less.join(heads, "key", "left").selectExpr("key", "was", "was - n as docs", "coalesce(head, last_was) as last_doc")
+        seq = F.lit(self.seq + 1)
+        ends = materialize(gone.select("doc_id").distinct().withColumn("seq", seq), "line-deleted")
+        last = lambda rows, _: rows.groupBy("doc_id").agg(F.max("seq").alias("seq"))
+        deleted = (self.deleted or Layers((), "line-deleted")).added(ends, last)
+        out = self._changed(touched, deleted=deleted, ended=self.ended + gone.count())
+        if 2 * out.ended > out.held.rows:
+            all_left = materialize(out._live(out.held.read()), "line-references")
+            out = replace(out, held=Layers(((all_left, all_left.count()),), out.held.label), deleted=None, ended=0)
+        return out
+
+    def _with_counts(self, change: DataFrame) -> DataFrame:
+        """(key, n, last_new, was, last_was): references of the change by key, and the counts before it."""
+        by_key = change.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("last_new"))
+        before = _newest(self.counted.read().join(change.select("key").distinct(), "key", "left_semi"))
+        return by_key.join(before.selectExpr("key", "docs as was", "if(docs > 0, last_doc, null) as last_was"), "key", "left").fillna(0, ["was"])
+
+    def _changed(self, touched: DataFrame, **state) -> LineIndex:
+        """``touched``: key, was, docs, last_doc of each key whose number of documents changes."""
+        touched = materialize(touched.withColumn("seq", F.lit(self.seq + 1)), "line-counts")
+        counted = self.counted.added(touched.drop("was"), lambda rows, all_there: _newest(rows).where("docs > 0") if all_there else _newest(rows))
+        crossed = touched.select("key", (F.col("docs") >= self.min_docs).alias("added"), (F.col("was") >= self.min_docs).alias("before")).where("added <> before").drop("before")
+        shared = self.shared + sum(r["count"] * (1 if r.added else -1) for r in crossed.groupBy("added").count().collect())
+        out = replace(self, counted=counted, seq=self.seq + 1, shared=shared, **state)
+        needed, full = _shards(shared), False
+        if self.shards // 4 < needed <= 2 * self.shards:
+            out.filters = _updated(self.filters, _with_shard(crossed, self.shards))
+            full = out.filters.where("path is null").limit(1).count() > 0
         else:
-            shards, full = needed, True
+            out.shards, full = needed, True
         if full:
-            filters = _filters(counts, self.min_docs, shards)
-        return LineIndex(references, counts, filters, shards, self.min_docs, self.min_chars, self.doc_col, self.text_col)
+            out.filters = _filters(out.counts, self.min_docs, out.shards)
+        return out
 
     def screened(self) -> DataFrame:
         """The references whose key the filters have, and few others."""
@@ -296,12 +388,8 @@ class LineIndex:
         return out.select(*keep, "__line_dedup.n_lines", "__line_dedup.n_dropped")
 
 
-def _count(references: DataFrame) -> DataFrame:
-    return references.groupBy("key").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last_doc"))
-
-
-def _shards(counts: DataFrame, min_docs: int) -> int:
-    return max(1, -(-counts.where(F.col("docs") >= min_docs).count() // SHARD_KEYS))
+def _shards(shared: int) -> int:
+    return max(1, -(-shared // SHARD_KEYS))
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

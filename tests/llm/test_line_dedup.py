@@ -77,6 +77,56 @@ def test_many_shards(spark, monkeypatch):
     assert digests(both.delete(frame(many).select("doc_id")), frame(old)) == brute(old)
 
 
+def test_history_of_changes(spark):
+    """Insertions, deletions, repeated insertions and unknown ids, against the documents that are left."""
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    ids = lambda values: spark.createDataFrame([(v,) for v in values], "doc_id long")
+    r, now = random.Random(5), dict(corpus(3, 0, 25))
+    index = LineIndex.build(frame(list(now.items())))
+    for step in range(3):
+        rows = corpus(10 + step, 100 * step, 6)
+        fresh = [x for x in rows if x[0] not in now]
+        # documents that are there already come again, one of them twice
+        index = index.insert(frame(fresh + [(i, now[i]) for i in sorted(now)[:3]] + [fresh[0]] if fresh else rows[:0]))
+        now.update(fresh)
+        gone = [*r.sample(sorted(now), 9), max(now)]
+        index = index.delete(ids([*gone, 10_000 + step, None]))
+        for i in gone:
+            now.pop(i, None)
+        fresh_build = LineIndex.build(frame(sorted(now.items())))
+        assert sorted(map(tuple, index.counts.collect())) == sorted(map(tuple, fresh_build.counts.collect()))
+        assert index.references.count() == fresh_build.references.count()
+    assert digests(index, frame(sorted(now.items()))) == brute(sorted(now.items()))
+    nothing = index.delete(ids(sorted(now)))
+    assert nothing.references.count() == nothing.counts.count() == nothing.shared == 0
+    again = nothing.insert(frame(sorted(now.items())))
+    assert digests(again, frame(sorted(now.items()))) == brute(sorted(now.items()))
+
+
+def test_a_change_writes_in_proportion_to_itself(spark, monkeypatch):
+    written, plain = [], line_dedup.materialize
+
+    def counting(df, label):
+        out = plain(df, label)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", counting)
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    line = lambda i, j: f"line {j} of document {i} is long enough to be compared with others"
+    index = LineIndex.build(frame([(i, "\n".join([LONG[i % 12], *(line(i, j) for j in range(40))])) for i in range(500)]))
+    assert index.held.rows == 500 * 41
+    written.clear()
+    for step in range(4):
+        new = frame([(1000 + step, "\n".join([LONG[0], *(line(1000 + step, j) for j in range(9))]))])
+        index = index.insert(new)
+    index = index.delete(spark.createDataFrame([(0,), (1001,), (77_777,)], "doc_id long"))
+    # 40 references come and 51 go; each is written a few times, the 20,500 that stay are not
+    assert sum(written) < 12 * 91
+    assert index.references.count() == 500 * 41 + 40 - 51
+    assert {r.docs for r in index.counts.where("docs > 1").collect()} == {42, 41, 44}
+
+
 def test_other_columns_and_empty_table(spark, nasty, empty):
     out = LineIndex.build(nasty).apply(nasty)
     assert [c for c in nasty.columns if c not in ("n_lines", "n_dropped")] + ["n_lines", "n_dropped"] == out.columns
