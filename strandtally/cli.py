@@ -9,7 +9,7 @@ import time
 from pyspark.sql import SparkSession
 
 from strandtally.operators.coverage import check_coverage, metrics_coverage, stage_times
-from strandtally.operators.flagstat import ENGINES, check_engines, flagstat, report_text
+from strandtally.operators.flagstat import ENGINES, FIELDS, check_engines, flagstat, report_text
 from strandtally.shared import new_path
 from strandtally.sources import datasource
 from strandtally.sources.datasource import scan_metrics
@@ -53,7 +53,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> str:
     datasource.register(spark)
     options = {"maxUncompressedBytes": args.max_uncompressed_bytes} | ({"bai": args.bai} if args.bai else {})
     folder = new_path(spark, "metrics") if args.benchmark else None
-    load = lambda **more: spark.read.format("bam").options(**options, **more).load(args.input)
+    load = lambda **more: spark.read.format("bam").schema(datasource.schema_of(*FIELDS)).options(**options, **more).load(args.input)
     records = load(metrics=folder) if folder else load()
     took: dict[str, float] = {}
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import posixpath
 
 from pyarrow import fs
 
+READ_AHEAD = 1 << 20
+
 
 def store_of(uri: str) -> tuple[fs.FileSystem, str]:
     """The store of a path or URI, and the path in it."""
@@ -25,6 +28,11 @@ def open_file(uri: str):
     return store.open_input_file(path)
 
 
+def open_ahead(uri: str, ahead: int = READ_AHEAD) -> io.BufferedReader:
+    """A file that is read in order in small parts; the store is asked for ``ahead`` bytes at a time."""
+    return io.BufferedReader(open_file(uri), ahead)
+
+
 def exists(uri: str) -> bool:
     store, path = store_of(uri)
     return store.get_file_info(path).type == fs.FileType.File

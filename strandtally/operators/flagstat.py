@@ -20,12 +20,14 @@ FIELDS = ("flag", "mapq", "ref_id", "next_ref_id")
 
 
 def _sums(weight: str | None = None) -> list[Column]:
-    """One conditional sum per total, in the order of TOTALS."""
-    return [
-        F.coalesce(F.sum(F.expr(f"CASE WHEN {c.predicate} AND {qc} THEN {weight or 1} ELSE 0 END")), F.lit(0)).cast("long").alias(f"{c.name}_{name}")
-        for c in COUNTERS
-        for name, qc in (("pass", PASSED), ("fail", FAILED))
-    ]
+    """One conditional count, or sum of weights, per total, in the order of TOTALS."""
+
+    def one(predicate: str) -> Column:
+        if weight is None:
+            return F.count_if(F.expr(predicate))
+        return F.coalesce(F.sum(F.expr(f"CASE WHEN {predicate} THEN {weight} ELSE 0 END")), F.lit(0)).cast("long")
+
+    return [one(f"{c.predicate} AND {qc}").alias(f"{c.name}_{name}") for c in COUNTERS for name, qc in (("pass", PASSED), ("fail", FAILED))]
 
 
 def counters(records: DataFrame, *keys: str | Column, also: Sequence[Column] = ()) -> DataFrame:

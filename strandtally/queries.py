@@ -9,6 +9,7 @@ compressor, so results give members by their number in the file.
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from functools import cached_property
 
 import pyarrow as pa
@@ -68,11 +69,13 @@ class _Files:
         self.manifest = write_bam(alignments(spark, sf_dir) if records is None else records, new_path(spark, "bam"), REFERENCES, MEMBER_BYTES, by_reference)
         self.paths = [r.path for r in self.manifest.select("path").collect()]
 
-    def read(self, source: str = "bam", **options) -> DataFrame:
-        return self.spark.read.format(source).option("paths", json.dumps(self.paths)).options(maxCompressedBytes=1 << 20, **options).load()
+    def read(self, source: str = "bam", columns: Sequence[str] = (), **options) -> DataFrame:
+        """All columns of a source, or those of ``bam`` that are named."""
+        reader = self.spark.read.schema(datasource.schema_of(*columns)) if columns else self.spark.read
+        return reader.format(source).option("paths", json.dumps(self.paths)).options(maxCompressedBytes=1 << 20, **options).load()
 
     def stream(self) -> DataFrame:
-        return self.spark.readStream.format("bam").option("paths", json.dumps(self.paths)).option("maxCompressedBytes", 1 << 20).load()
+        return self.spark.readStream.format("bam").schema(datasource.schema_of(*ops.FIELDS)).option("paths", json.dumps(self.paths)).option("maxCompressedBytes", 1 << 20).load()
 
     def by_ref(self, rows: DataFrame, column: str = "file_id") -> DataFrame:
         return rows.withColumn(column, F.regexp_extract(column, r"/ref-(-?\d+)-[^/]*$", 1).cast("int"))
@@ -112,8 +115,8 @@ class _Files:
         return plans.block_map(plans.batch_plan(placed, CAP), self.members, last)
 
 
-def _read(spark: SparkSession, sf_dir: str, source: str = "bam") -> DataFrame:
-    return _Files(spark, sf_dir).read(source)
+def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _Files(spark, sf_dir).read(columns=ops.FIELDS)
 
 
 def _totals_sql(relation: str = "a", keys: str = "") -> str:
@@ -228,7 +231,7 @@ def _field_decode(s, d):
 
 
 def _alignments_scan(s, d):
-    return _read(s, d).select("flag", "mapq", "ref_id", "next_ref_id")
+    return _read(s, d)
 
 
 def _record_framing(s, d):
@@ -262,7 +265,7 @@ def _bgzf_members(s, d):
 
 def _bgzf_inflate_stats(s, d):
     """How many members inflate to how many bytes."""
-    return _read(s, d, "bgzf").groupBy(F.col("uncompressed_len").cast("long").alias("inflated")).agg(F.count("*").alias("members"))
+    return _Files(s, d).read("bgzf").groupBy(F.col("uncompressed_len").cast("long").alias("inflated")).agg(F.count("*").alias("members"))
 
 
 def _scan_coverage(s, d):
@@ -275,8 +278,8 @@ def _scan_coverage(s, d):
 
 def _region(s, d):
     """Records of one reference between two positions, of files that hold several references; the index chooses what is read."""
-    rows = _Files(s, d, by_reference=False).read().where(F.col("ref_id").isin(*REGION[0]) & F.col("pos").between(*REGION[1]))
-    return rows.select("ref_id", "pos", "flag", "mapq", "next_ref_id")
+    rows = _Files(s, d, by_reference=False).read(columns=("ref_id", "pos", "flag", "mapq", "next_ref_id")).where(F.col("ref_id").isin(*REGION[0]) & F.col("pos").between(*REGION[1]))
+    return rows
 
 
 def _file_spans(s, d):
@@ -294,7 +297,7 @@ def _file_batches(s, d):
 def _field_decode_from_bam(s, d):
     """Fields decoded by column expressions from the bytes of the records of files."""
     raw = F.col("record")
-    return _Files(s, d).read(record="true").select(codecs.le_int(raw, 4, 4).cast("int").alias("ref_id"), codecs.le_int(raw, 8, 4).cast("int").alias("pos"), codecs.le_uint(raw, 13, 1).cast("int").alias("mapq"), codecs.le_uint(raw, 18, 2).cast("int").alias("flag"), codecs.le_int(raw, 24, 4).cast("int").alias("next_ref_id"))
+    return _Files(s, d).read(columns=["record"], record="true").select(codecs.le_int(raw, 4, 4).cast("int").alias("ref_id"), codecs.le_int(raw, 8, 4).cast("int").alias("pos"), codecs.le_uint(raw, 13, 1).cast("int").alias("mapq"), codecs.le_uint(raw, 18, 2).cast("int").alias("flag"), codecs.le_int(raw, 24, 4).cast("int").alias("next_ref_id"))
 
 
 def _span_status_from_bam(s, d):
@@ -361,7 +364,7 @@ def _file_stream(s, d):
     folder, log, kept, state = (new_path(s, x) for x in ("growing", "growing-log", "growing-totals", "growing-state"))
     for part in ("ref_id < 12", "ref_id >= 12"):
         write_bam(alignments(s, d).where(part), folder, REFERENCES, MEMBER_BYTES)
-        stream = s.readStream.format("bam").options(streaming="files", fileLog=log, maxSplitsPerTrigger=20).load(folder)
+        stream = s.readStream.format("bam").schema(datasource.schema_of(*ops.FIELDS)).options(streaming="files", fileLog=log, maxSplitsPerTrigger=20).load(folder)
         drain(stream, kept, state)
     return drained(s, kept)
 

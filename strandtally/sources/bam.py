@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -178,14 +179,18 @@ def record_offsets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     return offsets[order], spans[order], status
 
 
-def decode(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """The fields of the records at these offsets."""
+#: Each field's place in a record, its size, and whether it has a sign.
+LAYOUT = {"block_size": (0, 4, False), "ref_id": (4, 4, True), "pos": (8, 4, True), "mapq": (13, 1, False), "flag": (18, 2, False), "next_ref_id": (24, 4, True)}
 
-    def little(at: int, size: int) -> np.ndarray:
-        return sum(data[offsets + at + i].astype(np.int64) << 8 * i for i in range(size))
 
-    signed = lambda x: np.where(x >= 1 << 31, x - (1 << 32), x)
-    return {"block_size": little(0, 4), "ref_id": signed(little(4, 4)), "pos": signed(little(8, 4)), "mapq": little(13, 1), "flag": little(18, 2), "next_ref_id": signed(little(24, 4))}
+def decode(data: np.ndarray, offsets: np.ndarray, names: Iterable[str] = LAYOUT) -> dict[str, np.ndarray]:
+    """The named fields of the records at these offsets."""
+
+    def field(at: int, size: int, signed: bool) -> np.ndarray:
+        x = sum(data[offsets + at + i].astype(np.int64) << 8 * i for i in range(size))
+        return np.where(x >= 1 << 31, x - (1 << 32), x) if signed else x
+
+    return {n: field(*LAYOUT[n]) for n in names}
 
 
 class _Windows:

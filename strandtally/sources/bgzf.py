@@ -30,7 +30,7 @@ class Member:
 
     def inflate(self, path: str) -> bytes:
         try:
-            data = zlib.decompress(self.raw, 31)
+            data = zlib.decompress(self.raw, 31, max(1, min(self.size, MAX_SIZE)))
         except zlib.error as e:
             raise FormatError(f"{path}: cannot inflate the member at {self.offset}: {e}") from e
         if len(data) != self.size:

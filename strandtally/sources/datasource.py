@@ -34,8 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as api
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.types import StructType
 
-from strandtally.files import create, exists, list_files, open_file, size_of
+from strandtally.files import create, exists, list_files, open_ahead, open_file, size_of
 from strandtally.functions.codecs import WINDOW
 from strandtally.sources.bam import decode, read_header, read_index, record_offsets
 from strandtally.sources.bgzf import FormatError, data_end, read_member
@@ -276,50 +277,56 @@ def inflate_spans(file, part: Range, max_uncompressed: int, chunk: int, metrics:
 
     The chunk grows to CHUNK_BYTES, from a single span where it is 0.
     """
-    todo, data, starts, first = list(part.anchors), bytearray(), [], part.first
+    todo, nth, starts, first = part.anchors, 0, [], part.first
+    # inflated members since the first span that has not been passed on, joined once it is
+    held, size = [], 0
     file.seek(todo[0] >> 16)
     while True:
         at = file.tell()
         # offsets that lie in the member at this place, or are its very begin
-        while todo and todo[0] >> 16 == at and todo[0] & 65535 == 0:
-            starts.append(len(data))
-            todo.pop(0)
-        if starts and (not todo or starts[-1] > chunk):
-            whole = starts[:-1] if len(starts) > 1 else []
-            if whole:
-                yield first, np.frombuffer(bytes(data[: starts[-1]]), np.uint8), np.array(whole), np.array(starts[1:])
-                first += len(whole)
+        while nth < len(todo) and todo[nth] >> 16 == at and todo[nth] & 65535 == 0:
+            starts.append(size)
+            nth += 1
+        if starts and (nth == len(todo) or starts[-1] > chunk):
+            if len(starts) > 1:
+                data, cut = b"".join(held), starts[-1]
+                yield first, np.frombuffer(data, np.uint8, cut), np.array(starts[:-1]), np.array(starts[1:])
+                first += len(starts) - 1
                 chunk = min(CHUNK_BYTES, 4 * max(chunk, 1 << 14))
-            data, starts = data[starts[-1] :], [0]
-        if not todo:
+                held, size, starts = [data[cut:]], size - cut, [0]
+        if nth == len(todo):
             return
-        if todo[0] >> 16 < at:
-            raise FormatError(f"{part.path}: offset {todo[0]} is not at a member's begin")
+        if todo[nth] >> 16 < at:
+            raise FormatError(f"{part.path}: offset {todo[nth]} is not at a member's begin")
         member = metrics.timed("frame", read_member, file, part.path)
         if member is None or member.is_eof:
-            raise FormatError(f"{part.path}: the data ends before offset {todo[0]}")
-        raw, base = metrics.timed("inflate", member.inflate, part.path), len(data)
+            raise FormatError(f"{part.path}: the data ends before offset {todo[nth]}")
+        raw = metrics.timed("inflate", member.inflate, part.path)
         metrics.members += 1
         metrics.compressed_bytes += len(member.raw)
         metrics.inflated_bytes += len(raw)
         skip = 0
         if not starts:
-            skip = todo[0] & 65535
+            skip = todo[nth] & 65535
             if skip > len(raw):
-                raise FormatError(f"{part.path}: offset {todo[0]} lies beyond its member")
-        data += raw[skip:]
-        while todo and todo[0] >> 16 == at:
-            within = todo.pop(0) & 65535
+                raise FormatError(f"{part.path}: offset {todo[nth]} lies beyond its member")
+        while nth < len(todo) and todo[nth] >> 16 == at:
+            within = todo[nth] & 65535
             if within > len(raw):
                 raise FormatError(f"{part.path}: an offset lies beyond the member at {at}")
-            starts.append(base + within - skip)
-        if len(data) - starts[-1] > max_uncompressed:
+            starts.append(size + within - skip)
+            nth += 1
+        held.append(raw[skip:])
+        size += len(raw) - skip
+        if size - starts[-1] > max_uncompressed:
             raise FormatError(f"{part.path}: a span exceeds the configured {max_uncompressed} bytes")
 
 
-def read_range(part: Range, max_uncompressed: int, wanted: Predicates, metrics: Metrics, permissive: bool = False, whole: bool = False):
+def read_range(part: Range, max_uncompressed: int, wanted: Predicates, metrics: Metrics, names: list[str], permissive: bool = False):
+    """Batches of the records of ``part`` with the columns ``names``; only fields that these or predicates name are decoded."""
     bounded = wanted.bounds("ref_id")[1] != float("inf")
-    with open_file(part.path) as file:
+    needed = {*names, *(n for n, _, _ in wanted.tests), *(("ref_id", "pos") if bounded else ()), *(("block_size",) if "record" in names else ())} & set(FIELDS)
+    with open_ahead(part.path) as file:
         for first, data, starts, ends in inflate_spans(file, part, max_uncompressed, 0 if bounded else CHUNK_BYTES, metrics):
             if (ends <= starts).any():
                 raise FormatError(f"{part.path}: span {first + int(np.argmax(ends <= starts))} is empty")
@@ -332,39 +339,40 @@ def read_range(part: Range, max_uncompressed: int, wanted: Predicates, metrics:
             if len(bad):
                 good = status[spans] == 0
                 offsets, spans = offsets[good], spans[good]
-            fields = metrics.timed("decode", decode, data, offsets)
+            fields = metrics.timed("decode", decode, data, offsets, needed)
             metrics.records += len(offsets)
             last = bounded and len(offsets) > 0 and wanted.beyond(fields)
             keep = wanted.mask(fields)
             if keep is not None and not keep.all():
                 offsets, spans, fields = offsets[keep], spans[keep], {k: v[keep] for k, v in fields.items()}
-            yield _records(part.path, first, data, starts, offsets, spans, fields, permissive, whole)
+            yield _records(part.path, first, data, starts, offsets, spans, fields, names)
             if len(bad) and not wanted.tests:
-                yield _broken(part.path, first + bad, status[bad], whole)
+                yield _broken(part.path, first + bad, status[bad], names)
             if last:
                 return
 
 
-def _names(permissive: bool, whole: bool) -> list[str]:
-    return ["path", "span_id", "record_offset", *FIELDS, *(["status"] if permissive else []), *(["record"] if whole else [])]
+def _records(path, first, data, starts, offsets, spans, fields, names) -> pa.RecordBatch:
+    n = len(offsets)
 
+    def column(name: str) -> pa.Array:
+        if name in FIELDS:
+            return pa.array(fields[name]).cast(FIELDS[name])
+        if name == "path":
+            return pa.array([path], pa.string()).take(pa.array(np.zeros(n, np.int32)))
+        if name == "record":
+            raw = memoryview(data)
+            return pa.array([raw[a:b] for a, b in zip(offsets.tolist(), (offsets + 4 + fields["block_size"]).tolist(), strict=True)], pa.binary())
+        return pa.array({"span_id": lambda: first + spans, "record_offset": lambda: offsets - starts[spans], "status": lambda: np.zeros(n, np.int32)}[name]())
 
-def _records(path, first, data, starts, offsets, spans, fields, permissive, whole) -> pa.RecordBatch:
-    columns = [pa.array([path], pa.string()).take(pa.array(np.zeros(len(offsets), np.int32))), pa.array(first + spans), pa.array(offsets - starts[spans])]
-    columns += [pa.array(fields[n]).cast(t) for n, t in FIELDS.items()]
-    if permissive:
-        columns.append(pa.array(np.zeros(len(offsets), np.int32)))
-    if whole:
-        raw = memoryview(data)
-        columns.append(pa.array([raw[a:b] for a, b in zip(offsets.tolist(), (offsets + 4 + fields["block_size"]).tolist(), strict=True)], pa.binary()))
-    return pa.RecordBatch.from_arrays(columns, _names(permissive, whole))
+    return pa.RecordBatch.from_arrays([column(x) for x in names], names)
 
 
-def _broken(path: str, spans: np.ndarray, status: np.ndarray, whole: bool) -> pa.RecordBatch:
+def _broken(path: str, spans: np.ndarray, status: np.ndarray, names: list[str]) -> pa.RecordBatch:
     """A row for each span that its records break."""
-    n = len(spans)
-    columns = [pa.array([path] * n), pa.array(spans), pa.nulls(n, pa.int64()), *[pa.nulls(n, t) for t in FIELDS.values()], pa.array(status.astype(np.int32)), *([pa.nulls(n, pa.binary())] if whole else [])]
-    return pa.RecordBatch.from_arrays(columns, _names(True, whole))
+    known = {"path": pa.array([path] * len(spans), pa.string()), "span_id": pa.array(spans), "status": pa.array(status.astype(np.int32))}
+    kinds = FIELDS | {"record_offset": pa.int64(), "record": pa.binary()}
+    return pa.RecordBatch.from_arrays([known[x] if x in known else pa.nulls(len(spans), kinds[x]) for x in names], names)
 
 
 def _files(options: dict, suffix: str) -> list[str]:
@@ -379,6 +387,31 @@ def _switch(options: dict, name: str) -> bool:
     return value == "true"
 
 
+def columns(options: dict) -> list[str]:
+    """All columns that the ``bam`` source has under these options."""
+    return [c.split()[0] for c in ALIGNMENTS.split(", ")] + (["status"] if options.get("mode") == "permissive" else []) + (["record"] if _switch(options, "record") else [])
+
+
+def schema_of(*names: str) -> str:
+    """A schema for ``spark.read.format("bam").schema(...)``: a scan then decodes and hands over these columns alone."""
+    return ", ".join(f"{n} {_TYPES[n]}" for n in names)
+
+
+_TYPES = dict(c.split() for c in (ALIGNMENTS + ", status int, record binary").split(", "))
+
+
+def chosen(schema: StructType, names: list[str]) -> list[str]:
+    """The columns of a schema that a user gave, at least one, each of which must be one of ``names`` with its type."""
+    if not schema.fields:
+        raise ValueError("a scan needs a column")
+    for field in schema.fields:
+        if field.name not in names:
+            raise ValueError(f"there is no column {field.name}; there are {', '.join(names)}")
+        if (kind := field.dataType.simpleString()) != (own := _TYPES[field.name].replace("long", "bigint")):
+            raise ValueError(f"column {field.name} has the type {own}, not {kind}")
+    return schema.names
+
+
 class _Options:
     def __init__(self, options: dict):
         self.files = _files(options, ".bam")
@@ -387,23 +420,31 @@ class _Options:
         self.uncompressed = int(options.get("maxuncompressedbytes", 256 << 20))
         if not 0 < self.uncompressed < 1 << 32:
             raise ValueError("maxUncompressedBytes must be between 1 and 4294967295")
-        self.permissive, self.whole, self.metrics = options.get("mode") == "permissive", _switch(options, "record"), options.get("metrics")
+        self.permissive, self.metrics = options.get("mode") == "permissive", options.get("metrics")
+        self.names = columns(options)
         self.wanted = Predicates()
 
+    def choose(self, schema: StructType) -> _Options:
+        """Give the columns of ``schema`` only."""
+        self.names = chosen(schema, self.names)
+        if self.permissive and "status" not in self.names:
+            raise ValueError("mode=permissive needs the column status, which tells broken spans from records")
+        return self
+
     def splits(self) -> list[Split]:
         return [s for f in self.files for s in splits(f, self.compressed)]
 
     def read(self, split: Split):
         metrics = Metrics(split.path, split.begin)
         for part in spans_of(split, self.index, self.wanted, metrics):
-            yield from read_range(part, self.uncompressed, self.wanted, metrics, self.permissive, self.whole)
+            yield from read_range(part, self.uncompressed, self.wanted, metrics, self.names, self.permissive)
         if self.metrics:
             metrics.write(self.metrics)
 
 
 class BamReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.options = _Options(options)
+    def __init__(self, options: dict, schema: StructType):
+        self.options = _Options(options).choose(schema)
         if options.get("mode", "failfast") not in ("failfast", "permissive"):
             raise ValueError(f"unknown mode {options['mode']!r}; there are failfast, permissive")
 
@@ -424,8 +465,8 @@ class BamStreamReader(DataSourceStreamReader):
     batch, and must run with the default trigger until the offset reaches the number of splits. Both read the files that are
     there when they start; ``files`` is ``FileStreamReader``."""
 
-    def __init__(self, options: dict):
-        self.options = _Options(options)
+    def __init__(self, options: dict, schema: StructType):
+        self.options = _Options(options).choose(schema)
         self.bounded = options.get("streaming", "all") == "bounded"
         self.planned = self.options.splits()
         self.at = 0
@@ -453,14 +494,14 @@ class FileStreamReader(DataSourceStreamReader):
     with ``availableNow`` too, which asks only once; ``streaming.flagstat.drain`` runs it until all is read.
     """
 
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, schema: StructType):
         if "filelog" not in options:
             raise ValueError("streaming=files needs the option fileLog, a folder of its own")
         self.raw, self.log = options, options["filelog"].rstrip("/")
         self.most = int(options.get("maxsplitspertrigger", 1 << 30))
         if self.most < 1:
             raise ValueError("maxSplitsPerTrigger must be at least 1")
-        self.options = _Options(options)
+        self.options = _Options(options).choose(schema)
         self.planned: list[Split] = []
         self.known: set[str] = set()
         self.entries = 0
@@ -510,18 +551,17 @@ class BamSource(DataSource):
         return "bam"
 
     def schema(self):
-        more = (", status int" if self.options.get("mode") == "permissive" else "") + (", record binary" if _switch(self.options, "record") else "")
-        return ALIGNMENTS + more
+        return schema_of(*columns(self.options))
 
     def reader(self, schema):
-        return BamReader(self.options)
+        return BamReader(self.options, schema)
 
     def streamReader(self, schema):
         kinds = {"all": BamStreamReader, "bounded": BamStreamReader, "files": FileStreamReader}
         kind = self.options.get("streaming", "all")
         if kind not in kinds:
             raise ValueError(f"unknown streaming {kind!r}; there are {', '.join(kinds)}")
-        return kinds[kind](self.options)
+        return kinds[kind](self.options, schema)
 
 
 class _PerFile(DataSourceReader):
@@ -582,7 +622,7 @@ def member_rows(split: Split, index: str | None = None):
     places, stop = _places(split, index)
     if not places:
         return
-    with open_file(split.path) as file:
+    with open_ahead(split.path) as file:
         file.seek(places[0])
         while (stop is None or file.tell() < stop) and (member := read_member(file, split.path)) is not None:
             yield _member_row(split.path, member)
@@ -606,7 +646,7 @@ def failing_members(split: Split, index: str | None = None):
     if not places:
         return
     known = [*places, *([stop] if stop is not None else [])]
-    with open_file(split.path) as file:
+    with open_ahead(split.path) as file:
         at = places[0]
         while at is not None and (stop is None or at < stop):
             file.seek(at)
@@ -631,7 +671,7 @@ def failing_members(split: Split, index: str | None = None):
 def prefix_rows(path: str, cap: int):
     """Members of the file's front that inflate to at most ``cap`` bytes together; an end marker ends it."""
     total = 0
-    with open_file(path) as file:
+    with open_ahead(path) as file:
         while (member := read_member(file, path)) is not None and not member.is_eof:
             if total + member.size > cap:
                 if not total:

@@ -1,5 +1,6 @@
 """Pruned scans, cached indexes, permissive mode, integrity scans, growing streams, batches and metrics."""
 
+import io
 import json
 import struct
 
@@ -7,13 +8,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import strandtally.files as store_files
 from strandtally.cli import main
 from strandtally.functions import codecs
 from strandtally.operators import batches, coverage
 from strandtally.operators.flagstat import counters, flagstat
 from strandtally.queries import damaged
 from strandtally.sources import bam, datasource
-from strandtally.sources.bam import write_bam
+from strandtally.sources.bam import decode, write_bam
 from strandtally.sources.bgzf import EOF_MARKER, deflate
 from strandtally.streaming.flagstat import drain, drained
 
@@ -284,3 +286,72 @@ def test_payload(spark, tmp_path):
     scan = spark.read.format("bam").option("paths", json.dumps([r.path for r in manifest])).load()
     assert flagstat(scan).first() == flagstat(rows).first()
     assert scan.agg(F.min("block_size"), F.max("block_size")).first()[:] == (496, 496)
+
+
+def test_columns_of_a_schema(spark, files, tmp_path):
+    """A scan with a schema gives its columns alone, decodes no other fields, and takes predicates on them."""
+    rows, paths = files
+    scan = lambda *names, **more: spark.read.schema(datasource.schema_of(*names)).format("bam").option("paths", json.dumps(paths)).options(**more).load()
+    assert key(scan("next_ref_id", "flag").collect()) == key((r[3], r[0]) for r in rows)
+    assert key(scan("pos", "ref_id").where("ref_id = 2 and pos < 5000").collect()) == key((r[4], r[2]) for r in rows if r[2] == 2 and r[4] < 5000)
+    assert scan("mapq").where("mapq = 7").count() == sum(r[1] == 7 for r in rows)
+    assert scan("mapq").count() == len(rows)
+    whole = read(spark, paths, record="true")
+    assert key(scan("record", record="true").collect()) == key(whole.select("record").collect())
+    assert key(scan("span_id", "record_offset", "path").collect()) == key(whole.select("span_id", "record_offset", "path").collect())
+    # the rest of each record's bytes is not looked at
+    data, offsets = np.zeros(100, np.uint8), np.array([0, 40])
+    assert list(decode(data, offsets, ["flag"])) == ["flag"]
+
+
+@pytest.mark.parametrize(
+    ("schema", "options", "says"),
+    [
+        ("flag int, name string", {}, "no column name"),
+        ("flag long", {}, "has the type int"),
+        ("record binary", {}, "no column record"),
+        ("flag int", {"mode": "permissive"}, "needs the column status"),
+    ],
+)
+def test_bad_schemas(spark, files, schema, options, says):
+    with pytest.raises(Exception, match=says):
+        spark.read.schema(schema).format("bam").option("paths", json.dumps(files[1])).options(**options).load().collect()
+
+
+def test_broken_spans_with_a_schema(spark, tmp_path):
+    datasource.register(spark)
+    records = spark.createDataFrame([(4, 9, 0, 0, i * 20000, 7 if i == 3 else 33) for i in range(8)], SCHEMA + ", block_size int").coalesce(1)
+    paths = [r.path for r in write_bam(records, f"{tmp_path}/bam", 1, 1000).collect()]
+    rows = spark.read.schema(datasource.schema_of("span_id", "flag", "status")).format("bam").options(mode="permissive", paths=json.dumps(paths)).load()
+    assert [r.span_id for r in rows.where("status <> 0 and flag is null").collect()] == [3]
+    assert rows.where("status = 0 and flag = 4").count() == 7
+
+
+def test_store_is_asked_for_large_parts(files, monkeypatch):
+    """A scan reads members in order; the store sees a read for each part of a file, not four for each member."""
+    asked = []
+
+    class Counted(io.RawIOBase):
+        def __init__(self, inner):
+            self.inner = inner
+
+        readable = seekable = lambda self: True
+
+        def seek(self, *at):
+            return self.inner.seek(*at)
+
+        def tell(self):
+            return self.inner.tell()
+
+        def readinto(self, into):
+            asked.append(len(into))
+            return self.inner.readinto(into)
+
+    path = files[1][0]
+    opened = store_files.open_file
+    monkeypatch.setattr(store_files, "open_file", lambda uri: Counted(opened(uri)))
+    metrics = datasource.Metrics(path, 0)
+    parts = datasource.spans_of(datasource.Split(path, 0, 1 << 40), metrics=metrics)
+    assert sum(b.num_rows for part in parts for b in datasource.read_range(part, 1 << 28, datasource.Predicates(), metrics, ["flag"])) > 2000
+    assert metrics.members > 50
+    assert len(asked) <= 2 + metrics.compressed_bytes // store_files.READ_AHEAD
