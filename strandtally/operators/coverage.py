@@ -74,9 +74,17 @@ def check_coverage(covered: DataFrame) -> None:
 
 
 def metrics_coverage(metrics: DataFrame) -> DataFrame:
-    """Per file, from a scan's own metrics: records, spans, anchors, members, bytes, and whether the spans cover it."""
-    sums = [F.sum(c).alias(c) for c in ("records", "spans", "members", "compressed_bytes", "inflated_bytes", "index_reads")]
+    """Per file, from a scan's own metrics: records, spans, anchors, members, bytes, and whether the spans cover it.
+
+    A member that several splits share counts once, however the file is cut.
+    """
+    shared = ("members", "compressed_bytes", "inflated_bytes")
+    sums = [F.sum(c).alias(c) for c in ("records", "spans", *shared, "index_reads")]
     found = metrics.groupBy(F.col("path").alias("file_id")).agg(F.count("*").alias("splits"), F.max("anchors").alias("anchors"), *sums)
+    edges = metrics.select("path", F.explode("edges").alias("m")).select("path", F.lit(1).alias("members"), "m.*")
+    again = edges.groupBy(F.col("path").alias("file_id"), "offset").agg(*[(F.sum(c) - F.first(c)).alias(c) for c in shared])
+    again = again.groupBy("file_id").agg(*[F.sum(c).alias(f"{c}_again") for c in shared])
+    found = found.join(again, "file_id", "left").withColumns({c: F.col(c) - F.coalesce(F.col(f"{c}_again"), F.lit(0)) for c in shared}).drop(*[f"{c}_again" for c in shared])
     return found.withColumn("complete", F.col("spans") + 1 == F.col("anchors"))
 
 

@@ -27,7 +27,7 @@ import hashlib
 import json
 import time
 from collections import OrderedDict
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +58,11 @@ class Range(InputPartition):
 
 @dataclass
 class Metrics:
-    """What one split took."""
+    """What one split took.
+
+    A member in which spans of two splits lie is inflated by both and counted by both. Only the first and last members of a run
+    of spans can be shared; ``edges`` tells them, so that sums over splits can count each once.
+    """
 
     path: str
     begin: int
@@ -74,6 +78,15 @@ class Metrics:
     inflate_s: float = 0.0
     walk_s: float = 0.0
     decode_s: float = 0.0
+    edges: list[dict[str, int]] = field(default_factory=list)
+
+    def inflated(self, offset: int, compressed: int, inflated: int, runs: int) -> None:
+        """Count a member of the run of spans that began when there were ``runs`` edges."""
+        self.members += 1
+        self.compressed_bytes += compressed
+        self.inflated_bytes += inflated
+        del self.edges[runs + 1 :]
+        self.edges.append({"offset": offset, "compressed_bytes": compressed, "inflated_bytes": inflated})
 
     def timed(self, stage: str, work, *args):
         began = time.perf_counter()
@@ -88,7 +101,7 @@ class Metrics:
 
 
 STAGES = ("index", "frame", "inflate", "walk", "decode")
-METRICS = "path string, begin long, index_reads long, anchors long, spans long, records long, members long, compressed_bytes long, inflated_bytes long, " + ", ".join(f"{s}_s double" for s in STAGES)
+METRICS = "path string, begin long, index_reads long, anchors long, spans long, records long, members long, compressed_bytes long, inflated_bytes long, " + ", ".join(f"{s}_s double" for s in STAGES) + ", edges array<struct<offset: bigint, compressed_bytes: bigint, inflated_bytes: bigint>>"
 
 
 def scan_metrics(spark: SparkSession, folder: str) -> DataFrame:
@@ -280,6 +293,7 @@ def inflate_spans(file, part: Range, max_uncompressed: int, chunk: int, metrics:
     todo, nth, starts, first = part.anchors, 0, [], part.first
     # inflated members since the first span that has not been passed on, joined once it is
     held, size = [], 0
+    runs = len(metrics.edges)
     file.seek(todo[0] >> 16)
     while True:
         at = file.tell()
@@ -302,9 +316,7 @@ def inflate_spans(file, part: Range, max_uncompressed: int, chunk: int, metrics:
         if member is None or member.is_eof:
             raise FormatError(f"{part.path}: the data ends before offset {todo[nth]}")
         raw = metrics.timed("inflate", member.inflate, part.path)
-        metrics.members += 1
-        metrics.compressed_bytes += len(member.raw)
-        metrics.inflated_bytes += len(raw)
+        metrics.inflated(at, len(member.raw), len(raw), runs)
         skip = 0
         if not starts:
             skip = todo[nth] & 65535

@@ -131,6 +131,37 @@ def test_index_is_read_once(spark, files, tmp_path, monkeypatch):
     assert found.agg(F.sum("index_reads")).first()[0] <= spark.sparkContext.defaultParallelism
 
 
+@pytest.mark.parametrize("compressed", [2000, 1 << 30])
+def test_members_that_splits_share_count_once(spark, files, tmp_path, compressed):
+    """However a file is cut, its metrics add up to what its members hold."""
+    _, paths = files
+    held = {r.file_id: r for r in coverage.members(spark, paths).where("compressed_offset > 0 and not is_eof").groupBy("file_id").agg(F.count("*").alias("n"), F.sum("compressed_len").alias("c"), F.sum("uncompressed_len").alias("u")).collect()}
+    read(spark, paths, metrics=f"{tmp_path}/metrics", maxCompressedBytes=compressed).agg(F.count("*")).collect()
+    found = datasource.scan_metrics(spark, f"{tmp_path}/metrics")
+    covered = coverage.metrics_coverage(found).collect()
+    assert sorted((r.file_id, r.members, r.compressed_bytes, r.inflated_bytes) for r in covered) == sorted((k, r.n, r.c, r.u) for k, r in held.items())
+    assert all(r.complete and r.spans + 1 == r.anchors for r in covered)
+    # splits still tell what each of them took
+    assert compressed == 1 << 30 or found.agg(F.sum("inflated_bytes")).first()[0] > sum(r.u for r in held.values())
+
+
+def test_metrics_of_shared_members_by_hand(spark):
+    """Two splits share the member at 90, which one of them reads for two runs; a split without spans has no edges."""
+    edge = lambda offset: {"offset": offset, "compressed_bytes": 10, "inflated_bytes": 100}
+    one = datasource.Metrics("f", 0, anchors=4, spans=1)
+    two = datasource.Metrics("f", 50, anchors=4, spans=2)
+    for at in (0, 30, 60, 90):
+        one.inflated(at, 10, 100, 0)
+    two.inflated(90, 10, 100, 0)
+    two.inflated(90, 10, 100, 1)
+    two.inflated(120, 10, 100, 1)
+    assert (one.edges, two.edges) == ([edge(0), edge(90)], [edge(90), edge(90), edge(120)])
+    rows = [json.dumps(vars(m)) for m in (one, two, datasource.Metrics("f", 200, anchors=4))]
+    metrics = spark.createDataFrame([(r,) for r in rows], "j string").select(F.from_json("j", datasource.METRICS).alias("m")).select("m.*")
+    r = coverage.metrics_coverage(metrics).first()
+    assert (r.splits, r.members, r.compressed_bytes, r.inflated_bytes, r.complete) == (3, 5, 50, 500, True)
+
+
 def test_kept_indexes_are_bounded(files, spark, monkeypatch):
     _, paths = files
     datasource._kept.clear()
