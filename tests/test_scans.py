@@ -1,7 +1,9 @@
 """Pruned scans, cached indexes, permissive mode, integrity scans, growing streams, batches and metrics."""
 
+import gc
 import io
 import json
+import os
 import struct
 
 import numpy as np
@@ -219,6 +221,42 @@ def test_record_bytes(spark, files):
     assert wrong.count() == 0
 
 
+def test_record_bytes_by_hand():
+    """Records side by side, with gaps, at the ends, alone, and none."""
+    data = np.arange(100, dtype=np.uint8)
+    for cuts in ([(0, 40), (40, 100)], [(0, 36), (40, 76), (76, 99)], [(5, 100)], [(99, 100)], []):
+        begins, ends = (np.array([c[i] for c in cuts], np.int64) for i in (0, 1))
+        got = datasource.record_bytes(data, begins, ends)
+        got.validate(full=True)
+        assert got.to_pylist() == [bytes(range(a, b)) for a, b in cuts]
+        # as after other slices of a larger buffer
+        assert datasource.record_bytes(data[10:][:80], begins[:0], ends[:0]).to_pylist() == []
+
+
+def test_record_bytes_are_let_go(files):
+    """A worker that reads many splits holds none of their records: they left 220 bytes each, here 27 MB."""
+    _, paths = files
+
+    def scan(times: int) -> int:
+        n = 0
+        for _ in range(times):
+            for path in paths:
+                metrics = datasource.Metrics(path, 0)
+                for part in datasource.spans_of(datasource.Split(path, 0, 1 << 40)):
+                    n += sum(b.num_rows for b in datasource.read_range(part, 1 << 20, datasource.Predicates(), metrics, ["record"]))
+        return n
+
+    def held() -> int:
+        gc.collect()
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    scan(5)
+    before = held()
+    assert scan(20) == 20 * 6050
+    assert held() - before < 12_000_000
+
+
 def test_damage_is_found_where_it_is(spark, files):
     """Three members of one file: a checksum, a frame, and a stated size; all others are sound."""
     _, paths = files
